@@ -39,3 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, parts_per_core: int = 2) -> DataFrame:
     """Deal rows of a small table over the cores, where the number of its input files says nothing about the work per row."""
     return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism * parts_per_core))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch: whole texts of some kB each would else fill a Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, rows)
+
+
+def slices(texts: list, chars: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of about that many characters, one text at least."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= chars:
+            out.append((start, i + 1))
+            start, size = i + 1, 0
+    return out + [(start, len(texts))] * (start < len(texts))

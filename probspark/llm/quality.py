@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, write_table
+from .common import bounded_batches, fold, slices, write_table
 
 #: Character classes of UTF-8 bytes. Fixed values: (class, bytes).
 CLASSES = [
@@ -70,6 +70,10 @@ class Config:
 
 def statistics_of(texts: list[str]) -> np.ndarray:
     """(n, N_STATS) statistics of whole texts; all arithmetic is per document, so batches don't matter."""
+    return np.vstack([_statistics(texts[a:b]) for a, b in slices(texts)] or [np.zeros((0, N_STATS))])
+
+
+def _statistics(texts: list[str]) -> np.ndarray:
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     n = len(raw)
     out = np.zeros((n, N_STATS))
@@ -114,6 +118,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             s = statistics_of(p["text"].tolist()).astype(np.float32)
             yield pd.DataFrame({"doc_id": p["doc_id"], "stats": list(s)})
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<float>")
 
 
@@ -212,6 +217,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         for p in parts:
             yield pd.DataFrame({"doc_id": p["doc_id"], "score": shared.value.score(statistics_of(p["text"].tolist()))})
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
 
 
@@ -248,4 +254,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: Config = Config(), thr
             s = shared.value.score(statistics_of(p["text"].tolist()))
             yield p[s >= threshold]
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInPandas(run, docs.schema)
