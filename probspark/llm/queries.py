@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, simhash
 from .common import table
 
 
@@ -15,8 +15,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_quality_classifier": op3_quality_classifier}
+    return {
+        "op3_quality_classifier": op3_quality_classifier,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
