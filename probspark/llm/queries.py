@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, simhash
+from . import decontam, langid, pii, quality, simhash
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: pattern spans and what the sequence model adds."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) within the edit distance, with the place of the match."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,7 @@ def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
         "op3_quality_classifier": op3_quality_classifier,
+        "op5_pii": op5_pii,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
