@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pii, quality, simhash
+from . import decontam, langid, pii, quality, sentencepiece, simhash
 from .common import table
 
 
@@ -35,6 +35,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The vocabulary file of the encoder; any file of that kind will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with a decoding check of each."""
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
@@ -42,6 +51,7 @@ def queries() -> dict:
         "op5_pii": op5_pii,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
