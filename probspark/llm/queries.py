@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pii, quality, sentencepiece, simhash
+from . import chat, decontam, langid, merkle, pii, quality, sentencepiece, simhash, urls
 from .common import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of neighbouring conversations: one prompt, two masked completions."""
+    return chat.format_preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a conditional random field over its words."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -20,6 +25,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rule or template."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: pattern spans and what the sequence model adds."""
     return pii.detect(table(spark, sf_dir, "documents"))
@@ -30,6 +40,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,14 +61,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_language_id": op2_language_id,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_url_filters": op4_url_filters,
         "op5_pii": op5_pii,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat.ORACLE, "op8_document_fingerprints": merkle.ORACLE}
