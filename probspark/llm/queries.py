@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, merkle, pii, quality, sentencepiece, simhash, urls
+from . import chat, decontam, katz, langid, merkle, pii, quality, sentencepiece, simhash, urls
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and Katz log probabilities of every document."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) within the edit distance, with the place of the match."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +71,7 @@ def queries() -> dict:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_url_filters": op4_url_filters,
         "op5_pii": op5_pii,
+        "op6_katz_backoff": op6_katz_backoff,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
