@@ -110,30 +110,55 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -
     return p / p.sum(1, keepdims=True)
 
 
+class _Codes(dict):
+    """Weight rows of feature names, worked out once for each name."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[name] = zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.buckets
+        return code
+
+    def __reduce__(self):
+        return _Codes, (self.buckets,)
+
+
 class Tagger:
     """Feature weights, lexicon and transitions: at most (buckets + K) x K numbers."""
 
     def __init__(self, languages: list[str], lexicon: set[str], weights: np.ndarray, transitions: np.ndarray):
         self.languages, self.lexicon, self.weights, self.transitions = languages, lexicon, weights, transitions
-        self.known: dict[str, np.ndarray] = {}
+        self.codes = _Codes(len(weights))
+        self.known: dict[str, int] = {}
+        self.rows = np.empty((0, len(languages)))
 
     def features(self, word: str) -> list[int]:
         w = f"<{word}>"
-        names = [w[: n + 1] for n in (1, 2, 3)] + [w[-n - 1 :] for n in (1, 2, 3)]
-        names += ["2" + w[i : i + 2] for i in range(len(w) - 1)] + ["3" + w[i : i + 3] for i in range(len(w) - 2)]
+        # affixes of one and two letters are n-grams with a word end
+        names = [w[:4], w[-4:], *[w[i : i + 2] for i in range(len(w) - 1)], *[w[i : i + 3] for i in range(len(w) - 2)]]
         if word in self.lexicon:
             names.append("lex" + word)
-        return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % len(self.weights) for x in names]
+        return list(map(self.codes.__getitem__, names))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """(words, K) scores; a bounded memory of known words saves most of the work."""
-        if len(self.known) > 200_000:
-            self.known.clear()
         known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = self.weights[self.features(w)].sum(0)
-        return np.array([known[w] for w in words])
+        if len(known) > 200_000:
+            known.clear()
+            self.rows = self.rows[:0]
+        new = [w for w in set(words) if w not in known]
+        if new:
+            found = [self.features(w) for w in new]
+            head = np.cumsum([0] + [len(f) for f in found[:-1]])
+            flat = np.fromiter((x for f in found for x in f), np.int64)
+            rows = np.vstack([np.add.reduceat(self.weights[flat[head[k] : head[k + 4096] if k + 4096 < len(head) else None]], head[k : k + 4096] - head[k], axis=0) for k in range(0, len(head), 4096)])
+            known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.vstack([self.rows, rows])
+        return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].astype(float)
 
 
 def train(sample: list[tuple[str, str]], config: Config = Config()) -> Tagger | None:
