@@ -141,8 +141,8 @@ def one_hot(col: str, domain: Sequence, prefix: str | None = None) -> list[Colum
 
 
 def mixed_one_hot(cols: Sequence[str], doms: Sequence) -> list[Column]:
-    """One-hot for domains of more than two values; others pass (a continuous (min, max) has two)."""
-    return [c for name, d in zip(cols, doms, strict=True) for c in (one_hot(name, d) if len(d) > 2 else [F.col(name)])]
+    """One-hot for domains of more than two values; others pass (a continuous (min, max) has two, an unknown one is None)."""
+    return [c for name, d in zip(cols, doms, strict=True) for c in (one_hot(name, d) if d is not None and len(d) > 2 else [F.col(name)])]
 
 
 def flatten(col: str) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 from ..functions.rng import uniform
@@ -79,7 +80,7 @@ def dbscan(df, cols, kinds, domains, scope, key, seed=42, least=5) -> DataFrame:
     spark = df.sparkSession
     if not order:
         return df.withColumn(OUT, F.lit(-1))
-    labels = spark.createDataFrame([(*[r[c] for c in own], i) for i, r in enumerate(order)], df.select(*own).schema.add(OUT, "int"))
+    labels = spark.createDataFrame([(*[r[c] for c in own], i) for i, r in enumerate(order)], T.StructType([*df.select(*own).schema.fields, T.StructField(OUT, T.IntegerType())]))
     found = df.join(F.broadcast(labels), own, "left").join(groups, own, "left")
     return found.withColumn(OUT, F.coalesce(OUT, F.when(F.col("__n").isNotNull(), len(order) - 1), F.lit(-1))).drop("__n")
 
