@@ -130,8 +130,7 @@ SPLIT_ROWS = {"kmeans": kmeans, "kmeans_mb": kmeans_minibatch, "gmm": gmm, "dbsc
 def slice_weights(df: DataFrame, label: str = OUT) -> DataFrame:
     """label, n, weight of the parts."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("__t"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("__t")).alias("weight"))
+    return counts.withColumn("weight", F.col("n") / F.lit(df.count()))
 
 
 # --- columns -------------------------------------------------------------------------------------------------------

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import stats, transforms
 from .functions.rng import uniform, uniform_sql
-from .operators import inference, learn, leaves, splits, trees
+from .operators import inference, learn, leaves, splits, tensors, trees
+from .operators.estimators import CircuitClassifier
 from .plans.nodes import Bernoulli, Categorical, ChowLiu, Gaussian, Isotonic, Product, Sum, Uniform, bfs, layers, number, statistics
 from .plans.rewrite import marginalize, prune, to_circuit
 from .plans.store import edge_table, from_dict, node_table, to_dict
+from .sources import energy
 from .sources.matrices import B6, B6_SQL, E4, E4_SQL, b6, drop_correlated, e4, every_assignment, load
+from .streaming.scoring import score_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -793,4 +796,136 @@ def clt_learned(spark, d):
     return _round(scored.groupBy(*B6).agg(F.first("ll").alias("ll"), F.count(F.lit(1)).alias("n")))
 
 
+# --- tensor models, flows, densities --------------------------------------------------------------------------------
+
+
+def _vectors(spark, d, n: int) -> DataFrame:
+    """Leading cells of the embeddings as numbered columns."""
+    return load(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(n)], "label")
+
+
+@query(f"SELECT vec_id, {_r('-0.5 * (x * x + (y - (0.7 * x + 0.1)) * (y - (0.7 * x + 0.1))) - ' + repr(LOG2PI))} AS ll FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)")
+def nice_coupling_fixed(spark, d):
+    layer = tensors.Coupling(2, False, affine=False, hidden=())
+    layer.params = {"w0": np.array([[0.0, 0.7], [0.0, 0.0]]), "b0": np.array([0.0, 0.1])}
+    return _round(tensors.score(_vectors(spark, d, 2).drop("label"), tensors.Flow(2, [layer]), ["e0", "e1"]).select("vec_id", "ll"))
+
+
+RAT_LOC = [[0.0, 0.2], [-0.1, 0.3]]
+
+
+def _rat_sql() -> str:
+    terms = [f"({math.log(0.25)!r} + {_gauss_sql(f'v{a}', RAT_LOC[0][i], 1.0)} + {_gauss_sql(f'v{b}', RAT_LOC[1][j], 1.0)})" for i in (0, 1) for j in (0, 1) for a, b in [_rat_order()]]
+    return f"SELECT vec_id, {_r(_lse_sql(terms))} AS ll FROM (SELECT vec_id, embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1 FROM embeddings)"
+
+
+def _rat_order() -> tuple[int, int]:
+    a, b = tensors.region_graph(2, 1, 1)[0]
+    return a[0], b[0]
+
+
+@query(_rat_sql())
+def ratspn_tiny_fixed(spark, d):
+    model = tensors.RatSpn(2, depth=1, repetitions=1, batch=2)
+    model.params = {"loc": np.array(RAT_LOC).reshape(2, 2, 1), "scale": np.ones((2, 2, 1)), "root": np.zeros((1, 4))}
+    return _round(tensors.score(_vectors(spark, d, 2).drop("label"), model, ["e0", "e1"]).select("vec_id", "ll"))
+
+
+@query("WITH g AS (SELECT r.range AS cell, -4.0 + (r.range % 64) * (8.0 / 63) AS x, -4.0 + (r.range // 64) * (8.0 / 63) AS y FROM range(4096) r), w AS (SELECT *, exp(-0.5 * ((y - sin(x * pi() / 2)) / 0.4) ** 2) AS p FROM g) SELECT cell, round(p / sum(p) OVER (), 8) + 0.0 AS p FROM w")
+def energy_waves(spark, d):
+    return _round(energy.density_grid(spark, "waves").select("cell", "p"), 8)
+
+
+@query()
+def energy_samples(spark, d):
+    return _round(energy.samples(spark, "moons", 2000))
+
+
+@query()
+def ratspn_train_score(spark, d):
+    df = _vectors(spark, d, 8)
+    model = tensors.RatSpn(8, classes=10, depth=2, repetitions=2, batch=4, sums=4)
+    tensors.train(df, model, [f"e{i}" for i in range(8)], "label", epochs=5, rate=0.1)
+    return tensors.test(df, model, [f"e{i}" for i in range(8)], "label")
+
+
+@query()
+def ratspn_mpe(spark, d):
+    df = _vectors(spark, d, 8).drop("label").withColumn("e1", F.lit(None).cast("double"))
+    return _round(tensors.complete(df, tensors.RatSpn(8, depth=2, repetitions=2), [f"e{i}" for i in range(8)]))
+
+
+@query()
+def ratspn_sample(spark, d):
+    df = _vectors(spark, d, 4).drop("label").withColumn("e0", F.lit(None).cast("double"))
+    return _round(tensors.complete(df, tensors.RatSpn(4, depth=1, repetitions=2), [f"e{i}" for i in range(4)], "vec_id", True))
+
+
+@query()
+def dgcspn_score(spark, d):
+    df = load(spark, d, "embeddings").select("vec_id", "embedding")
+    return _round(tensors.score(df, tensors.DgcSpn(1, 8, 8), ["embedding"]).select("vec_id", "ll"))
+
+
+@query()
+def realnvp1d_score(spark, d):
+    df = _vectors(spark, d, 4).drop("label")
+    flow = tensors.realnvp(4, 2, (16,))
+    tensors.train(df, flow, ["e0", "e1", "e2", "e3"], epochs=4)
+    return _round(tensors.score(df, flow, ["e0", "e1", "e2", "e3"]).select("vec_id", "ll"))
+
+
+@query()
+def maf_score(spark, d):
+    df = _vectors(spark, d, 4).drop("label")
+    flow = tensors.maf(4, 2, (16,))
+    tensors.train(df, flow, ["e0", "e1", "e2", "e3"], epochs=4)
+    return _round(tensors.score(df, flow, ["e0", "e1", "e2", "e3"]).select("vec_id", "ll"))
+
+
+@query()
+def realnvp2d_score(spark, d):
+    df = load(spark, d, "embeddings").select("vec_id", "embedding")
+    return _round(tensors.score(df, tensors.realnvp_images(1, 8, 8, 4), ["embedding"]).select("vec_id", "ll"))
+
+
+@query("WITH a AS (SELECT label < 5 AS lo, embedding[1]::DOUBLE AS x FROM embeddings), m AS (SELECT avg(x) FILTER (lo) AS m1, avg(x) FILTER (NOT lo) AS m2, stddev_samp(x) FILTER (lo) AS s1, stddev_samp(x) FILTER (NOT lo) AS s2 FROM a) SELECT round((m1 - m2) ** 2 + (s1 - s2) ** 2, 8) + 0.0 AS fid FROM m")
+def fid_one_dimension(spark, d):
+    one = load(spark, d, "embeddings").select("label", F.slice("embedding", 1, 1).alias("x"))
+    a, b = stats.moments_of(one.where("label < 5"), "x"), stats.moments_of(one.where("label >= 5"), "x")
+    return _round(spark.createDataFrame([(stats.frechet(a[0], a[1], b[0], b[1]),)], "fid double"), 8)
+
+
+@query()
+def fid_embeddings(spark, d):
+    df = load(spark, d, "embeddings")
+    a, b = stats.moments_of(df.where("label < 5"), "embedding"), stats.moments_of(df.where("label >= 5"), "embedding")
+    return _round(spark.createDataFrame([(stats.frechet(a[0], a[1], b[0], b[1]),)], "fid double"), 4)
+
+
+@query()
+def classifier_probabilities(spark, d):
+    df = e4(spark, d)
+    model = CircuitClassifier(E4, [Bernoulli] * 4, [[0, 1]] * 4, "event_id", split_rows="random", split_cols="gvs", min_rows=4000).fit(df)
+    return _round(model.transform(df).select("event_id", F.element_at("probability", 2).alias("p1"), "prediction"))
+
+
+@query(ORACLES["score_gaussian_mixture"])
+def stream_scoring(spark, d):
+    """The flagship query over a stream of the table's files."""
+    import tempfile
+    import uuid
+
+    table = f"scored_{uuid.uuid4().hex}"
+    static = load(spark, d, "lineitem")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
+    stream = spark.readStream.schema(static.schema).parquet(f"{d}/lineitem.parquet*").select("l_linestatus", "l_quantity", "l_discount", flag.alias("flag"))
+    scored = score_stream(stream, mixture(), {0: "l_quantity", 1: "l_discount", 2: "flag"})
+    sums = scored.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg("ll").alias("mean_ll"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    run = sums.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", f"{folder}/streams/{table}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _round(spark.table(table))
+
+
 __all__ = ["ORACLES", "QUERIES", "bfs", "uniform"]
