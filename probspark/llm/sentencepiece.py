@@ -22,6 +22,7 @@ columns are ignored. A text that itself holds U+2581 decodes with spaces there.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, write_table
 
 SPACE = "▁"
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 NONE = -(1 << 60)
 
 
@@ -55,9 +57,30 @@ class Vocabulary:
         newline = any("\n" in p for p in pieces)
         stop = SPACE if newline else SPACE + "\n"
         #: Units that no piece straddles; without such a guarantee the whole text is one unit.
-        self.unit = re.compile(r"(?s).+") if inner else re.compile(f"{SPACE}*[^{stop}]+|{SPACE}+" + ("" if newline else "|\n"))
+        # Latin letters part from other characters too, where no piece joins the two
+        mixed = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN}{SPACE}][{LATIN}]")
+        whole = f"{SPACE}*[^{stop}]+" if any(mixed.search(p) for p in pieces) else f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{stop}]+)"
+        self.unit = re.compile(r"(?s).+") if inner else re.compile(f"{whole}|{SPACE}+" + ("" if newline else "|\n"))
         self.splits = not inner
-        self.known: dict[str, bytes] = {}
+        #: What each id decodes to: bytes over 127 as lone surrogates, which join to UTF-8 afterwards.
+        self.texts = [(chr(b) if (b := int(t[3:5], 16)) < 128 else chr(0xDC00 + b)) if k == "byte" else t if k == "normal" else "" for t, k in zip(names, kinds, strict=True)]
+        self.escaped = re.compile("[\udc80-\udcff]")
+        self.singles = frozenset(p for p in pieces if len(p) == 1)
+        self.machine = None
+        self.known: dict[str, tuple[int, bytes]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"machine": None, "known": {}}
+
+    def _machine(self):
+        """Automaton of all pieces, built once in each worker."""
+        import ahocorasick
+
+        self.machine = ahocorasick.Automaton()
+        for p, (score, i) in self.pieces.items():
+            self.machine.add_word(p, (len(p), score, i))
+        self.machine.make_automaton()
+        return self.machine
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -87,6 +110,13 @@ class Vocabulary:
         """Score and ids (int32) of one stretch of text between two borders."""
         n = len(text)
         score, back = [0] + [NONE] * n, [(0, -1)] * (n + 1)
+        if self.singles.issuperset(text):
+            for last, (size, gain, i) in (self.machine or self._machine()).iter(text):
+                s, e = last + 1 - size, last + 1
+                total = score[s] + gain
+                if total > score[e] or total == score[e] and s < back[e][0]:
+                    score[e], back[e] = total, (s, i)
+            return score[n], self._trace(text, back)
         prefixes = self.prefixes
         for s in range(n):
             base = score[s]
@@ -100,29 +130,38 @@ class Vocabulary:
                     break
                 if base + v[0] > score[e]:
                     score[e], back[e] = base + v[0], (s, v[1])
+        return score[n], self._trace(text, back)
+
+    def _trace(self, text: str, back: list[tuple[int, int]]) -> bytes:
         out: list[int] = []
-        at = n
+        at = len(text)
         while at:
             s, i = back[at]
-            out += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[s:at].encode("utf-8", "replace"))]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[s:at].encode("utf-8", "replace"))]
             at = s
-        return score[n], np.array(out[::-1], np.int32).tobytes()
+        return array("i", out[::-1]).tobytes()
 
     def encode_units(self, text: str) -> bytes:
         """Ids of a text that starts and ends at a border, unit by unit; a bounded memory keeps frequent units."""
-        units = self.unit.findall(text)
+        return b"".join([x[1] for x in self._each(text)])
+
+    def _each(self, text: str) -> list[tuple[int, bytes]]:
+        """Score and ids of each unit."""
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 400_000:
             known.clear()
         out = []
-        for u in units:
+        for u in self.unit.findall(text):
             got = known.get(u)
             if got is None:
-                got = self.best(u)[1]
+                got = self.best(u)
                 if len(u) <= 48:
                     known[u] = got
             out.append(got)
-        return b"".join(out)
+        return out
 
     def encode(self, text: str | None) -> np.ndarray | None:
         if text is None:
@@ -155,7 +194,7 @@ class Vocabulary:
         else:
             a, b = borders[0], borders[-1]
             head = self.dense(lead + text[:a], w, 1)
-            middle = sum(self.best(u)[0] for u in self.unit.findall(text[a:b]))
+            middle = sum(x[0] for x in self._each(text[a:b]))
             tail = self.dense(text[b:], 1, w)
             out = head + middle + tail
         out[len(context) + 1 :] = NONE
@@ -177,18 +216,10 @@ class Vocabulary:
         """The text of ids; control ids are silent, byte ids join to UTF-8."""
         if ids is None:
             return None
-        out, run = [], bytearray()
-        for i in ids:
-            kind, name = self.kinds[i], self.names[i]
-            if kind == "byte":
-                run.append(int(name[3:5], 16))
-            elif kind == "normal":
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                out.append(name)
-        out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        joined = "".join(map(self.texts.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        if self.escaped.search(joined):
+            joined = joined.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return joined.replace(SPACE, " ").removeprefix(" ")
 
 
 def prepared(text: str) -> str:
