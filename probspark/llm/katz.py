@@ -3,16 +3,17 @@
 Tokens: words (runs of other than white space, A-Z lower-cased), then one end per text; the first token's context
 is the begin mark. P(w | v) = d(c) c(v, w) / c(v) for pairs seen in training, else alpha(v) P1(w), where d is the
 Good-Turing discount (counts up to `Config.large`) and alpha makes each context's probabilities sum to 1 exactly.
-P1 holds Good-Turing discounted shares of the `Config.frequent` most frequent words; all other training words and
-the unknown word share the remaining mass evenly, so that the backoff weights need no lookup of rare words.
+P1 holds the Good-Turing discounted share of every training word; the unknown word has the remaining mass. (With
+`Config.frequent` set, a closed list: only so many words have their own share, all others one even share each.)
 
-Words are 64-bit hashes (the chance of any collision among n distinct words is about n*n / 2**65), those in the
-frequent list two-byte codes. Counts cover all training texts:
+Words are 64-bit hashes (the chance of any collision among n distinct words is about n*n / 2**65), the
+`Config.codes` most frequent ones two-byte codes, which changes sizes but no result. Counts cover all training texts:
 1. words, by word bucket: counts of words, counts of counts, and of each text the sum of log10(c + 0.5) and the
    known tokens (the base score needs no more);
 2. pairs, by context bucket, with the texts that hold them: one shuffle of packed arrays, pre-summed per batch of
    texts; each bucket is one row of the partitioned n-gram table that is written. Contexts with more than a
-   bucket's share of all tokens are spread over all buckets by their second word;
+   bucket's share of all tokens are spread over all buckets by their second word. The training counts of second
+   words without a code come along: each batch asks the word table for those of its pair buckets;
 3. discounts from the counts of counts, sums of spread contexts, then one pass over the table scores every pair
    and adds up per text.
 Buckets grow in number with the tokens, so a task's share stays the same at any size.
@@ -46,10 +47,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass(frozen=True)
 class Config:
-    """frequent: words with codes (at most 65,000). large: counts above are not discounted. batch: tokens packed
+    """codes: words with codes (at most 65,000). frequent: words with their own P1 (None: all). large: counts above are not discounted. batch: tokens packed
     together. bucket: tokens of a bucket, about. held_out: the fold that is not learned from."""
 
-    frequent: int = 60_000
+    codes: int = 60_000
+    frequent: int | None = None
     large: int = 5
     batch: int = 600_000
     bucket: int = 1_000_000
@@ -209,15 +211,16 @@ def count_words(source: DataFrame, buckets: int, config: Config) -> DataFrame:
 
 @dataclass
 class Model:
-    """What goes to every task: at most `frequent` words, and a few numbers."""
+    """What goes to every task: the words with codes, and a few numbers."""
 
     buckets: int
-    frequent: np.ndarray  # hashes, sorted
+    frequent: np.ndarray  # hashes of the words with codes, sorted
     counts: np.ndarray  # training counts of them
     total: int  # training tokens
     kinds: int  # distinct training tokens
     texts: int  # training texts
-    p1: np.ndarray | None = None  # P1 by code; the last entry is any other word's
+    p1: np.ndarray | None = None  # P1 by code; the last entry is the unknown word's (closed list: any other word's)
+    share: np.ndarray | None = None  # P1 per training count of words without a code, by count, 0 .. large + 1; None for a closed list
     hot: np.ndarray | None = None  # codes of spread contexts, sorted
     discount: np.ndarray | None = None  # by count, 0 .. large + 1
     alpha: dict | None = None  # of spread contexts: (alpha, factor on seen pairs)
@@ -255,7 +258,7 @@ def word_model(words: DataFrame, buckets: int, tokens_all: int, config: Config)
     row = sums.agg(add("n", large + 3), add("levels", 512), F.sum("total").alias("total"), F.sum("ends").alias("ends")).first()
     n, levels = np.array([x or 0 for x in row["n"]]), np.array([x or 0 for x in row["levels"]])
     above = np.cumsum(levels[::-1])[::-1]
-    least = int(np.argmax(above <= config.frequent))
+    least = int(np.argmax(above <= (config.codes if config.frequent is None else config.frequent)))
 
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -273,10 +276,23 @@ def word_model(words: DataFrame, buckets: int, tokens_all: int, config: Config)
     model = Model(buckets, h[by], c[by], int(row["total"] or 0), int(n[1:].sum()), int(row["ends"] or 0))
     d = good_turing(n, large)
     p = d[np.minimum(model.counts, large + 1)] * model.counts / max(1, model.total)
+    if config.frequent is None:
+        r = np.arange(1, large + 1)
+        mass = (model.total - ((1 - d[r]) * r * n[r]).sum()) / max(1, model.total)
+        model.share = d / max(1, model.total) * min(1.0, (1 - 1.0 / (model.total + 2)) / max(mass, 1e-300))
+        other = 1 - mass * min(1.0, (1 - 1.0 / (model.total + 2)) / max(mass, 1e-300))
+        p = np.where(model.counts > 0, model.share[np.minimum(model.counts, large + 1)] * model.counts, other)
+        model.p1 = np.append(p, other)
+        return _with_hot(model, tokens_all)
     rest = model.kinds - int((model.counts > 0).sum()) + 1
     p *= min(1.0, (1 - 1.0 / (model.total + 2)) / max(p.sum(), 1e-300))
     model.p1 = np.append(p, (1 - p.sum()) / rest)
-    model.hot = np.append(np.flatnonzero(model.counts > tokens_all / buckets / 2), len(h) if model.texts > tokens_all / buckets / 2 else -1)
+    return _with_hot(model, tokens_all)
+
+
+def _with_hot(model: Model, tokens_all: int) -> Model:
+    most = tokens_all / model.buckets / 2
+    model.hot = np.append(np.flatnonzero(model.counts > most), len(model.frequent) if model.texts > most else -1)
     model.hot = model.hot[model.hot >= 0]
     return model
 
@@ -287,35 +303,88 @@ def _codes(model: Model, h: np.ndarray) -> np.ndarray:
     return np.where(model.frequent[i] == h, i, -1)
 
 
-def count_pairs(source: DataFrame, model: Model, config: Config) -> DataFrame:
-    """The n-gram table: a row per context bucket with contexts, second words, training counts and texts, and a row
-    `texts` per batch. Keys are sorted: codes before hashes."""
+def _keyed(m: Model, h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and second words of all tokens as sortable keys: a word's code, or its hash with the top bit set."""
+    code = _codes(m, h)
+    key = np.where(code >= 0, code.astype(np.uint64), h | np.uint64(1 << 63))
+    context = np.concatenate(([0], key[:-1])).astype(np.uint64)
+    context[_runs(o)] = len(m.frequent)  # code of the begin mark, only ever a context
+    return context, key
+
+
+def _bucket(m: Model, context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The pair bucket: by context, of spread contexts by both words."""
+    spread = np.isin(context, m.hot.astype(np.uint64))
+    with np.errstate(over="ignore"):
+        return _mix(np.where(spread, context * np.uint64(31) + key * np.uint64(_BASE), context * np.uint64(_BASE)), m.buckets)
+
+
+def rare_counts(source: DataFrame, words: DataFrame, model: Model, config: Config) -> DataFrame:
+    """bucket, batch (-1), value: keys and training counts of the second words without a code in each pair bucket, by
+    word bucket. Each batch asks for what its pairs need; words not seen in training get no answer."""
+    shared = source.sparkSession.sparkContext.broadcast(model)
+    buckets = model.buckets
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for number, _, h, o in _batches(parts, config.batch):
+            context, key = _keyed(m, h, o)
+            rare = key >= np.uint64(1 << 63)
+            h, to = h[rare], _bucket(m, context[rare], key[rare])
+            at = _mix(h, buckets)
+            by = np.lexsort((h, to, at))
+            h, to, at = h[by], to[by], at[by]
+            one = _runs(h, to)
+            h, to, at = h[one], to[one], at[one]
+            cut = np.searchsorted(at, np.arange(buckets + 1))
+            rows = [(k, number, pack(h[a:b], _small(to[a:b]))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+            yield pd.DataFrame(rows, columns=["bucket", "batch", "value"])
+
+    def answer(p: pd.DataFrame) -> pd.DataFrame:
+        known = (p["batch"] == -1).to_numpy()
+        asked = [unpack(v) for v in p["value"][~known]]
+        rows = []
+        if known.any() and asked:
+            word, count = unpack(p["value"][known].iloc[0])
+            h, to = np.concatenate([g[0] for g in asked]), np.concatenate([g[1].astype(np.int64) for g in asked])
+            at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+            seen = word[at] == h if len(word) else np.zeros(len(h), bool)
+            h, to, count = h[seen], to[seen], count[at[seen]]
+            by = np.lexsort((h, to))
+            h, to, count = h[by], to[by], count[by]
+            one = _runs(h, to)
+            h, to, count = h[one], to[one], count[one]
+            cut = np.append(_runs(to), len(to))
+            rows = [(int(to[a]), -1, pack(h[a:b] | np.uint64(1 << 63), _small(count[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["bucket", "batch", "value"])
+
+    schema = "bucket int, batch long, value binary"
+    asked = source.mapInPandas(ask, schema)
+    return asked.unionByName(words.where("kind = 'words'").select("bucket", "batch", "value")).groupBy("bucket").applyInPandas(answer, schema)
+
+
+def count_pairs(source: DataFrame, words: DataFrame, model: Model, config: Config) -> DataFrame:
+    """The n-gram table: a row per context bucket with contexts, second words, training counts, texts, and training
+    counts of the second words without a code. Keys are sorted: codes before hashes."""
     shared = source.sparkSession.sparkContext.broadcast(model)
     buckets = model.buckets
-    begin = len(model.frequent)  # code of the begin mark, only ever a context
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for number, meta, h, o in _batches(parts, config.batch):
-            code = _codes(m, h)
-            # one sortable key for each word: its code, or its hash with the top bit set
-            key = np.where(code >= 0, code.astype(np.uint64), h | np.uint64(1 << 63))
-            del h, code
-            context = np.concatenate(([0], key[:-1])).astype(np.uint64)
-            context[_runs(o)] = begin
+            context, key = _keyed(m, h, o)
+            del h
             by = np.lexsort((o, key, context))
             context, key, o = context[by], key[by], o[by]
             at = _runs(context, key, o)
             n = _sizes(at, len(key))
             context, key, o = context[at], key[at], o[at]
             del by, at
-            spread = np.isin(context, m.hot.astype(np.uint64))
-            with np.errstate(over="ignore"):
-                bucket = _mix(np.where(spread, context * np.uint64(31) + key * np.uint64(_BASE), context * np.uint64(_BASE)), buckets)
+            bucket = _bucket(m, context, key)
             by = np.argsort(bucket, kind="stable")
             context, key, o, n, bucket = context[by], key[by], o[by], n[by], bucket[by]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            del by, spread, bucket
+            del by, bucket
             rows = []
             train = np.packbits(meta["train"].to_numpy(bool))
             for k in range(buckets):
@@ -326,6 +395,8 @@ def count_pairs(source: DataFrame, model: Model, config: Config) -> DataFrame:
             yield pd.DataFrame(rows, columns=["bucket", "batch", "value"])
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
+        answers = [unpack(v) for v in p["value"][p["batch"] == -1]]
+        p = p[p["batch"] != -1]
         got = [unpack(v) for v in p["value"]]
         context = np.concatenate([_unkeys(g[0], g[1], g[2], g[3]) for g in got])
         key = np.concatenate([_unkeys(g[4], g[5], g[6], g[7]) for g in got])
@@ -344,13 +415,27 @@ def count_pairs(source: DataFrame, model: Model, config: Config) -> DataFrame:
         pair_of = np.repeat(np.repeat(np.arange(len(run)), _sizes(run, len(key))), size)
         count = np.bincount(pair_of, n * train[offsets[posting_source] + o].astype(np.int64), minlength=len(run)).astype(np.int64)
         seen = np.bincount(np.minimum(count, config.large + 2), minlength=config.large + 3)
-        value = pack(*_keys(context[run]), *_keys(key[run], deltas=False), _small(count), _small(np.bincount(pair_of, minlength=len(run))), _small(posting_source), _small(o), _small(n))
+        value = pack(*_keys(context[run]), *_keys(key[run], deltas=False), _small(count), _small(np.bincount(pair_of, minlength=len(run))), _small(posting_source), _small(o), _small(n), _small(_answered(answers, key[run])))
         return pd.DataFrame({"bucket": p["bucket"].iloc[:1], "seen": [seen], "batches": [p["batch"].to_numpy(np.int64)], "value": [value]})
 
     packed = source.mapInPandas(emit, "bucket int, batch long, value binary")
+    if model.share is not None and model.kinds > (model.counts > 0).sum():
+        packed = packed.unionByName(rare_counts(source, words, model, config))
     return write_table(packed.groupBy("bucket").applyInPandas(merge, "bucket int, seen array<long>, batches array<long>, value binary"), "katz-pairs")
 
 
+def _answered(answers: list, key: np.ndarray) -> np.ndarray:
+    """Training counts of the keys without a code, in their order; 0 where no answer came."""
+    rare = key[key >= np.uint64(1 << 63)]
+    if not answers:
+        return np.zeros(len(rare), np.int64)
+    h, c = np.concatenate([a[0] for a in answers]), np.concatenate([a[1].astype(np.int64) for a in answers])
+    by = np.argsort(h)
+    h, c = h[by], c[by]
+    at = np.minimum(np.searchsorted(h, rare), len(h) - 1)
+    return np.where(h[at] == rare, c[at], 0)
+
+
 def _keys(a: np.ndarray, deltas: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys as run lengths (sorted contexts only), whether each is a hash, codes, and hashes."""
     if deltas:
@@ -370,15 +455,19 @@ def _unkeys(lengths: np.ndarray, big: np.ndarray, codes: np.ndarray, hashes: np.
     return np.repeat(a, lengths) if len(lengths) else a
 
 
-def _p1(model: Model, key: np.ndarray) -> np.ndarray:
-    rare = len(model.p1) - 1
-    return model.p1[np.where(key < np.uint64(1 << 63), key, np.uint64(rare)).astype(np.int64)]
+def _p1(model: Model, key: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """P1 of second words; rare: training counts of those without a code."""
+    big = key >= np.uint64(1 << 63)
+    p = model.p1[np.where(big, np.uint64(len(model.p1) - 1), key).astype(np.int64)]
+    if model.share is not None:
+        p[big] = np.where(rare > 0, model.share[np.minimum(rare, len(model.share) - 1)] * rare, p[big])
+    return p
 
 
-def _sums(model: Model, context: np.ndarray, key: np.ndarray, count: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(model: Model, p1: np.ndarray, count: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of a context: training count, discounted count, and P1 of the seen second words."""
     d = model.discount[np.minimum(count, len(model.discount) - 1)] * count
-    return np.add.reduceat(count, starts), np.add.reduceat(d, starts), np.add.reduceat(_p1(model, key) * (count > 0), starts)
+    return np.add.reduceat(count, starts), np.add.reduceat(d, starts), np.add.reduceat(p1 * (count > 0), starts)
 
 
 def backoff(total: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +481,7 @@ def backoff(total: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.n
 
 def _read(value: bytes) -> tuple:
     g = unpack(value)
-    return _unkeys(*g[:4]), _unkeys(*g[4:8]), g[8].astype(np.int64), g[9].astype(np.int64), g[10], g[11], g[12]
+    return _unkeys(*g[:4]), _unkeys(*g[4:8]), g[8].astype(np.int64), g[9].astype(np.int64), g[10], g[11], g[12], g[13].astype(np.int64)
 
 
 def score_pairs(pairs: DataFrame, model: Model, config: Config) -> DataFrame:
@@ -406,12 +495,12 @@ def score_pairs(pairs: DataFrame, model: Model, config: Config) -> DataFrame:
         m = shared.value
         for p in parts:
             for v in p["value"]:
-                context, key, count, *_ = _read(v)
+                context, key, count, *_, rare = _read(v)
                 some = np.isin(context, m.hot.astype(np.uint64))
-                context, key, count = context[some], key[some], count[some]
-                if len(key):
+                context, p1, count = context[some], _p1(m, key, rare)[some], count[some]
+                if len(context):
                     at = _runs(context)
-                    t, k, s = _sums(m, context, key, count, at)
+                    t, k, s = _sums(m, p1, count, at)
                     yield pd.DataFrame({"code": context[at].astype(np.int64), "total": t.astype(float), "kept": k, "seen": s})
 
     if len(model.hot):
@@ -424,17 +513,18 @@ def score_pairs(pairs: DataFrame, model: Model, config: Config) -> DataFrame:
         m = shared.value
         for p in parts:
             for batches, v in zip(p["batches"], p["value"], strict=True):
-                context, key, count, postings, source, o, n = _read(v)
+                context, key, count, postings, source, o, n, rare = _read(v)
+                p1 = _p1(m, key, rare)
                 at = _runs(context)
                 size = _sizes(at, len(key))
-                total, kept, seen = _sums(m, context, key, count, at)
+                total, kept, seen = _sums(m, p1, count, at)
                 total = total.astype(float)
                 alpha, factor = backoff(total, kept, seen)
                 for i in np.flatnonzero(np.isin(context[at], m.hot.astype(np.uint64))) if len(m.hot) else ():
                     total[i], alpha[i], factor[i] = m.alpha[int(context[at[i]])]
                 per = np.repeat(np.arange(len(at)), size)
                 d = m.discount[np.minimum(count, len(m.discount) - 1)] * count / np.maximum(total[per], 1) * factor[per]
-                logp = np.log10(np.maximum(np.where(count > 0, d, alpha[per] * _p1(m, key)), 1e-300))
+                logp = np.log10(np.maximum(np.where(count > 0, d, alpha[per] * p1), 1e-300))
                 sizes = np.zeros(len(batches), np.int64)
                 np.maximum.at(sizes, source, o.astype(np.int64) + 1)
                 ends = np.cumsum(sizes)
@@ -455,7 +545,7 @@ def score(docs: DataFrame, config: Config = Config()) -> DataFrame:
     buckets = int(max(12, -(-tokens_all // config.bucket)))
     words = count_words(source, buckets, config)
     model = word_model(words, buckets, tokens_all, config)
-    pairs = count_pairs(source, model, config)
+    pairs = count_pairs(source, words, model, config)
     scores = score_pairs(pairs, model, config)
     parts = words.where("kind != 'words'").select("kind", "batch", "value").unionByName(scores.select(F.lit("score").alias("kind"), "batch", "value"))
     offset = float(np.log10(model.total + 0.5 * (model.kinds + 1)))
