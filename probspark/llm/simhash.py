@@ -55,15 +55,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every document: one narrow pass over whole texts."""
+def fingerprint_documents(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """doc_id, fp (and digest, if given) of every document: one narrow pass over whole texts."""
+    more = [] if digest is None else ["digest"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in p["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in p["text"]], np.int64), **{c: p[c] for c in more}})
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[digest.alias(c) for c in more])
+    return own.mapInPandas(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -179,10 +181,24 @@ def near_duplicates(docs: DataFrame, tau: int = 2, bucket: int = 32) -> DataFram
 
 
 def keep_one(docs: DataFrame, tau: int = 2, bucket: int = 32) -> DataFrame:
-    """Whole rows of one document (the smallest doc_id) of every component; of repeated rows of that doc_id, one stays."""
-    found = near_duplicates(docs, tau, bucket)
-    keep = write_table(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id = component_id").select("doc_id", "rows"), "simhash-keep")
-    kept = docs.join(keep, "doc_id")
-    once = kept.where("rows = 1").select(docs.columns)
-    again = kept.where("rows > 1").select(docs.columns)
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    """Whole rows of one document of every component: the row of the smallest doc_id (nulls last), then of the smallest
+    hash of its text; of rows that repeat both, one stays."""
+    digest = F.xxhash64("text")
+    own = write_table(fingerprint_documents(docs, digest), "simhash")
+    roots = components(links(own.select("fp").distinct(), tau, bucket))
+    named = own.join(roots, own.fp == roots.node, "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
+    return _rows_of(docs, _elected(named))
+
+
+def _elected(named: DataFrame) -> DataFrame:
+    """doc_id, digest, rows: the first of every root, and how many rows repeat it. Written."""
+    counted = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "rows")
+    return write_table(counted.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.digest", "k.rows"), "simhash-keep")
+
+
+def _rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One whole row of docs for every (doc_id, digest) in keep, null ids included."""
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("d"))
+    met = made.join(keep, made.i.eqNullSafe(keep.doc_id) & (made.d == keep.digest)).select("row", "i", "d", "rows")
+    return met.where("rows = 1").select("row.*").unionByName(met.where("rows > 1").dropDuplicates(["i", "d"]).select("row.*"))
