@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probspark.llm import decontam, pii, quality, sentencepiece, simhash
+from probspark.llm import decontam, near, pii, quality, sentencepiece
 from probspark.llm.common import table, write_table
 from probspark.llm.queries import PIECES
 
@@ -17,8 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group: op9's links, and five-word shingles of similarity 0.8 or more."""
+    return near.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,18 +36,26 @@ from .components import components
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of one text as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of all shingles of one text, in order; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(width, len(words)) - 1 :][:n] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of one text as a signed 64-bit integer."""
+    h = shingle_hashes(text, width)
+    n = len(h)
+    if not n:
+        return 0
     set_bits = np.zeros(BITS, np.int64)
     for k in range(0, n, 65536):
         part = h[k : k + 65536]
@@ -187,17 +195,17 @@ def keep_one(docs: DataFrame, tau: int = 2, bucket: int = 32) -> DataFrame:
     own = write_table(fingerprint_documents(docs, digest), "simhash")
     roots = components(links(own.select("fp").distinct(), tau, bucket))
     named = own.join(roots, own.fp == roots.node, "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
-    return _rows_of(docs, _elected(named))
+    return rows_of(docs, elected(named))
 
 
-def _elected(named: DataFrame) -> DataFrame:
+def elected(named: DataFrame) -> DataFrame:
     """doc_id, digest, rows: the first of every root, and how many rows repeat it. Written."""
     counted = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "rows")
     return write_table(counted.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.digest", "k.rows"), "simhash-keep")
 
 
-def _rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """One whole row of docs for every (doc_id, digest) in keep, null ids included."""
     made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("d"))
     met = made.join(keep, made.i.eqNullSafe(keep.doc_id) & (made.d == keep.digest)).select("row", "i", "d", "rows")
