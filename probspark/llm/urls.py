@@ -7,7 +7,7 @@
    rest is one `**`. Siblings that stay constant and have labels are ordered by their share of blocked labels,
    and neighbours that a two-proportion z-test cannot tell apart (`z`) merge into one branch `{a|b}`.
 3. A template's purity is (blocked + strength * prior) / (labelled + strength); pages of templates at or above
-   `threshold`, of whose pages at least the share `coverage` is labelled, are blocked. Labels are the verdicts of rules (`judge`), or any given ones (`templates`).
+   `threshold` are blocked (`coverage`: the least share of labelled pages, none by default). Labels are the verdicts of rules (`judge`), or any given ones (`templates`).
 
 Every level is a count with partial sums and a join on (host, template, segment); the constants of a level number
 at most pages / support. A null URL, or one without `://`, has empty host and path and the empty template. Ties
@@ -43,7 +43,7 @@ class Config:
     strength: float = 4.0
     prior: float = 0.25
     threshold: float = 0.5
-    coverage: float = 0.5
+    coverage: float = 0.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
