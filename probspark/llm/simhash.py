@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, tau: int = 2, bucket: int = 32) -> DataFram
     fps = own.select("fp").distinct()
     roots = components(links(fps, tau, bucket))
     named = own.join(roots, own.fp == roots.node, "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join deals its rows anew and a very large component is split over tasks
+    least = write_table(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-least")
     out = named.join(least, "root")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -199,14 +200,16 @@ def keep_one(docs: DataFrame, tau: int = 2, bucket: int = 32) -> DataFrame:
 
 
 def elected(named: DataFrame) -> DataFrame:
-    """doc_id, digest, rows: the first of every root, and how many rows repeat it. Written."""
-    counted = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "rows")
-    return write_table(counted.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.digest", "k.rows"), "simhash-keep")
+    """doc_id, digest: the first of every root. Written."""
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    return write_table(named.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.digest"), "simhash-keep")
 
 
 def rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """One whole row of docs for every (doc_id, digest) in keep, null ids included."""
-    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("d"))
-    met = made.join(keep, made.i.eqNullSafe(keep.doc_id) & (made.d == keep.digest)).select("row", "i", "d", "rows")
-    return met.where("rows = 1").select("row.*").unionByName(met.where("rows > 1").dropDuplicates(["i", "d"]).select("row.*"))
+    """One whole row of docs for every (doc_id, digest) in keep, null ids included. The join is a merge join at every
+    size, so the texts always move once; the choice among repeated rows needs no further shuffle."""
+    keys = ["i", "no_id", "d"]
+    key = lambda c, d: [F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("no_id"), d.alias("d")]
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    wanted = keep.select(*key(F.col("doc_id"), F.col("digest")))
+    return made.join(wanted.hint("merge"), keys).dropDuplicates(keys).select("row.*")
