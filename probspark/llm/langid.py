@@ -52,7 +52,12 @@ class Config:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Maximal runs of letters (str.isalpha, which is Unicode's category L), lower-cased."""
+    words = WORD.findall(text.lower()) if text else []
+    if not "".join(words).isalpha():  # the pattern also takes numerals that are no digits
+        words = "".join([c if c.isalpha() else " " for c in " ".join(words)]).split(" ")
+        return [w for w in words if w]
+    return words
 
 
 def scan(v: np.ndarray, e: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, backward: bool = False, out: np.ndarray | None = None) -> np.ndarray:
