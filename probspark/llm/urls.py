@@ -2,16 +2,19 @@
 
 1. Host and path are cut out of the URL; of the rules that fit (host or a parent domain of it, and a prefix of the
    path), the longest decides.
-2. Template tree, level by level: under each node (host, template so far) a segment that is frequent enough
-   (`support` pages and `share` of the node) stays constant, all others become `*`; below `levels` segments the
-   rest is one `**`. Siblings that stay constant and have labels are ordered by their share of blocked labels,
-   and neighbours that a two-proportion z-test cannot tell apart (`z`) merge into one branch `{a|b}`.
+2. Template tree, level by level to the last segment: under each node (host, template so far) a segment that is
+   frequent enough stays constant (`support` pages, and either `share` of the node or `labels` labelled pages), all
+   others become `*`. Constants with labels are dealt to `bins` by their share of blocked labels; neighbouring bins
+   that a two-proportion z-test cannot tell apart (`z`) merge into one branch, written `{a|+k}`: its least segment
+   and the number of the others. So a node is at most `bins` rows wherever its siblings meet. Levels end early once no
+   node has `support` pages: whatever follows is `*`.
 3. A template's purity is (blocked + strength * prior) / (labelled + strength); pages of templates at or above
-   `threshold` are blocked (`coverage`: the least share of labelled pages, none by default). Labels are the verdicts of rules (`judge`), or any given ones (`templates`).
+   `threshold` are blocked. Labels are the verdicts of rules (`judge`), or any given ones (`templates`).
 
-Every level is a count with partial sums and a join on (host, template, segment); the constants of a level number
-at most pages / support. A null URL, or one without `://`, has empty host and path and the empty template. Ties
-between equally long rules go to the first in the list. Repeated rows are repeated; extra columns are ignored.
+Every level is a count with partial sums and a join on (host, template, segment) with the constants, which are written
+first: a small table is broadcast, a larger one joined with hot keys split. Pages whose path has ended leave the loop.
+A null URL, or one without `://`, has empty host and path and the empty template. Ties between equally long rules go to
+the first in the list. Repeated rows are repeated; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +40,12 @@ RULES = [
 class Config:
     support: int = 5
     share: float = 0.02
-    levels: int = 6
     labels: int = 10
+    bins: int = 64
     z: float = 1.96
     strength: float = 4.0
     prior: float = 0.25
     threshold: float = 0.5
-    coverage: float = 0.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -63,24 +65,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return pick([h + p for _, h, p in ordered]), pick([v for v, _, _ in ordered])
 
 
-def _branches(counts: DataFrame, config: Config) -> DataFrame:
+def _sums() -> list[Column]:
+    count = lambda v: F.count(F.when(F.col("label") == v, 1)).alias({"block": "blocked", "allow": "allowed"}[v])
+    return [F.count(F.lit(1)).alias("n"), count("block"), count("allow")]
+
+
+def _branches(counts: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     """host, template, segment, name: the constants of one level, after merging."""
-    node = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-    kept = counts.where(F.col("n") >= config.support).join(node, ["host", "template"]).where(F.col("n") >= F.col("total") * config.share)
-    labelled = F.col("blocked") + F.col("allowed") >= config.labels
-    # at most 1 / share rows per node: small groups however hot the node is
-    w = Window.partitionBy("host", "template", labelled.alias("l")).orderBy("rate", "segment")
-    rated = kept.withColumn("labelled", labelled).withColumn("rate", F.when(labelled, F.col("blocked") / (F.col("blocked") + F.col("allowed"))))
-    n1, n0 = F.col("blocked") + F.col("allowed"), F.lag(F.col("blocked") + F.col("allowed")).over(w)
-    p0 = F.lag("rate").over(w)
-    pooled = (F.col("rate") * n1 + p0 * n0) / (n1 + n0)
-    error = F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / n1 + 1 / n0), F.lit(1e-12)))
-    apart = F.when(F.col("labelled") & p0.isNotNull() & (F.abs(F.col("rate") - p0) <= config.z * error), 0).otherwise(1)
-    grouped = rated.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(w))
-    all_of = Window.partitionBy("host", "template", "labelled", "branch")
-    names = F.sort_array(F.collect_list("segment").over(all_of))
-    name = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("segment"))
-    return grouped.select("host", "template", "segment", name.alias("name"))
+    node = ["host", "template"]
+    labelled = F.col("blocked") + F.col("allowed")
+    kept = counts.where(F.col("n") >= config.support).join(nodes, node).where((F.col("n") >= F.col("total") * config.share) | (labelled >= config.labels))
+    bin_of = F.when(labelled >= config.labels, F.least(F.floor(F.col("blocked") / labelled * config.bins), F.lit(config.bins - 1)).cast("int"))
+    kept = kept.select(*node, "segment", "blocked", labelled.alias("met"), bin_of.alias("bin"))
+    bins = kept.where("bin is not null").groupBy(*node, "bin").agg(F.sum("blocked").alias("blocked"), F.sum("met").alias("met"), F.count(F.lit(1)).alias("members"), F.min("segment").alias("least"))
+    w = Window.partitionBy(*node).orderBy("bin")
+    n0, p1, p0 = F.lag("met").over(w), F.col("blocked") / F.col("met"), F.lag(F.col("blocked") / F.col("met")).over(w)
+    pooled = (F.col("blocked") + F.lag("blocked").over(w)) / (F.col("met") + n0)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / F.col("met") + 1 / n0), F.lit(1e-12)))
+    apart = F.when(p0.isNotNull() & (F.abs(p1 - p0) <= config.z * error), 0).otherwise(1)
+    branch = bins.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(w))
+    all_of = Window.partitionBy(*node, "branch")
+    members, least = F.sum("members").over(all_of), F.min("least").over(all_of)
+    name = F.when(members > 1, F.concat(F.lit("{"), least, F.lit("|+"), (members - 1).cast("string"), F.lit("}"))).otherwise(least)
+    named = write_table(branch.select(*node, "bin", name.alias("name")), "url-bins")
+    merged = kept.where("bin is not null").join(named, [*node, "bin"]).select(*node, "segment", "name")
+    return write_table(merged.unionByName(kept.where("bin is null").select(*node, "segment", F.col("segment").alias("name"))), "url-branches")
 
 
 def templates(pages: DataFrame, config: Config = Config()) -> DataFrame:
@@ -88,19 +97,29 @@ def templates(pages: DataFrame, config: Config = Config()) -> DataFrame:
     segments = F.split(F.substr("path", F.lit(2)), "/")
     at = pages.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit(""))
     columns = at.columns
-    depth = min(config.levels, at.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(depth):
-        at = at.withColumn("segment", F.when(F.size("segments") > level, F.element_at("segments", level + 1)))
-        counts = at.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked"), F.count(F.when(F.col("label") == "allow", 1)).alias("allowed"))
-        at = at.join(_branches(counts, config), ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("name", F.when(F.col("segment") == "", "").otherwise("*"))))
+    wild = lambda x: F.concat(F.lit("/"), F.when(x == "", "").otherwise("*"))
+    done = at.where(F.size("segments") == 0)
+    at = at.where(F.size("segments") > 0)
+    level = 0
+    while True:
+        now = at.withColumn("segment", F.element_at("segments", level + 1))
+        counts = write_table(now.groupBy("host", "template", "segment").agg(*_sums()), "url-counts")
+        nodes = write_table(counts.groupBy("host", "template").agg(F.sum("n").alias("total")), "url-nodes")
+        if (nodes.agg(F.max("total")).first()[0] or 0) < config.support:
+            rest = F.array_join(F.transform(F.slice("segments", F.lit(level + 1), F.size("segments")), wild), "")
+            done = done.unionByName(at.withColumn("template", F.concat("template", rest)))
+            break
+        named = now.join(_branches(counts, nodes, config), ["host", "template", "segment"], "left")
+        step = F.coalesce(F.concat(F.lit("/"), "name"), wild(F.col("segment")))
+        level += 1
         # written, as each level is both counted and joined: else the plan would double with every level
-        at = write_table(at.withColumn("template", F.concat("template", step)).select(*columns), "url-templates")
-    at = at.withColumn("template", F.concat("template", F.when(F.size("segments") > config.levels, "/**").otherwise("")))
-    judged = at.groupBy("host", "template").agg(F.count(F.when(F.col("label") == "block", 1)).alias("blocked"), F.count(F.when(F.col("label") == "allow", 1)).alias("allowed"), F.count(F.lit(1)).alias("n"))
+        stepped = write_table(named.withColumn("template", F.concat("template", step)).select(*columns), "url-templates")
+        done = done.unionByName(stepped.where(F.size("segments") <= level))
+        at = stepped.where(F.size("segments") > level)
+    judged = done.groupBy("host", "template").agg(*_sums())
     purity = (F.col("blocked") + config.strength * config.prior) / (F.col("blocked") + F.col("allowed") + config.strength)
-    judged = judged.withColumn("purity", purity).withColumn("method", F.when((F.col("purity") >= config.threshold) & (F.col("blocked") + F.col("allowed") >= F.col("n") * config.coverage), "block").otherwise("allow"))
-    return at.drop("segments").join(judged, ["host", "template"])
+    judged = judged.withColumn("purity", purity).withColumn("method", F.when(F.col("purity") >= config.threshold, "block").otherwise("allow"))
+    return done.drop("segments").join(write_table(judged, "url-judged"), ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, config: Config = Config()) -> DataFrame:
