@@ -1,19 +1,25 @@
 """SentencePiece encoding and decoding as a max-plus parallel scan.
 
 A text (one space put before it, spaces written as U+2581) becomes the sequence of vocabulary pieces with the
-greatest sum of stored scores; equal sums prefer the piece that starts earlier at every end. A character that
+greatest sum of scores. A character that
 begins no piece of its own may stand alone as unknown, at 10 below the least score, and is written as its UTF-8
-bytes. This is the unigram lattice of the library over the vocabulary file that is given; scores there are
-negated merge ranks, whole numbers, so sums are exact at any length. (Greedy merging, another use of such a
-file, is not a max-plus problem.)
+bytes. Scores are whole numbers (`UNIT` to a natural logarithm), so sums are exact at any length. Below their last
+digit they carry a weight of the piece's place in its unit (`TIES`), which decides between equal sums and is additive
+like the scores: a text has the same best way whether it is cut into chunks or not. A file of unigram
+log probabilities gives them directly. A file of merge ranks (whole numbers from 0 down) has no probabilities, and none
+are trained here: a piece of rank r counts as having the Zipf-Mandelbrot probability of the r-th of a ranked list,
+score -log(r + `OFFSET`). Segmentation is then that of a unigram model over these pieces. It is not greedy merging, the
+library's use of such a file, which is no max-plus problem: most pieces agree, the ids of a text need not. Decoding is
+the library's.
 
 Giant texts (over `Config.giant` characters) are cut into chunks that are dealt over the cluster. A chunk yields
 its boundary-state transfer matrix: entry (i, j) is the best score from a piece that ended i characters before
-the chunk to one that ends j characters before its end. Matrices are combined associatively in prefix and
-suffix products; the states at all borders follow, and each chunk is traced back on its own between its two
-states. Chunks end between words where there is one; only a chunk's length or more without any word end is cut
-anywhere, where another of several equally good ways may be taken than an uncut text would take. Where no piece contains a space behind another character, words are independent and the inside of a
-chunk collapses to a sum, so the matrix only needs the words at its ends. Other texts are one chunk.
+the chunk to one that ends j characters before its end. Matrices are combined associatively: products of `block`
+chunks each, then along a text's blocks, then inside each block. The states at all borders follow, and each chunk is
+traced back on its own between its two states. Chunks end between words where there is one; only a chunk's length or
+more without any word end is cut anywhere. Where no piece contains a space behind another character, words are
+independent and the inside of a chunk collapses to a sum, so the matrix only needs the words at its ends. Other texts
+are one chunk.
 
 Null texts give null ids and decode to null; empty texts give no ids. Repeated rows are repeated; extra
 columns are ignored. A text that itself holds U+2581 decodes with spaces there.
@@ -21,6 +27,7 @@ columns are ignored. A text that itself holds U+2581 decodes with spaces there.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -36,12 +43,21 @@ from .common import bounded_batches, write_table
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 NONE = -(1 << 60)
+UNIT, OFFSET = 1024, 100
+#: One step of a score, and the weights below it by place in a unit (modulo the rows) and length of a piece.
+STEP = 1 << 20
+TIES = np.random.default_rng(23).integers(0, STEP // 4, (1024, 64)).tolist()
+
+
+def weight(place: int, size: int) -> int:
+    return TIES[place & 1023][size & 63]
 
 
 @dataclass(frozen=True)
 class Config:
     giant: int = 40_000
     chunk: int = 8_192
+    block: int = 256
 
 
 class Vocabulary:
@@ -50,7 +66,7 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], names: list[str], kinds: list[str]):
         self.pieces, self.byte_ids, self.names, self.kinds = pieces, byte_ids, names, kinds
         self.longest = max(map(len, pieces), default=1)
-        self.unknown = min((s for s, _ in pieces.values()), default=0) - 10
+        self.unknown = min((s for s, _ in pieces.values()), default=0) - 10 * UNIT
         #: Every beginning of a piece; None where it is no piece itself.
         self.prefixes = {p[:n]: None for p in pieces for n in range(1, len(p))} | pieces
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
@@ -91,45 +107,38 @@ class Vocabulary:
         n = m.vocab_size()
         kinds = ["byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal" for i in range(n)]
         names = [m.id_to_piece(i) for i in range(n)]
-        pieces = {names[i]: (int(m.get_score(i)), i) for i in range(n) if kinds[i] == "normal"}
+        raw = {i: m.get_score(i) for i in range(n) if kinds[i] == "normal"}
+        ranks = all(x <= 0 and float(x).is_integer() for x in raw.values())
+        pieces = {names[i]: (round(-UNIT * math.log(OFFSET - x) if ranks else UNIT * x), i) for i, x in raw.items()}
         return Vocabulary(pieces, [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], names, kinds)
 
-    def edges(self, text: str, s: int) -> Iterator[tuple[int, int, int]]:
-        """(length, score, id or -1) of the pieces that start at s; unknown characters have id -1."""
+    def edges(self, text: str, s: int, place: int) -> Iterator[tuple[int, int, int]]:
+        """(length, score with weight, id or -1) of the pieces that start at s; unknown characters have id -1."""
         prefixes = self.prefixes
         if prefixes.get(text[s]) is None:
-            yield 1, self.unknown, -1
+            yield 1, self.unknown * STEP + weight(place, 1), -1
         for n in range(1, len(text) - s + 1):
             v = prefixes.get(text[s : s + n], 0)
             if v == 0:
                 break
             if v is not None:
-                yield n, v[0], v[1]
+                yield n, v[0] * STEP + weight(place, n), v[1]
 
-    def best(self, text: str) -> tuple[int, bytes]:
-        """Score and ids (int32) of one stretch of text between two borders."""
+    def best(self, text: str, place: int = 0) -> tuple[int, bytes]:
+        """Score with weights and ids (int32) of one stretch of text between two borders, from that place of its unit."""
         n = len(text)
         score, back = [0] + [NONE] * n, [(0, -1)] * (n + 1)
         if self.singles.issuperset(text):
             for last, (size, gain, i) in (self.machine or self._machine()).iter(text):
                 s, e = last + 1 - size, last + 1
-                total = score[s] + gain
-                if total > score[e] or total == score[e] and s < back[e][0]:
+                total = score[s] + gain * STEP + TIES[place + s & 1023][size & 63]
+                if total > score[e]:
                     score[e], back[e] = total, (s, i)
             return score[n], self._trace(text, back)
-        prefixes = self.prefixes
         for s in range(n):
-            base = score[s]
-            if prefixes.get(text[s]) is None and base + self.unknown > score[s + 1]:
-                score[s + 1], back[s + 1] = base + self.unknown, (s, -1)
-            for e in range(s + 1, n + 1):
-                v = prefixes.get(text[s:e], 0)
-                if v is None:
-                    continue
-                if v == 0:
-                    break
-                if base + v[0] > score[e]:
-                    score[e], back[e] = base + v[0], (s, v[1])
+            for size, gain, i in self.edges(text, s, place + s):
+                if score[s] + gain > score[s + size]:
+                    score[s + size], back[s + size] = score[s] + gain, (s, i)
         return score[n], self._trace(text, back)
 
     def _trace(self, text: str, back: list[tuple[int, int]]) -> bytes:
@@ -144,22 +153,23 @@ class Vocabulary:
             at = s
         return array("i", out[::-1]).tobytes()
 
-    def encode_units(self, text: str) -> bytes:
-        """Ids of a text that starts and ends at a border, unit by unit; a bounded memory keeps frequent units."""
-        return b"".join([x[1] for x in self._each(text)])
+    def encode_units(self, text: str, place: int = 0) -> bytes:
+        """Ids of a text that starts (at that place of a unit) and ends at a border, unit by unit."""
+        return b"".join([x[1] for x in self._each(text, place)])
 
-    def _each(self, text: str) -> list[tuple[int, bytes]]:
-        """Score and ids of each unit."""
+    def _each(self, text: str, place: int = 0) -> list[tuple[int, bytes]]:
+        """Score and ids of each unit; a bounded memory keeps frequent units."""
         known = self.known
         if len(known) > 400_000:
             known.clear()
         out = []
         for u in self.unit.findall(text):
-            got = known.get(u)
+            got = known.get(u) if not place else None
             if got is None:
-                got = self.best(u)
-                if len(u) <= 48:
+                got = self.best(u, place)
+                if len(u) <= 48 and not place:
                     known[u] = got
+            place = 0
             out.append(got)
         return out
 
@@ -168,46 +178,52 @@ class Vocabulary:
             return None
         return np.frombuffer(self.encode_units(prepared(text)), np.int32) if text else np.empty(0, np.int32)
 
-    def dense(self, text: str, entry: int, states: int) -> np.ndarray:
+    def dense(self, text: str, entry: int, states: int, place: int = 0) -> np.ndarray:
         """(entry, states) scores of ways through text[entry - 1:], for text with entry - 1 characters of context:
-        from each start 0 .. entry - 1 characters before the border to each end 0 .. states - 1 before the last."""
+        from each start 0 .. entry - 1 characters before the border to each end 0 .. states - 1 before the last.
+        place: that of the border in its unit."""
         n = len(text)
         v = np.full((n + 1, entry), NONE, np.int64)
         v[np.arange(entry - 1, -1, -1), np.arange(entry)] = 0
         for s in range(n):
-            for size, gain, _ in self.edges(text, s):
+            for size, gain, _ in self.edges(text, s, place + s - entry + 1):
                 np.maximum(v[s + size], v[s] + gain, out=v[s + size])
         out = np.full((entry, states), NONE, np.int64)
         k = min(states, n + 1)
         out[:, :k] = v[n - np.arange(k)].T
         return np.where(out < NONE // 2, NONE, out)
 
-    def transfer(self, context: str, text: str) -> np.ndarray:
-        """Transfer matrix (longest, longest) of a chunk, given up to longest - 1 characters before it."""
+    def transfer(self, context: str, text: str, place: int = 0) -> np.ndarray:
+        """Transfer matrix (longest, longest) of a chunk that begins at that place of a unit, given up to longest - 1
+        characters before it."""
         w = self.longest
-        lead = " " * (w - 1 - len(context)) + context  # states beyond the text's start can't be reached
+        if self.splits and not place:
+            context = ""  # the border lies between two units: every way passes it
+        lead = " " * (w - 1 - len(context)) + context  # states before the text's or the unit's start can't be reached
         borders = [m.start() for m in self.unit.finditer(text)][1:] if self.splits else []
-        if self.splits and text and self._border(context[-1:], text[0]):
-            borders.insert(0, 0)
         if not borders:
-            out = self.dense(lead + text, w, w)
+            out = self.dense(lead + text, w, w, place)
         else:
             a, b = borders[0], borders[-1]
-            head = self.dense(lead + text[:a], w, 1)
+            head = self.dense(lead + text[:a], w, 1, place)
             middle = sum(x[0] for x in self._each(text[a:b]))
             tail = self.dense(text[b:], 1, w)
             out = head + middle + tail
-        out[len(context) + 1 :] = NONE
+        out[min(len(context), place if self.splits else w) + 1 :] = NONE
         return np.where(out < NONE // 2, NONE, out)
 
-    def cuts(self, text: str, chunk: int) -> list[int]:
-        """Chunk ends: behind the last whole unit of each stretch of that size, or after that size where no unit ends."""
-        at = [0]
-        while len(text) - at[-1] > chunk:
-            a = at[-1]
+    def cuts(self, text: str, chunk: int) -> list[tuple[int, int, int]]:
+        """(start, end, place of the start in its unit) of all chunks: each ends behind the last whole unit of a stretch
+        of that size, or after that size where no unit ends."""
+        out, a, unit = [], 0, 0
+        while len(text) - a > chunk:
             units = [m.start() for m in self.unit.finditer(text, a, a + chunk)] if self.splits else []
-            at.append(units[-1] if len(units) > 1 else a + chunk)
-        return [*at, len(text)]
+            b = units[-1] if len(units) > 1 else a + chunk
+            if len(units) <= 1 and self.splits and self._border(text[b - 1], text[b]):
+                units = [a, b]
+            out.append((a, b, a - unit))
+            a, unit = b, b if len(units) > 1 else unit
+        return [*out, (a, len(text), a - unit)]
 
     def _border(self, before: str, after: str) -> bool:
         return bool(before) and len(self.unit.findall(before + after)) == 2
@@ -232,24 +248,27 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(out < NONE // 2, NONE, out)
 
 
-def scan(matrices: np.ndarray) -> np.ndarray:
-    """Inclusive max-plus prefix products of (n, w, w) matrices, by doubling."""
-    out, step = matrices.copy(), 1
-    while step < len(out):
-        out[step:] = combine(out[:-step].copy(), out[step:])
-        step *= 2
-    return out
+def product(matrices: np.ndarray) -> np.ndarray:
+    """Max-plus product of (n, w, w) matrices, by pairs of neighbours."""
+    while len(matrices) > 1:
+        half = len(matrices) // 2 * 2
+        matrices = np.concatenate((combine(matrices[:half:2], matrices[1:half:2]), matrices[half:]))
+    return matrices[0]
 
 
-def border_states(matrices: np.ndarray) -> np.ndarray:
-    """States at the n + 1 borders of n chunks on a best way from state 0 to state 0; ties go to the earliest cut."""
-    n = len(matrices)
-    ahead = scan(matrices)[:, 0, :]
-    states = np.zeros(n + 1, np.int64)
-    for k in range(n - 1, 0, -1):
-        via = ahead[k - 1] + matrices[k][:, states[k + 1]]
-        states[k] = len(via) - 1 - int(via[::-1].argmax())
-    return states
+def border_states(matrices: np.ndarray, ahead: np.ndarray | None = None, leave: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores ahead of each of n matrices (n, w), from the given ones (else state 0), and the states at the n + 1
+    borders of the best way into state `leave`."""
+    n, w = len(matrices), matrices.shape[1]
+    v = np.full((n, w), NONE, np.int64)
+    v[0] = ahead if ahead is not None else np.where(np.arange(w) == 0, 0, NONE)
+    for k in range(n - 1):
+        x = (v[k][:, None] + matrices[k]).max(0)
+        v[k + 1] = np.where(x < NONE // 2, NONE, x)
+    states = np.full(n + 1, leave, np.int64)
+    for k in range(n - 1, -1, -1):
+        states[k] = int((v[k] + matrices[k][:, states[k + 1]]).argmax())
+    return v, states
 
 
 def encode(docs: DataFrame, path: str, config: Config = Config(), check: bool = True) -> DataFrame:
@@ -281,28 +300,43 @@ def encode(docs: DataFrame, path: str, config: Config = Config(), check: bool =
             for row, text in zip(p["row_id"], p["text"], strict=True):
                 t = prepared(text)
                 at = shared.value.cuts(t, config.chunk)
-                yield pd.DataFrame({"row_id": row, "chunk": range(len(at) - 1), "context": [t[max(0, a - w) : a] for a in at[:-1]], "piece": [t[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]})
+                number = np.arange(len(at))
+                yield pd.DataFrame({"row_id": row, "block": number // config.block, "chunk": number, "place": [x[2] for x in at], "context": [t[max(0, a - w) : a] for a, *_ in at], "piece": [t[a:b] for a, b, _ in at]})
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            m = [shared.value.transfer(c, t).ravel() for c, t in zip(p["context"], p["piece"], strict=True)]
-            yield p[["row_id", "chunk"]].assign(matrix=m)
+            m = [shared.value.transfer(c, t, k).ravel() for c, t, k in zip(p["context"], p["piece"], p["place"], strict=True)]
+            yield p[["row_id", "block", "chunk"]].assign(matrix=m)
 
-    def states(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("chunk")
+    def stacked(p: pd.DataFrame) -> np.ndarray:
         w = shared.value.longest
-        s = border_states(np.stack(p["matrix"].to_numpy()).reshape(-1, w, w))
-        return pd.DataFrame({"row_id": p["row_id"].to_numpy(), "chunk": p["chunk"].to_numpy(), "enter": s[:-1], "leave": s[1:]})
+        return np.stack(p["matrix"].to_numpy()).reshape(-1, w, w)
+
+    def blocks(p: pd.DataFrame) -> pd.DataFrame:
+        return p[["row_id", "block"]].iloc[:1].assign(matrix=[product(stacked(p.sort_values("chunk"))).ravel()])
+
+    def along(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        ahead, states = border_states(stacked(p))
+        return p[["row_id", "block"]].assign(ahead=list(ahead), leave=states[1:].astype(np.int32))
+
+    def inside(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values("chunk")
+        _, states = border_states(stacked(m), np.asarray(p["ahead"].iloc[0]), int(p["leave"].iloc[0]))
+        return m[["row_id", "chunk"]].assign(enter=states[:-1].astype(np.int32), out=states[1:].astype(np.int32))
 
     def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             ids = []
-            for c, t, i, j in zip(p["context"], p["piece"], p["enter"], p["leave"], strict=True):
-                ids.append(np.frombuffer(shared.value.encode_units((c[len(c) - i :] + t)[: len(t) + i - j]), np.int32))
+            for c, t, k, i, j in zip(p["context"], p["piece"], p["place"], p["enter"], p["out"], strict=True):
+                ids.append(np.frombuffer(shared.value.encode_units((c[len(c) - i :] + t)[: len(t) + i - j], k - i), np.int32))
             yield p[["row_id", "chunk"]].assign(ids=ids)
 
-    chunks = write_table(giants.select("row_id", "text").mapInPandas(cut, "row_id long, chunk int, context string, piece string").repartition("row_id", "chunk"), "chunks")
-    borders = chunks.mapInPandas(matrices, "row_id long, chunk int, matrix array<long>").groupBy("row_id").applyInPandas(states, "row_id long, chunk int, enter int, leave int")
+    chunks = write_table(giants.select("row_id", "text").mapInPandas(cut, "row_id long, block int, chunk int, place long, context string, piece string").repartition("row_id", "chunk"), "chunks")
+    moved = write_table(chunks.mapInPandas(matrices, "row_id long, block int, chunk int, matrix array<long>"), "matrices")
+    spine = moved.groupBy("row_id", "block").applyInPandas(blocks, "row_id long, block int, matrix array<long>")
+    spine = spine.groupBy("row_id").applyInPandas(along, "row_id long, block int, ahead array<long>, leave int")
+    borders = moved.groupBy("row_id", "block").cogroup(spine.groupBy("row_id", "block")).applyInPandas(inside, "row_id long, chunk int, enter int, out int")
     traced = chunks.join(borders, ["row_id", "chunk"]).mapInPandas(trace, "row_id long, chunk int, ids array<int>")
     joined = traced.groupBy("row_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
 
