@@ -42,7 +42,7 @@ GAP = 8
 @dataclass(frozen=True)
 class Config:
     similarity: float = 0.8
-    recall: float = 0.98
+    recall: float = 0.995
     coordinates: int = 3
     tables: int = 8
     trials: int = 200

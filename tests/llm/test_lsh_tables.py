@@ -14,7 +14,7 @@ def _items(rng):
 def test_recall_of_every_group_is_reached_and_measured():
     rng = random.Random(4)
     items = decontam.Items(_items(rng), decontam.Config())
-    assert all(found >= 0.98 and walks >= 1 for *_, walks, found in items.recall)
+    assert all(found >= 0.995 and walks >= 1 for *_, walks, found in items.recall)
     # edits drawn anew, in filler text: found with nearly that recall, for every length
     texts, want = [], []
     for k in range(400):
