@@ -21,7 +21,7 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("config", [katz.Config(), katz.Config(bucket=20_000, batch=30_000)])
+@pytest.mark.parametrize("config", [katz.Config(), katz.Config(codes=60_000), katz.Config(codes=3_000, bucket=20_000, batch=30_000)])
 def test_words_beyond_the_codes_keep_their_own_share(spark, config):
     rows = _rows()
     got = {r["doc_id"]: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), config).collect()}
