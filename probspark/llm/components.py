@@ -15,8 +15,9 @@ def _digest(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u, v) with u > v; the smallest neighbour of a node takes over the node's other neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    # written, so that the join deals its rows anew: a node with very many neighbours is then split over tasks
-    least = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:  # written, so that the join deals its rows anew: a node with very many neighbours is then split over tasks
+        least = write_table(least, "least")
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

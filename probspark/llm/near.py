@@ -2,10 +2,12 @@
 
 Two distinct texts are linked if their fingerprints are linked (`simhash.links`), or if the Jaccard similarity of their
 sets of `width`-word shingles is at least `least`. Candidates for the second kind share a band: `bands` hashes of `rows`
-minima each over the shingle hashes; a pair at 0.8 shares one with probability 1 - (1 - 0.8**4)**16 = 0.9998. A band
-value of more than `bucket` texts is not paired as a whole: its texts are dealt again by every other band and paired
-there, and where two bands are crowded together, all meet the smallest one. Every candidate that is not linked yet is
-verified on the whole sets of both texts.
+minima each over the shingle hashes; a pair at 0.8 shares one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Candidates
+come in two rounds. First every text meets the smallest text of each of its band values, so a group of many copies costs
+a few pairs for each member, not for each pair of members. Then, among texts that are still apart, a band value of up to
+`bucket` texts is paired as a whole; a more frequent one is dealt again by every other band and paired there, and where
+two bands are crowded together, all meet the smallest one. Every candidate is verified on the whole sets of both texts,
+as 32-bit hashes of their shingles (two sets of n other shingles agree by chance in about n * n / 2**32).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -72,11 +74,31 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
     return own.mapInPandas(run, "doc_id long, digest long, fp long, size long, bands array<long>")
 
 
+def _fits(a: str, b: str, config: Config) -> Column:
+    """Similarity is at most the ratio of the sizes."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(config.least)
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    return texts.select("digest", "root", "size", "bands", F.posexplode("bands").alias("band", "value"))
+
+
+def stars(texts: DataFrame, config: Config) -> DataFrame:
+    """Pairs (a, b) of each text with the smallest text of each of its band values."""
+    dealt = _dealt(texts)
+    first = dealt.groupBy("band", "value").agg(F.min(F.struct("digest", "root", "size")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # written, so that the join deals its rows anew and a very common band value is split over tasks
+    first = write_table(first.where("low < high").select("band", "value", F.col("first.digest").alias("a"), F.col("first.root").alias("ra"), F.col("first.size").alias("sa")), "near-first")
+    met = dealt.drop("bands").join(first, ["band", "value"]).where((F.col("ra") != F.col("root")) & _fits("sa", "size", config))
+    return met.select("a", F.col("digest").alias("b")).distinct()
+
+
 def candidates(texts: DataFrame, config: Config) -> DataFrame:
     """texts (digest, root, size, bands): distinct. Pairs (a, b) that share a band, differ in root and can be similar by size."""
     cols = ["digest", "root", "size"]
-    dealt = texts.select(*cols, "bands", F.posexplode("bands").alias("band", "value"))
+    dealt = _dealt(texts)
     count = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "value", "n")
+    count = write_table(count, "near-count")
     met = dealt.join(count, ["band", "value"])
     few = write_table(met.where(F.col("n") <= config.bucket).select(F.xxhash64("band", "value").alias("key"), *cols), "near-few")
     many = met.where(F.col("n") > config.bucket).select(*cols, "band", "value", F.posexplode("bands").alias("other", "second")).where("other != band")
@@ -92,9 +114,18 @@ def candidates(texts: DataFrame, config: Config) -> DataFrame:
         return a.join(b, "key").where("a < b").drop("key")
 
     out = pairs(few).unionByName(pairs(deep.where(F.col("n") <= config.bucket).select("key", *cols))).unionByName(stars)
-    # similarity is at most the ratio of the sizes
-    fits = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(config.least)
-    return out.where((F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    return out.where((F.col("ra") != F.col("rb")) & _fits("sa", "sb", config)).select("a", "b").distinct()
+
+
+def _sieve(docs: DataFrame, asked: DataFrame, bits: int = 24) -> DataFrame:
+    """docs (digest, text) without most of the rows whose digest is not asked for: a bitmap over 2**bits hash values, at
+    most 2**(bits - 6) rows whatever the size of the tables, is broadcast. It lets through all that are asked for."""
+    place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    word = F.shiftright(F.col("place"), 6)
+    bit = F.expr("shiftleft(1L, int(place & 63))")
+    map_ = asked.select(place("digest").alias("place")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    placed = docs.select("*", place("digest").alias("place")).withColumn("word", word)
+    return placed.join(F.broadcast(map_), "word").where(F.col("mask").bitwiseAND(bit) != 0).select(*docs.columns)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
@@ -102,22 +133,35 @@ def verified(docs: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"digest": p["digest"], "own": [shingles(t, config.width).tobytes() for t in p["text"]]})
+            yield pd.DataFrame({"digest": p["digest"], "own": [np.unique(shingles(t, config.width).astype(np.uint32)).tobytes() for t in p["text"]]})
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keep = []
             for x, y in zip(p["x"], p["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= config.least * (len(x) + len(y) - both))
             yield p.loc[keep, ["a", "b"]]
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    named = docs.select(F.xxhash64("text").alias("digest"), "text").join(asked, "digest").dropDuplicates(["digest"])
+    asked = write_table(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "near-asked")
+    own = _sieve(docs.select(F.xxhash64("text").alias("digest"), "text"), asked)
+    # copies are dropped per task first, so a text of very many copies moves once from each
+    named = own.dropDuplicates(["digest"]).join(asked.hint("merge"), "digest")
     made = write_table(named.mapInPandas(sets, "digest long, own binary"), "near-sets")
     x, y = made.select(F.col("digest").alias("a"), F.col("own").alias("x")), made.select(F.col("digest").alias("b"), F.col("own").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    # merge joins at every size: the sets are the larger side, and the plan stays the same
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+
+
+def _joined(docs: DataFrame, texts: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
+    """texts with new roots: components over the roots of verified pairs. Written."""
+    similar = verified(docs, write_table(pairs, "near-pairs"), config)
+    a, b = (texts.select(F.col("digest").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    edges = similar.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = components(edges.where("a != b")).withColumnRenamed("root", "over")
+    new = texts.join(merged, texts.root == merged.node, "left").withColumn("root", F.coalesce("over", "root"))
+    return write_table(new.select(*texts.columns), "near-texts")
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -126,12 +170,7 @@ def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
     found = components(simhash.links(own.select("fp").distinct()))
     named = own.join(found, own.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp"))
     texts = write_table(named.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("root", "size", "bands")]), "near-texts")
-    pairs = write_table(candidates(texts, config), "near-pairs")
-    similar = verified(docs, pairs, config)
-    root_of = texts.select("digest", "root")
-    a = similar.join(root_of.withColumnRenamed("root", "u"), similar.a == root_of.digest).select("b", "u")
-    edges = a.join(root_of, a.b == root_of.digest).select(F.col("u").alias("a"), F.col("root").alias("b"))
-    merged = components(edges.where("a != b")).withColumnRenamed("root", "over")
-    rows = own.select("doc_id", "digest").join(root_of, "digest")
-    rows = rows.join(merged, rows.root == merged.node, "left").select("doc_id", "digest", F.coalesce("over", "root").alias("root"))
+    texts = _joined(docs, texts, stars(texts, config), config)
+    texts = _joined(docs, texts, candidates(texts, config), config)
+    rows = own.select("doc_id", "digest").join(texts.select("digest", "root"), "digest")
     return simhash.rows_of(docs, simhash.elected(rows))
