@@ -56,44 +56,48 @@ def _pair_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _cells(d: int) -> list[tuple[int, int, int, int, Column]]:
+def _pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """i, j, ci, cj, both, n of all ordered pairs i != j. Only column references are exploded; whatever is worked out of
+    them is columns of these few rows, so no expression repeats for every pair."""
     c = lambda i, j: F.col(f"c{min(i, j)}_{max(i, j)}")
-    out = []
-    for i in range(d):
-        for j in range(d):
-            if i != j:
-                both, ci, cj, n = c(i, j), c(i, i), c(j, j), F.col("n")
-                for (k, l), v in zip(((0, 0), (0, 1), (1, 0), (1, 1)), (n - ci - cj + both, cj - both, ci - both, both), strict=True):
-                    out.append((i, j, k, l, v))
-    return out
+    d = range(len(cols))
+    return long(_pair_row(df, cols), [(i, j, c(i, i), c(j, j), c(i, j), F.col("n")) for i in d for j in d if i != j], ("i", "j", "ci", "cj", "both", "n"))
+
+
+#: Rows of each cell (k, l) of a pair.
+CELLS = {(0, 0): "n - ci - cj + both", (0, 1): "cj - both", (1, 0): "ci - both", (1, 1): "both"}
+
+
+def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """i, j, k, l, m (rows), n (all rows)."""
+    cell = [F.struct(F.lit(k).alias("k"), F.lit(l).alias("l"), F.expr(m).alias("m")) for (k, l), m in CELLS.items()]
+    return _pairs(df, cols).select("i", "j", "n", F.explode(F.array(*cell)).alias("c")).select("i", "j", "c.k", "c.l", "c.m", "n")
 
 
 def joint_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """i, j, k, l, n: rows with feature i = k and feature j = l, for all ordered pairs i != j; one aggregate of d(d+1)/2 sums."""
-    return long(_pair_row(df, cols), _cells(len(cols)), ("i", "j", "k", "l", "n"))
+    return _cells(df, cols).select("i", "j", "k", "l", F.col("m").alias("n"))
 
 
 def priors(df: DataFrame, cols: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """feature, value, p with Laplace smoothing (c + 2 alpha) / (n + 4 alpha)."""
-    row = _pair_row(df, cols)
-    p1 = lambda i: (F.col(f"c{i}_{i}") + 2 * alpha) / (F.col("n") + 4 * alpha)
-    return long(row, [(i, v, p1(i) if v else 1 - p1(i)) for i in range(len(cols)) for v in (0, 1)], ("feature", "value", "p"))
+    row = long(_pair_row(df, cols), [(i, F.col(f"c{i}_{i}"), F.col("n")) for i in range(len(cols))], ("feature", "c", "n"))
+    p1 = (F.col("c") + 2 * alpha) / (F.col("n") + 4 * alpha)
+    values = F.array(*[F.struct(F.lit(v).alias("value"), p.alias("p")) for v, p in ((0, 1 - p1), (1, p1))])
+    return row.select("feature", F.explode(values).alias("v")).select("feature", "v.value", "v.p")
 
 
 def joints(df: DataFrame, cols: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """i, j, k, l, p: smoothed joint probabilities (c + alpha) / (n + 4 alpha)."""
-    return long(_pair_row(df, cols), [(i, j, k, l, (v + alpha) / (F.col("n") + 4 * alpha)) for i, j, k, l, v in _cells(len(cols))], ("i", "j", "k", "l", "p"))
+    return _cells(df, cols).select("i", "j", "k", "l", ((F.col("m") + alpha) / (F.col("n") + 4 * alpha)).alias("p"))
 
 
 def mutual_information(df: DataFrame, cols: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """i, j, mi in nats for all ordered pairs; smoothed as `priors` and `joints`."""
-    row = _pair_row(df, cols)
-    p = lambda i, v: (F.col(f"c{i}_{i}") + 2 * alpha) / (F.col("n") + 4 * alpha) if v else 1 - (F.col(f"c{i}_{i}") + 2 * alpha) / (F.col("n") + 4 * alpha)
-    terms: dict[tuple[int, int], list[Column]] = {}
-    for i, j, k, l, v in _cells(len(cols)):
-        x = (v + alpha) / (F.col("n") + 4 * alpha)
-        terms.setdefault((i, j), []).append(x * (F.ln(x) - F.ln(p(i, k) * p(j, l))))
-    return long(row, [(i, j, balanced(t)) for (i, j), t in terms.items()], ("i", "j", "mi"))
+    one = lambda c: (F.col(c) + 2 * alpha) / (F.col("n") + 4 * alpha)
+    p = _pairs(df, cols).select("i", "j", one("ci").alias("pi"), one("cj").alias("pj"), *[((F.expr(m) + alpha) / (F.col("n") + 4 * alpha)).alias(f"p{k}{l}") for (k, l), m in CELLS.items()])
+    side = lambda c, v: F.col(c) if v else 1 - F.col(c)
+    return p.select("i", "j", balanced([F.col(f"p{k}{l}") * (F.ln(f"p{k}{l}") - F.ln(side("pi", k) * side("pj", l))) for k, l in CELLS]).alias("mi"))
 
 
 def pair_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
@@ -167,19 +171,29 @@ def entropy(df: DataFrame, col: str) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, buckets: int = 256) -> DataFrame:
-    """value, n to value, n, upto (running sum by value). Equal-width buckets of values are window groups of their
-    own; only the at most `buckets` totals meet in one task."""
-    r = counts.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
-    lo, hi = r["lo"], r["hi"]
-    width = (hi - lo) / buckets if lo is not None and hi > lo else 1.0
-    b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-    rows = counts.withColumn("bucket", b)
+    """value, n to value, n, upto (running sum by value). Ranges between sampled quantiles of the distinct values are
+    window groups of their own, however the values lie; only the at most `buckets` totals meet in one task."""
+    cuts = counts.agg(F.approx_percentile("value", [k / buckets for k in range(1, buckets)], F.lit(20 * buckets)).alias("q")).first()["q"]
+    borders = F.lit(sorted({*(cuts or [])})).cast("array<double>") if cuts else F.array().cast("array<double>")
+    rows = counts.withColumn("bucket", F.size(F.filter(borders, lambda b: b <= F.col("value").cast("double"))))
     totals = rows.groupBy("bucket").agg(F.sum("n").alias("t"))
     before = totals.select("bucket", (F.sum("t").over(Window.orderBy("bucket")) - F.col("t")).alias("before"))
     w = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("own", F.sum("n").over(w)).join(F.broadcast(before), "bucket").select("value", "n", (F.col("own") + F.col("before")).alias("upto"))
 
 
+def quantiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles with linear interpolation, from running counts of the distinct values."""
+    counts = value_counts(df, col)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return [math.nan] * len(shares)
+    at = [q * (total - 1) for q in shares]
+    ranks = [math.floor(x) for x in at] + [math.ceil(x) for x in at]
+    row = cumulative(counts).agg(*[F.min(F.when(F.col("upto") > k, F.col("value"))).alias(f"v{i}") for i, k in enumerate(ranks)]).first()
+    return [row[i] + (row[i + len(at)] - row[i]) * (x - math.floor(x)) for i, x in enumerate(at)]
+
+
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """value, p: share of rows at or below each present value (rank method max)."""
     counts = value_counts(df, col)
@@ -206,11 +220,13 @@ def mean_quantiles(df: DataFrame, col: str, q: int) -> DataFrame:
 def _edges(df: DataFrame, col: str, rule: str) -> tuple[float, float, int, int]:
     """lo, hi, bins, n by Freedman-Diaconis (`fd`) or Scott."""
     x = known(col)
-    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop(x).alias("s")).first()
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_pop(x).alias("s")).first()
     if not r["n"]:
         return 0.0, 0.0, 1, 0
     lo, hi, n = r["lo"], r["hi"], r["n"]
-    width = 2 * (r["q"][1] - r["q"][0]) * n ** (-1 / 3) if rule == "fd" else (24 * math.pi**0.5 / n) ** (1 / 3) * r["s"]
+    if rule == "fd":
+        q1, q3 = quantiles(df, col, (0.25, 0.75))
+    width = 2 * (q3 - q1) * n ** (-1 / 3) if rule == "fd" else (24 * math.pi**0.5 / n) ** (1 / 3) * r["s"]
     bins = max(1, math.ceil((hi - lo) / width)) if width > 0 and hi > lo else 1
     return lo, hi, bins, n
 

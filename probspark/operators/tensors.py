@@ -96,11 +96,15 @@ class RatSpn(Model):
 
     def leaves(self, p: dict[str, Var], x: np.ndarray) -> Var:
         """(rows, regions, batch): sums over a region's variables, hidden ones and padding left out."""
-        v = x[:, self.index][:, :, None, :]
-        there = (~np.isnan(v)) * self.real[None, :, None, :]
-        v = np.nan_to_num(v)
+        if isinstance(x, Var):  # a flow's base: nothing is hidden, and gradients pass through the values
+            v = x[:, self.index].reshape(len(x.v), len(self.index), 1, self.index.shape[1])
+            there = self.real[None, :, None, :]
+        else:
+            v = x[:, self.index][:, :, None, :]
+            there = (~np.isnan(v)) * self.real[None, :, None, :]
+            v = Var(np.nan_to_num(v))
         if self.leaf == "gaussian":
-            z = (Var(v) - p["loc"]) / p["scale"]
+            z = (v - p["loc"]) / p["scale"]
             ll = -0.5 * (z * z) - t.log(p["scale"]) - 0.5 * LOG2PI
         else:
             ll = v * p["logit"] - t.softplus(p["logit"])
@@ -266,17 +270,26 @@ def standard_normal(u: Var) -> Var:
 
 class Flow(Model):
     """Chain of bijectors from data to a base density. Layers give back(p, x) -> (u, log |det|) on the tape and
-    forward(u) -> x on plain arrays."""
+    forward(u) -> x on plain arrays. A base model is trained along: its parameters are named `base.`, and it takes
+    values on the tape."""
 
     def __init__(self, n: int, layers: list, base: Model | None = None):
         self.n, self.layers, self.base = n, layers, base
         self.params = {f"{k}.{name}": v for k, layer in enumerate(layers) for name, v in layer.params.items()}
+        self.params |= {f"base.{name}": v for name, v in base.params.items()} if base else {}
+
+    def constrain(self):
+        if self.base is not None:
+            self.base.params = self._own(self.params, "base")
+            self.base.constrain()
+            self.params |= {f"base.{name}": v for name, v in self.base.params.items()}
 
-    def _own(self, p: dict, k: int) -> dict:
+    def _own(self, p: dict, k: int | str) -> dict:
         return {name.split(".", 1)[1]: v for name, v in p.items() if name.startswith(f"{k}.")}
 
-    def back(self, p: dict[str, Var], x: np.ndarray) -> tuple[Var, Var]:
-        u, total = Var(x), Var(np.zeros(len(x)))
+    def back(self, p: dict[str, Var], x: np.ndarray | Var) -> tuple[Var, Var]:
+        u = x if isinstance(x, Var) else Var(x)
+        total = Var(np.zeros(len(u.v)))
         for k, layer in enumerate(self.layers):
             u, ld = layer.back(self._own(p, k), u)
             total = total + ld
@@ -284,7 +297,7 @@ class Flow(Model):
 
     def log_prob(self, p, x):
         u, total = self.back(p, x)
-        base = standard_normal(u) if self.base is None else self.base.log_prob({k: Var(v) for k, v in self.base.params.items()}, u.v).reshape(-1)
+        base = standard_normal(u) if self.base is None else self.base.log_prob(self._own(p, "base"), u).reshape(-1)
         return (base + total).reshape(-1, 1)
 
     def forward(self, u: np.ndarray) -> np.ndarray:

@@ -18,6 +18,8 @@ def models():
         "nice": m.nice(4),
         "realnvp": m.realnvp(4, batch_norm=True),
         "maf": m.maf(4),
+        "over-rat": m.realnvp(4, base=m.RatSpn(4, depth=2, repetitions=2, batch=2, sums=2)),
+        "over-flow": m.realnvp(4, base=m.nice(4)),
         "images": m.realnvp_images(1, 4, 4, filters=3),
         "images-dense": m.realnvp_images(1, 4, 4, filters=3, net="densenet"),
     }
