@@ -13,7 +13,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import stats
 from ..functions.rng import uniform
@@ -76,13 +75,20 @@ def dbscan(df, cols, kinds, domains, scope, key, seed=42, least=5) -> DataFrame:
         raise ValueError("density clusters need discrete variables")
     own = [cols[v] for v in scope]
     groups = df.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
-    order = groups.orderBy(F.desc("__n"), *own).limit(1000).collect()  # clusters beyond share the last label
-    spark = df.sparkSession
-    if not order:
-        return df.withColumn(OUT, F.lit(-1))
-    labels = spark.createDataFrame([(*[r[c] for c in own], i) for i, r in enumerate(order)], T.StructType([*df.select(*own).schema.fields, T.StructField(OUT, T.IntegerType())]))
-    found = df.join(F.broadcast(labels), own, "left").join(groups, own, "left")
-    return found.withColumn(OUT, F.coalesce(OUT, F.when(F.col("__n").isNotNull(), len(order) - 1), F.lit(-1))).drop("__n")
+    labels = _numbered(groups, [F.desc("__n"), *own]).drop("__n")
+    return df.join(labels, own, "left").withColumn(OUT, F.coalesce(OUT, F.lit(-1)))
+
+
+def _numbered(df: DataFrame, order: list) -> DataFrame:
+    """df with its row number from 0 in that order as a label: sorted ranges keep their own numbers, and one count for
+    each range, not the rows, gives the offsets."""
+    ranges = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["part"], r["n"]) for r in ranges.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0] + [n for _, n in sizes])
+    offsets = df.sparkSession.createDataFrame([(p, int(o)) for (p, _), o in zip(sizes, before[:-1], strict=True)], "__part long, __before long")
+    numbered = ranges.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return numbered.withColumn(OUT, (F.col("__before") + place).cast("int")).drop("__at", "__part", "__before")
 
 
 def ward(df, cols, kinds, domains, scope, key, seed=42, n=2, most=800) -> DataFrame:
