@@ -347,3 +347,24 @@ def bits_per_dimension(ll: Column, size: int) -> Column:
 def score_summary(df: DataFrame, ll: str) -> DataFrame:
     """n, mean_ll, two standard errors."""
     return df.agg(F.count(ll).alias("n"), F.avg(ll).alias("mean_ll"), (2 * F.stddev_pop(ll) / F.sqrt(F.count(ll))).alias("two_se"))
+
+
+def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """label, precision, recall, f1, support (rows) for each class as text, then accuracy (precision and recall over all
+    rows), macro and weighted averages. A ratio without rows is 0; rows without either class are left out."""
+    cells = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    part = lambda c, s, g, h: F.struct(F.col(c).alias("label"), s.alias("support"), g.alias("given"), h.alias("hit"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    roles = F.array(part("a", n, zero, F.when(F.col("a") == F.col("p"), n).otherwise(zero)), part("p", zero, n, zero))
+    per = cells.select(F.explode(roles).alias("r")).select("r.*").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "given", "hit")])
+    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    per = per.withColumn("precision", ratio(F.col("hit"), F.col("given"))).withColumn("recall", ratio(F.col("hit"), F.col("support")))
+    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    per = per.withColumn("f1", f1).withColumn("label", F.col("label").cast("string"))
+    names = ["precision", "recall", "f1"]
+    total = F.sum("support")
+    rows = {"accuracy": [F.sum("hit") / total] * 3, "macro": [F.avg(c) for c in names], "weighted": [F.sum(F.col(c) * F.col("support")) / total for c in names]}
+    sums = per.agg(total.alias("support"), *[x.alias(f"{k}_{c}") for k, xs in rows.items() for c, x in zip(names, xs, strict=True)])
+    sums = sums.where("support > 0")
+    whole = long(sums, [(k, *[F.col(f"{k}_{c}") for c in names], F.col("support")) for k in rows], ("label", *names, "support"))
+    return per.select("label", *names, "support").unionByName(whole)

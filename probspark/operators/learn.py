@@ -19,8 +19,9 @@ from ..plans.rewrite import prune
 from ..plans.validate import check
 from .inference import _forward, _gradients
 from .leaves import LEARN_LEAF, factorise, fit_leaves
+from .partition import Partition
 from .splits import OUT, SPLIT_COLS, SPLIT_ROWS
-from .trees import _where, tree_from_counts
+from .trees import counts_of, spanning_tree, tree_from_counts
 
 
 def _store(df: DataFrame) -> DataFrame:
@@ -216,71 +217,132 @@ def greedy_order(mi: np.ndarray, length: int) -> list[int]:
     return out
 
 
-def learn_xpc(df: DataFrame, cols: Sequence[str], det: bool = False, sd: bool = False, min_rows: int = 128, conj: int = 2, arity: int = 2, max_parts: int = 16, use_clt: bool = True, alpha: float = 0.01, seed: int = 42, order: Sequence[int] | None = None) -> Node:
-    """Random circuit: conjunctions on drawn variables split rows; a branch keeps an exact assignment of them and goes
-    on with the other variables, the rest of the rows forms a branch with its own distribution of assignments.
-    sd: all branches draw along one shared order of variables, which keeps the circuit structured."""
-    if conj < 1 or not 2 <= arity <= 2**conj:
-        raise ValueError("conj >= 1 and 2 <= arity <= 2 ** conj")
-    rng = np.random.default_rng(seed)
-    budget = [max_parts]
-    if sd and order is None:
-        n, m = stats.pair_counts(df, cols)
-        order = greedy_order(stats.mutual_information_np(*stats.priors_joints_np(n, m, alpha)), conj)
+def shared_trees(ends: Sequence[tuple], order: Sequence[int], conj: int, alpha: float, rng: np.random.Generator) -> dict[int, dict[int, int]]:
+    """Parents of the variables (-1: root) by length of scope, for ends (scope, rows, pair counts) that all hold the
+    last variables of one order. Each block of `conj` variables has one tree of maximum mutual information, summed over
+    all ends, and the tree of the blocks behind it hangs from its root: trees of all lengths split scopes alike."""
+    d = len(order)
+    info = np.zeros((d, d))
+    for scope, n, m in ends:
+        info[np.ix_(scope, scope)] += stats.mutual_information_np(*stats.priors_joints_np(n, m, alpha))
+    shortest = min(len(scope) for scope, _, _ in ends)
+    blocks = [*(list(order[k : k + conj]) for k in range(0, d - shortest, conj)), list(order[d - shortest :])]
+    up: dict[int, int] = {}
+    out = {}
+    for block in reversed(blocks):
+        root = int(rng.integers(len(block)))
+        below = next((v for v, p in up.items() if p < 0), None)
+        if below is not None:
+            up[below] = block[root]
+        up |= {v: block[p] if p >= 0 else -1 for v, p in zip(block, spanning_tree(info[np.ix_(block, block)], root), strict=True)}
+        out[len(up)] = dict(up)
+    return out
 
-    def leaf(own: DataFrame, scope: list[int]) -> Node:
-        n, m = stats.pair_counts(own, [cols[v] for v in scope])
+
+def _leaf_maker(use_clt: bool, alpha: float, trees: dict[int, dict[int, int]] | None) -> Callable:
+    """leaf(scope, rows, pair counts): a tree, of the shared shape if there is one, or independent variables."""
+
+    def leaf(scope: list[int], n: int, m: np.ndarray) -> Node:
         if len(scope) == 1 or not use_clt:
             leaves = [Bernoulli(v, (m[i, i] + alpha) / (n + 2 * alpha)) for i, v in enumerate(scope)]
             return leaves[0] if len(leaves) == 1 else Product(leaves)
-        return tree_from_counts(n, m, scope, alpha, root=scope.index(next(v for v in order if v in scope)) if sd else 0)
+        if trees is None:
+            return tree_from_counts(n, m, scope, alpha, root=0)
+        up = trees[len(scope)]
+        return tree_from_counts(n, m, scope, alpha, parent=[scope.index(up[v]) if up[v] >= 0 else -1 for v in scope])
+
+    return leaf
+
+
+def _exact(assign: Sequence[int], vs: Sequence[int]) -> list[Node]:
+    return [Bernoulli(v, float(a)) for v, a in zip(vs, assign, strict=True)]
+
 
-    def exact(assign: Sequence[int], vs: Sequence[int]) -> list[Node]:
-        return [Bernoulli(v, float(a)) for v, a in zip(vs, assign, strict=True)]
+def disjunction(counts: dict[tuple, int], vs: Sequence[int], alpha: float) -> Node:
+    """Distribution over the assignments of vs that occur, by their smoothed counts."""
+    found = sorted(counts)
+    w = np.array([counts[a] + alpha for a in found])
+    kids = [Product(_exact(a, vs)) if len(vs) > 1 else _exact(a, vs)[0] for a in found]
+    return kids[0] if len(kids) == 1 else Sum(w / w.sum(), kids)
 
-    def grow(own: DataFrame, scope: list[int]) -> Node:
-        if len(scope) <= conj or budget[0] <= 1:
-            return leaf(own, scope)
-        vs = [v for v in order if v in scope][:conj] if sd else sorted(rng.choice(scope, conj, replace=False).tolist())
-        counts = {tuple(r[cols[v]] for v in vs): r["count"] for r in own.groupBy(*[cols[v] for v in vs]).count().collect()}
+
+def _random_parts(df: DataFrame, cols: Sequence[str], det: bool, min_rows: int, conj: int, arity: int, max_parts: int, alpha: float, rng: np.random.Generator, order: Sequence[int] | None) -> tuple[Callable, list[tuple]]:
+    """A random partition of rows and variables. Returns build and ends: build(leaf) makes the circuit over it, ends
+    lists (scope, rows, pair counts) of the places of its leaves."""
+    if conj < 1 or not 2 <= arity <= 2**conj:
+        raise ValueError("conj >= 1 and 2 <= arity <= 2 ** conj")
+    budget, ends = [max_parts], []
+
+    def end(part: Partition) -> Callable:
+        n, m = counts_of(part.slice(df, cols), [cols[v] for v in part.scope])
+        ends.append((list(part.scope), n, m))
+        return lambda leaf: leaf(list(part.scope), n, m)
+
+    def grow(part: Partition) -> Callable:
+        if len(part.scope) <= conj or budget[0] <= 1:
+            return end(part)
+        vs = [v for v in order if v in part.scope][:conj] if order is not None else sorted(rng.choice(part.scope, conj, replace=False).tolist())
+        counts = {tuple(r[cols[v]] for v in vs): r["n"] for r in part.assignments(df, cols, vs).collect()}
         total = sum(counts.values())
         usable = [a for a in sorted(counts) if counts[a] >= min_rows]
         rng.shuffle(usable)
         kept, left = [], total
         for a in usable:
-            if len(kept) < arity - 1 and left - counts[a] >= min_rows:
+            if len(kept) < min(arity, budget[0]) - 1 and left - counts[a] >= min_rows:
                 kept.append(a)
                 left -= counts[a]
         if not kept:
-            return leaf(own, scope)
+            return end(part)
         budget[0] -= len(kept)
-        rest = [v for v in scope if v not in vs]
-        gone = [a for a in sorted(counts) if a not in kept]
-        other = own.where(~stats.balanced([_where([(cols[v], x) for v, x in zip(vs, a, strict=True)]) for a in kept], lambda x, y: x | y))
+        parts = [p.split_cols(vs) for p in part.split_rows(vs, kept)]
         if det:
-            w = np.array([counts[a] + alpha for a in gone])
-            head = [Product(exact(a, vs)) if len(vs) > 1 else exact(a, vs)[0] for a in gone]
-            head = [head[0]] if len(head) == 1 else [Sum(w / w.sum(), head)]
+            head = [disjunction({a: n for a, n in counts.items() if a not in kept}, vs, alpha)]
         else:
-            n, m = stats.pair_counts(other, [cols[v] for v in vs])
+            n, m = counts_of(parts[0][0].slice(df, cols), [cols[v] for v in vs])
             head = [Bernoulli(v, (m[i, i] + alpha) / (n + 2 * alpha)) for i, v in enumerate(vs)]
-        kids = [Product([*head, grow(other, rest)])]
-        for a in kept:
-            part = own.where(_where([(cols[v], x) for v, x in zip(vs, a, strict=True)]))
-            kids.append(Product([*exact(a, vs), grow(part, rest)]))
-        return Sum(np.array([left, *[counts[a] for a in kept]]) / total, kids)
-
-    return number(grow(df, list(range(len(cols)))))
-
-
-def learn_ensemble(df: DataFrame, cols: Sequence[str], size: int = 3, sd_level: int = 0, seed: int = 42, **args) -> Node:
-    """Uniform mixture. sd_level 0: free members; 1: each structured; 2: all along one order."""
-    order = None
-    if sd_level == 2:
-        n, m = stats.pair_counts(df, cols)
-        order = greedy_order(stats.mutual_information_np(*stats.priors_joints_np(n, m, args.get("alpha", 0.01))), args.get("conj", 2))
-    members = [learn_xpc(df, cols, sd=sd_level > 0, seed=seed + k, order=order, **args) for k in range(size)]
-    return number(Sum(np.full(size, 1 / size), members)) if size > 1 else members[0]
+        heads = [head, *[_exact(a, vs) for a in kept]]
+        kids = [(h, grow(rest)) for h, (_, rest) in zip(heads, parts, strict=True)]
+        weights = np.array([left, *[counts[a] for a in kept]]) / total
+        return lambda leaf: Sum(weights, [Product([*h, build(leaf)]) for h, build in kids])
+
+    return grow(Partition(tuple(range(len(cols))))), ends
+
+
+def _dependence_order(df: DataFrame, cols: Sequence[str], conj: int, alpha: float) -> list[int]:
+    return greedy_order(stats.mutual_information_np(*stats.priors_joints_np(*counts_of(df, cols), alpha)), conj)
+
+
+def learn_xpc(df: DataFrame, cols: Sequence[str], det: bool = False, sd: bool = False, min_rows: int = 128, conj: int = 2, arity: int = 2, max_parts: int = 200, use_clt: bool = True, alpha: float = 0.01, seed: int = 42, order: Sequence[int] | None = None) -> Node:
+    """Random circuit: conjunctions on drawn variables split rows; a branch keeps an exact assignment of them and goes
+    on with the other variables, the rest of the rows forms a branch with its own distribution of assignments.
+    sd: all branches draw along one order of variables and all leaves share one tree for each length of scope, which
+    makes the circuit structured decomposable, tree leaves included."""
+    rng = np.random.default_rng(seed)
+    if sd and order is None:
+        order = _dependence_order(df, cols, conj, alpha)
+    build, ends = _random_parts(df, cols, det, min_rows, conj, arity, max_parts, alpha, rng, order if sd else None)
+    trees = shared_trees(ends, order, conj, alpha, rng) if sd and use_clt else None
+    return number(build(_leaf_maker(use_clt, alpha, trees)))
+
+
+def learn_ensemble(df: DataFrame, cols: Sequence[str], size: int = 3, sd_level: int = 0, seed: int = 42, det: bool = False, min_rows: int = 128, conj: int = 2, arity: int = 2, max_parts: int = 200, use_clt: bool = True, alpha: float = 0.01) -> Node:
+    """Uniform mixture. sd_level 0: free members; 1: each member structured, along an order of its own; 2: the whole
+    mixture structured: all members use one order and one set of trees, learned from the leaves of all of them."""
+    if sd_level not in (0, 1, 2):
+        raise ValueError("sd_level is 0, 1 or 2")
+    if sd_level == 2 and conj == 1:
+        raise ValueError("along one order, conjunctions of one variable leave nothing to chance")
+    args = {"det": det, "min_rows": min_rows, "conj": conj, "arity": arity, "max_parts": max_parts, "alpha": alpha}
+    rngs = [np.random.default_rng(seed + k) for k in range(size)]
+    if sd_level < 2:
+        orders = [rng.permutation(len(cols)).tolist() for rng in rngs]
+        members = [learn_xpc(df, cols, sd=sd_level == 1, seed=seed + k, use_clt=use_clt, order=orders[k], **args) for k in range(size)]
+    else:
+        order = _dependence_order(df, cols, conj, alpha)
+        drawn = [_random_parts(df, cols, rng=rng, order=order, **args) for rng in rngs]
+        trees = shared_trees([e for _, ends in drawn for e in ends], order, conj, alpha, rngs[0]) if use_clt else None
+        members = [build(_leaf_maker(use_clt, alpha, trees)) for build, _ in drawn]
+    return number(Sum(np.full(size, 1 / size), members)) if size > 1 else number(members[0])
 
 
 def bic(ll_sum: float, n: int, parameters: int) -> float:

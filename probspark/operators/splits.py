@@ -36,19 +36,30 @@ def _ml(df: DataFrame, names: list[str], estimator) -> DataFrame:
     return data, estimator.setFeaturesCol("__v").setPredictionCol(OUT)
 
 
-def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=3, sample: int | None = None) -> DataFrame:
+def _best(data: DataFrame, models, loss) -> DataFrame:
+    """data with the labels of the model of least loss; the vectors are made and kept once for all starts."""
+    kept = data.persist()
+    try:
+        best = min((model.fit(fit_on) for model, fit_on in models(kept)), key=loss)
+    finally:
+        kept.unpersist()
+    return best.transform(data)
+
+
+def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample: int | None = None) -> DataFrame:
     """k-means; the best of several seeds. sample: rows (about) to fit on, all rows are assigned."""
     from pyspark.ml.clustering import KMeans
 
     made, names = _features(df, cols, domains, scope)
-    best = None
-    for s in range(starts):
-        data, est = _ml(made, names, KMeans(k=n, seed=seed + s, initSteps=2, maxIter=20))
-        fit_on = data if sample is None else data.where(uniform(seed + s, key) < min(1.0, sample / max(1, data.count())))
-        model = est.fit(fit_on)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = model.summary.trainingCost, model
-    return best[1].transform(data).drop("__v", *names)
+    data, _ = _ml(made, names, KMeans())
+
+    def models(kept):
+        share = 1.0 if sample is None else min(1.0, sample / max(1, kept.count()))
+        for s in range(starts):
+            est = KMeans(k=n, seed=seed + s, initSteps=2, maxIter=20, featuresCol="__v", predictionCol=OUT)
+            yield est, kept if share == 1.0 else kept.where(uniform(seed + s, key) < share)
+
+    return _best(data, models, lambda m: m.summary.trainingCost).drop("__v", *names)
 
 
 def kmeans_minibatch(df, cols, kinds, domains, scope, key, seed=42, n=2) -> DataFrame:
@@ -56,17 +67,14 @@ def kmeans_minibatch(df, cols, kinds, domains, scope, key, seed=42, n=2) -> Data
     return kmeans(df, cols, kinds, domains, scope, key, seed, n, 3, sample=100_000)
 
 
-def gmm(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=1) -> DataFrame:
+def gmm(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=3) -> DataFrame:
+    """Gaussian mixture; the best of several seeds."""
     from pyspark.ml.clustering import GaussianMixture
 
     made, names = _features(df, cols, domains, scope)
-    best = None
-    for s in range(starts):
-        data, est = _ml(made, names, GaussianMixture(k=n, seed=seed + s, maxIter=15))
-        model = est.fit(data)
-        if best is None or model.summary.logLikelihood > best[0]:
-            best = model.summary.logLikelihood, model
-    return best[1].transform(data).drop("__v", "probability", *names)
+    data, _ = _ml(made, names, GaussianMixture())
+    models = lambda kept: ((GaussianMixture(k=n, seed=seed + s, maxIter=15, featuresCol="__v", predictionCol=OUT), kept) for s in range(starts))
+    return _best(data, models, lambda m: -m.summary.logLikelihood).drop("__v", "probability", *names)
 
 
 def dbscan(df, cols, kinds, domains, scope, key, seed=42, least=5) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from ..functions.stats import classification_report
 from ..functions.transforms import squeeze_order
 from ..plans import tape as t
 from ..plans.tape import Var
@@ -702,6 +703,15 @@ def test(df: DataFrame, model: Model, cols: Sequence[str], label: str | None = N
     scored = score(df, model, cols)
     if label is None:
         return scored.agg(F.avg("ll").alias("mean_ll"), (2 * F.stddev_pop("ll") / F.sqrt(F.count(F.lit(1)))).alias("two_se"))
+    return _predicted(df, model, cols).groupBy(F.col(label).alias("actual"), "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _predicted(df: DataFrame, model: Model, cols: Sequence[str]) -> DataFrame:
+    """df with the class of greatest likelihood."""
     best = F.greatest(*[F.col(f"ll_{k}") for k in range(model.classes)])
-    predicted = F.coalesce(*[F.when(F.col(f"ll_{k}") == best, k) for k in range(model.classes)])
-    return scored.groupBy(F.col(label).alias("actual"), predicted.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return score(df, model, cols).withColumn("predicted", F.coalesce(*[F.when(F.col(f"ll_{k}") == best, k) for k in range(model.classes)]))
+
+
+def test_classes(df: DataFrame, model: Model, cols: Sequence[str], label: str) -> DataFrame:
+    """Precision, recall and F1 of each class, accuracy and averages (`stats.classification_report`)."""
+    return classification_report(_predicted(df, model, cols), label, "predicted")

@@ -292,6 +292,14 @@ class ChowLiu(Leaf):
         self.root = self.parent.index(-1)
         self.order = tree_order(self.parent)
 
+    def product_scopes(self) -> list[tuple[int, ...]]:
+        """Scopes of the products of the equivalent circuit: the variables under each node with children."""
+        under: list[list[int]] = [[v] for v in self.scope]
+        for j in reversed(self.order):
+            if self.parent[j] >= 0:
+                under[self.parent[j]] += under[j]
+        return [tuple(sorted(u)) for u in under if len(u) > 1]
+
     def _messages(self, b, get, join):
         """Per variable the pair of upward messages to its parent's two values, and the pair at its own values."""
         d = len(self.scope)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from .nodes import Node, Product, Sum, bfs, layers, of_type
+from .nodes import ChowLiu, Node, Product, Sum, bfs, layers, of_type
 
 _enabled: ContextVar[bool] = ContextVar("check_circuits", default=True)
 
@@ -42,22 +42,28 @@ def problem(root: Node, labeled=True, smooth=True, decomposable=True, structured
     return None
 
 
-def scopes(root: Node) -> list[frozenset]:
-    return [frozenset(n.scope) for n in bfs(root)]
+def scopes(root: Node) -> set[frozenset]:
+    """Scopes of all nodes, and of the products inside tree leaves."""
+    inner = {frozenset(s) for n in of_type(root, ChowLiu) for s in n.product_scopes()}
+    return {frozenset(n.scope) for n in bfs(root)} | inner
+
+
+def _alike(a: set[frozenset], b: set[frozenset]) -> bool:
+    """Any scope of a and any of b are nested or disjoint."""
+    return all(not (x & y) or x <= y or y <= x for x in a for y in b)
 
 
 def is_structured(root: Node) -> bool:
-    """All product scopes split alike: any two node scopes are nested or disjoint."""
-    found = {frozenset(n.scope) for n in of_type(root, Product)} | {frozenset(c.scope) for n in of_type(root, Product) for c in n.children}
-    found = sorted(found, key=len)
-    return all(not (a & b) or a <= b for i, a in enumerate(found) for b in found[i + 1 :])
+    """All products split alike, those inside tree leaves too: any two scopes are nested or disjoint."""
+    found = scopes(root)
+    return _alike(found, found)
 
 
 def are_compatible(a: Node, b: Node) -> bool:
     """Whether both circuits split common variables alike."""
-    common = set(a.scope) & set(b.scope)
-    cut = [{frozenset(set(s) & common) for s in scopes(r)} - {frozenset()} for r in (a, b)]
-    return all(not (x & y) or x <= y or y <= x for x in cut[0] for y in cut[1])
+    common = frozenset(a.scope) & frozenset(b.scope)
+    cut = [{s & common for s in scopes(r)} for r in (a, b)]
+    return _alike(*cut)
 
 
 def check(root: Node, **what) -> None:

@@ -12,6 +12,7 @@ from .functions import stats, transforms
 from .functions.rng import uniform, uniform_sql
 from .operators import inference, learn, leaves, splits, tensors, trees
 from .operators.estimators import CircuitClassifier
+from .operators.partition import Partition
 from .plans.nodes import Bernoulli, Categorical, ChowLiu, Gaussian, Isotonic, Product, Sum, Uniform, bfs, layers, number, statistics
 from .plans.rewrite import marginalize, prune, to_circuit
 from .plans.store import edge_table, from_dict, node_table, to_dict
@@ -460,7 +461,7 @@ def squeeze_depth(spark, d):
 
 @query(f"SELECT x4, x5, count(*) AS n FROM ({B6_SQL}) GROUP BY ALL HAVING count(*) >= 10")
 def conj_counts(spark, d):
-    return b6(spark, d).groupBy("x4", "x5").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return Partition(tuple(range(6))).assignments(b6(spark, d), B6, (4, 5), 10)
 
 
 @query(f"SELECT x4 + 2 * x5 AS __cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 8) AS weight FROM ({B6_SQL}) GROUP BY 1")
@@ -486,14 +487,16 @@ def random_rows_md5(spark, d):
 @query(f"SELECT x0, x1, x2, count(*) AS n, round((count(*) + 0.01) / ((SELECT count(*) FROM lineitem) + 0.08), 8) AS w FROM ({B6_SQL}) GROUP BY ALL")
 def unique_rows_disjunction(spark, d):
     df = b6(spark, d)
-    n = df.count()
-    counts = df.groupBy("x0", "x1", "x2").agg(F.count(F.lit(1)).alias("n"))
-    return _round(counts.withColumn("w", (F.col("n") + 0.01) / (F.lit(n) + 0.08)), 8)
+    counts = Partition(tuple(range(6))).assignments(df, B6, (0, 1, 2))
+    root = learn.disjunction({tuple(r[c] for c in B6[:3]): r["n"] for r in counts.collect()}, (0, 1, 2), 0.01)
+    scored = inference.log_likelihood(counts, number(root), dict(enumerate(B6[:3])))
+    return _round(scored.select(*B6[:3], "n", F.exp("ll").alias("w")), 8)
 
 
 @query(f"SELECT x0, x1, x2, x3, count(*) AS n FROM ({B6_SQL}) WHERE x4 = 1 AND x5 = 0 GROUP BY ALL")
 def partition_slice(spark, d):
-    return b6(spark, d).where("x4 = 1 AND x5 = 0").groupBy("x0", "x1", "x2", "x3").agg(F.count(F.lit(1)).alias("n"))
+    part = Partition(tuple(range(6))).split_rows((4, 5), [(1, 0)])[1].split_cols((0, 1, 2, 3))[0]
+    return part.slice(b6(spark, d), B6).groupBy("x0", "x1", "x2", "x3").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- trees ---------------------------------------------------------------------------------------------------------
@@ -679,25 +682,35 @@ def _bayes_sql() -> str:
     return f"{head}, s AS (SELECT event_id, y, {ll} AS ll FROM b, w) SELECT event_id, round(max(exp(ll)) FILTER (y = 1) / sum(exp(ll)), 6) AS p1 FROM s GROUP BY 1"
 
 
+def _naive_bayes(spark, d):
+    """Rows with probability, prediction and the class itself, by a classifier whose slices are too small to split."""
+    df = e4(spark, d)
+    model = CircuitClassifier(E4, [Bernoulli] * 4, [[0, 1]] * 4, "event_id", min_rows=2**62).fit(df)
+    return model.transform(df.withColumn("actual", F.col("x3")))
+
+
 @query(_bayes_sql())
 def naive_bayes_classifier(spark, d):
-    df = e4(spark, d)
-    parts = []
-    counts = {r[0]: r[1] for r in df.groupBy("x3").count().collect()}
-    total = sum(counts.values())
-    for y in sorted(counts):
-        fitted = leaves.fit_leaves(df.where(F.col("x3") == y), E4, [Bernoulli] * 4, [[0, 1]] * 4, [0, 1, 2])
-        parts.append((counts[y] / total, Product(fitted), y))
-    scored = df
-    for w, p, y in parts:
-        scored = inference.log_likelihood(scored, number(p), NAMES4, out=f"ll{y}")
-    p1 = 1 / (1 + F.exp(F.col("ll0") + math.log(parts[0][0]) - F.col("ll1") - math.log(parts[1][0])))
-    return _round(scored.select("event_id", p1.alias("p1")))
-
-
-@query(f"WITH b AS ({E4_SQL}) SELECT x3 AS actual, x0 AS predicted, count(*) AS n FROM b GROUP BY ALL")
+    scored = _naive_bayes(spark, d)
+    return _round(scored.select("event_id", F.element_at("probability", 2).alias("p1")))
+
+
+def _report_sql() -> str:
+    ratio = lambda x, y: f"CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0 END"
+    return f"""WITH p AS ({_bayes_sql()}), b AS (SELECT x3 AS a, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS p FROM ({E4_SQL}) JOIN p USING (event_id)),
+        l AS (SELECT DISTINCT a AS c FROM b UNION SELECT DISTINCT p FROM b),
+        k AS (SELECT c, count(*) FILTER (a = c) AS support, count(*) FILTER (p = c) AS given, count(*) FILTER (a = c AND p = c) AS hit FROM b, l GROUP BY c),
+        r AS (SELECT *, {ratio("hit", "given")} AS pr, {ratio("hit", "support")} AS re FROM k), f AS (SELECT *, {ratio("2 * pr * re", "(pr + re)")} AS f1 FROM r),
+        o AS (SELECT CAST(c AS VARCHAR) AS label, pr, re, f1, support FROM f
+        UNION ALL SELECT 'accuracy', sum(hit) / sum(support), sum(hit) / sum(support), sum(hit) / sum(support), sum(support) FROM f
+        UNION ALL SELECT 'macro', avg(pr), avg(re), avg(f1), sum(support) FROM f
+        UNION ALL SELECT 'weighted', sum(pr * support) / sum(support), sum(re * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
+        SELECT label, round(pr, 6) AS "precision", round(re, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM o"""
+
+
+@query(_report_sql())
 def classification_report(spark, d):
-    return e4(spark, d).groupBy(F.col("x3").alias("actual"), F.col("x0").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return _round(stats.classification_report(_naive_bayes(spark, d), "actual", "prediction"))
 
 
 # --- learned circuits: no fixed SQL, checked by properties in the tests -------------------------------------------
