@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -62,9 +62,37 @@ def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample:
     return _best(data, models, lambda m: m.summary.trainingCost).drop("__v", *names)
 
 
-def kmeans_minibatch(df, cols, kinds, domains, scope, key, seed=42, n=2) -> DataFrame:
-    """k-means fitted on a bounded sample."""
-    return kmeans(df, cols, kinds, domains, scope, key, seed, n, 3, sample=100_000)
+def _nearest(names: list[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre, the first of equally near ones."""
+    far = [stats.balanced([(F.col(c) - float(v)) ** 2 for c, v in zip(names, x, strict=True)]) for x in centres]
+    if len(far) == 1:
+        return F.lit(0)
+    low = F.least(*far)
+    return F.coalesce(*[F.when(f == low, i) for i, f in enumerate(far)])
+
+
+def kmeans_minibatch(df, cols, kinds, domains, scope, key, seed=42, n=2, batch=100_000, steps=10) -> DataFrame:
+    """k-means by mini-batches: each step draws about `batch` rows of the whole table by their key's hash, and a centre
+    moves towards the mean of the rows it takes, by their share of all rows it has taken so far."""
+    from pyspark.ml.clustering import KMeans
+
+    made, names = _features(df, cols, domains, scope)
+    kept = made.select(key, *names).persist()
+    try:
+        share = min(1.0, batch / max(1, kept.count()))
+        draw = lambda s: kept.where(uniform(f"{seed}|{s}", key) < share)
+        data, est = _ml(draw(0), names, KMeans(k=n, seed=seed, initSteps=2, maxIter=1))
+        centres = np.array(est.fit(data).clusterCenters())
+        taken = np.zeros(len(centres))
+        for s in range(1, steps + 1):
+            sums = draw(s).groupBy(_nearest(names, centres).alias(OUT)).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
+            for r in sums.collect():  # one row for each centre
+                k = r[OUT]
+                taken[k] += r["n"]
+                centres[k] += (np.array([r[c] for c in names]) - r["n"] * centres[k]) / taken[k]
+    finally:
+        kept.unpersist()
+    return made.withColumn(OUT, _nearest(names, centres)).drop(*names)
 
 
 def gmm(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=3) -> DataFrame:
@@ -99,15 +127,10 @@ def _numbered(df: DataFrame, order: list) -> DataFrame:
     return numbered.withColumn(OUT, (F.col("__before") + place).cast("int")).drop("__at", "__part", "__before")
 
 
-def ward(df, cols, kinds, domains, scope, key, seed=42, n=2, most=800) -> DataFrame:
-    """Agglomerative clusters of least variance over distinct rows with their counts; at most `most` distinct rows
-    are merged pairwise, others join the nearest cluster mean."""
-    if any(kinds[v].kind != "discrete" for v in scope):
-        raise ValueError("agglomeration needs discrete variables")
-    made, names = _features(df, cols, domains, scope)
-    top = made.groupBy(*names).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("w"), *names).limit(most).toPandas()
-    x, w = top[names].to_numpy(float), top["w"].to_numpy(float)
-    means, weight = [*x], [*w]
+def _merged(means: list[np.ndarray], weight: list[float], n: int) -> np.ndarray:
+    """Cluster of each cell after merging, each time, the two clusters whose union adds least variance."""
+    means, weight = list(means), list(weight)
+    members = [[i] for i in range(len(means))]
     while len(means) > n:
         m, q = np.array(means), np.array(weight)
         d = ((m[:, None] - m[None]) ** 2).sum(2) * (q[:, None] * q[None]) / (q[:, None] + q[None])
@@ -115,12 +138,42 @@ def ward(df, cols, kinds, domains, scope, key, seed=42, n=2, most=800) -> DataFr
         i, j = sorted(np.unravel_index(d.argmin(), d.shape))
         means[i] = (m[i] * q[i] + m[j] * q[j]) / (q[i] + q[j])
         weight[i] += weight[j]
-        del means[j], weight[j]
-    far = [stats.balanced([(F.col(c) - float(v)) ** 2 for c, v in zip(names, mean, strict=True)]) for mean in means]
-    if len(far) == 1:
-        return made.withColumn(OUT, F.lit(0)).drop(*names)
-    low = F.least(*far)
-    return made.withColumn(OUT, F.coalesce(*[F.when(f == low, i) for i, f in enumerate(far)])).drop(*names)
+        members[i] += members[j]
+        del means[j], weight[j], members[j]
+    out = np.zeros(sum(map(len, members)), int)
+    for k, own in enumerate(members):
+        out[own] = k
+    return out
+
+
+def ward(df, cols, kinds, domains, scope, key, seed=42, n=2, most=800) -> DataFrame:
+    """Agglomerative clusters of least variance over distinct rows with their counts. Up to `most` distinct rows are
+    the cells that are merged; more of them are first gathered, all and with their counts, into `most` cells by
+    k-means, whose weighted means are then merged. Only cells reach the driver."""
+    from pyspark.ml.clustering import KMeans
+
+    if any(kinds[v].kind != "discrete" for v in scope):
+        raise ValueError("agglomeration needs discrete variables")
+    made, names = _features(df, cols, domains, scope)
+    distinct = made.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__w")).persist()
+    try:
+        many = distinct.count() > most
+        if many:
+            data, est = _ml(distinct, names, KMeans(k=most, seed=seed, initSteps=2, maxIter=10, weightCol="__w"))
+            model = est.setPredictionCol("__cell").fit(data)
+            means = [(F.sum(F.col(c) * F.col("__w")) / F.sum("__w")).alias(c) for c in names]
+            cells = model.transform(data).groupBy("__cell").agg(*means, F.sum("__w").alias("__w")).orderBy("__cell").toPandas()
+        else:
+            cells = distinct.orderBy(F.desc("__w"), *names).toPandas()
+    finally:
+        distinct.unpersist()
+    labels = _merged([*cells[names].to_numpy(float)], [*cells["__w"].to_numpy(float)], n)
+    by = ["__cell"] if many else names
+    schema = ", ".join([f"{c} {'int' if many else 'double'}" for c in by] + [f"{OUT} int"])
+    map_ = df.sparkSession.createDataFrame(cells[by].assign(**{OUT: labels.astype("int32")}), schema)
+    if many:
+        made = model.transform(_ml(made, names, est)[0]).drop("__v")
+    return made.join(F.broadcast(map_), by).drop(*names, "__cell")
 
 
 def random_rows(df, cols, kinds, domains, scope, key, seed=42) -> DataFrame:

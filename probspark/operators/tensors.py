@@ -619,6 +619,33 @@ def score(df: DataFrame, model: Model, cols: Sequence[str], out: str = "ll") ->
     return df.mapInPandas(run, schema)
 
 
+def encode(df: DataFrame, flow: Flow, cols: Sequence[str], log_det: str = "log_det") -> DataFrame:
+    """cols replaced by their values under the flow's base density, with the log determinant."""
+    shared = df.sparkSession.sparkContext.broadcast(flow)
+    schema = ", ".join([f"`{f.name}` " + ("double" if f.name in cols else f.dataType.simpleString()) for f in df.schema] + [f"`{log_det}` double"])
+
+    def run(batches):
+        for p in batches:
+            own = shared.value
+            u, ld = own.back({k: Var(v) for k, v in own.params.items()}, _matrix(p, cols))
+            yield p.assign(**{c: u.v[:, i] for i, c in enumerate(cols)}, **{log_det: ld.v.reshape(-1)})
+
+    return df.mapInPandas(run, schema)
+
+
+def decode(df: DataFrame, flow: Flow, cols: Sequence[str]) -> DataFrame:
+    """The inverse of encode: values of the base density back to data."""
+    shared = df.sparkSession.sparkContext.broadcast(flow)
+    schema = ", ".join(f"`{f.name}` " + ("double" if f.name in cols else f.dataType.simpleString()) for f in df.schema)
+
+    def run(batches):
+        for p in batches:
+            x = shared.value.forward(_matrix(p, cols))
+            yield p.assign(**{c: x[:, i] for i, c in enumerate(cols)})
+
+    return df.mapInPandas(run, schema)
+
+
 def complete(df: DataFrame, model, cols: Sequence[str], key: str | None = None, draw: bool = False, seed: int = 42, label: str | None = None) -> DataFrame:
     """Hidden cells filled by the model; sampled by the row's key if draw."""
     import hashlib

@@ -432,7 +432,10 @@ def logit_transform(spark, d):
 def batchnorm_affine(spark, d):
     df = load(spark, d, "lineitem")
     r = df.agg(F.avg("l_quantity").alias("m"), F.var_samp("l_quantity").alias("v")).first()
-    return _round(df.groupBy("l_orderkey").agg(F.avg((F.col("l_quantity") - r["m"]) / math.sqrt(r["v"] + 1e-5)).alias("y")), 5)
+    layer = tensors.BatchNorm(1)
+    layer.set_moments([r["m"]], [r["v"]])
+    made = tensors.encode(df.select("l_orderkey", F.col("l_quantity").cast("double").alias("y")), tensors.Flow(1, [layer]), ["y"])
+    return _round(made.groupBy("l_orderkey").agg(F.avg("y").alias("y")), 5)
 
 
 @query("SELECT vec_id, round(embedding[64]::DOUBLE, 6) AS last, round(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE)), 4) + 0.0 AS s FROM embeddings")
