@@ -827,6 +827,38 @@ def nice_coupling_fixed(spark, d):
     return _round(tensors.score(_vectors(spark, d, 2).drop("label"), tensors.Flow(2, [layer]), ["e0", "e1"]).select("vec_id", "ll"))
 
 
+@query(
+    f"WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT *, 0.8 * tanh(0.5 * x - 0.2) AS s FROM x) "
+    f"SELECT vec_id, {_r('-0.5 * (x * x + ((y - (0.7 * x + 0.1)) * exp(-s)) ** 2) - s - ' + repr(LOG2PI))} AS ll FROM s"
+)
+def affine_coupling_fixed(spark, d):
+    layer = tensors.Coupling(2, False, affine=True, hidden=())
+    # the rows of the second variable, which is moved, are masked: their weights must not count
+    layer.params = {"w0": np.array([[0.3, 0.7, 0.4, 0.5], [0.9, 0.9, 0.9, 0.9]]), "b0": np.array([0.6, 0.1, 0.6, -0.2]), "gain": np.array([0.5, 0.8])}
+    return _round(tensors.score(_vectors(spark, d, 2).drop("label"), tensors.Flow(2, [layer]), ["e0", "e1"]).select("vec_id", "ll"))
+
+
+MAF_W = [[0.9, 0.3, -0.2, 0.9, 0.4, 0.1], [0.9, 0.9, 0.5, 0.9, 0.9, -0.3], [0.9] * 6]
+MAF_B = [0.1, 0.0, -0.1, 0.2, -0.1, 0.3]
+MAF_GAIN = [0.5, 0.7, 0.9]
+
+
+def _maf_sql() -> str:
+    """Variable k sees only those before it: the other weights are masked."""
+    line = lambda k: " + ".join([repr(MAF_B[k]), *[f"({MAF_W[j][k]!r}) * x{j}" for j in range(k % 3)]])
+    steps = ", ".join(f"{MAF_GAIN[k]} * tanh({line(k + 3)}) AS s{k}, {line(k)} AS t{k}" for k in range(3))
+    cells = ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(3))
+    ll = " ".join(f"- 0.5 * ((x{k} - t{k}) * exp(-s{k})) ** 2 - s{k}" for k in range(3))
+    return f"WITH x AS (SELECT vec_id, {cells} FROM embeddings), s AS (SELECT *, {steps} FROM x) SELECT vec_id, {_r(f'{-1.5 * LOG2PI!r} {ll}')} AS ll FROM s"
+
+
+@query(_maf_sql())
+def maf_fixed(spark, d):
+    layer = tensors.Autoregressive(3, hidden=())
+    layer.params = {"w0": np.array(MAF_W), "b0": np.array(MAF_B), "gain": np.array(MAF_GAIN)}
+    return _round(tensors.score(_vectors(spark, d, 3).drop("label"), tensors.Flow(3, [layer]), ["e0", "e1", "e2"]).select("vec_id", "ll"))
+
+
 RAT_LOC = [[0.0, 0.2], [-0.1, 0.3]]
 
 
