@@ -889,52 +889,60 @@ def energy_samples(spark, d):
     return _round(energy.samples(spark, "moons", 2000))
 
 
+CELLS = [f"e{i}" for i in range(64)]
+
+
+def _trained(df, model, cols, epochs=4, rate=1e-2):
+    tensors.train(df, model, cols, epochs=epochs, rate=rate)
+    return model
+
+
 @query()
 def ratspn_train_score(spark, d):
-    df = _vectors(spark, d, 8)
-    model = tensors.RatSpn(8, classes=10, depth=2, repetitions=2, batch=4, sums=4)
-    tensors.train(df, model, [f"e{i}" for i in range(8)], "label", epochs=5, rate=0.1)
-    return tensors.test(df, model, [f"e{i}" for i in range(8)], "label")
+    df = _vectors(spark, d, 64)
+    model = tensors.RatSpn(64, classes=10, depth=2, repetitions=2, batch=4, sums=4)
+    tensors.train(df, model, CELLS, "label", epochs=5, rate=0.1)
+    return tensors.test(df, model, CELLS, "label")
 
 
 @query()
 def ratspn_mpe(spark, d):
-    df = _vectors(spark, d, 8).drop("label").withColumn("e1", F.lit(None).cast("double"))
-    return _round(tensors.complete(df, tensors.RatSpn(8, depth=2, repetitions=2), [f"e{i}" for i in range(8)]))
+    df = _vectors(spark, d, 64).drop("label")
+    model = _trained(df, tensors.RatSpn(64, depth=2, repetitions=2, batch=4, sums=4), CELLS)
+    return _round(tensors.complete(df.withColumn("e1", F.lit(None).cast("double")), model, CELLS))
 
 
 @query()
 def ratspn_sample(spark, d):
-    df = _vectors(spark, d, 4).drop("label").withColumn("e0", F.lit(None).cast("double"))
-    return _round(tensors.complete(df, tensors.RatSpn(4, depth=1, repetitions=2), [f"e{i}" for i in range(4)], "vec_id", True))
+    df = _vectors(spark, d, 64).drop("label")
+    model = _trained(df, tensors.RatSpn(64, depth=2, repetitions=2, batch=4, sums=4), CELLS)
+    return _round(tensors.complete(df.withColumn("e0", F.lit(None).cast("double")), model, CELLS, "vec_id", True))
 
 
 @query()
 def dgcspn_score(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", "embedding")
-    return _round(tensors.score(df, tensors.DgcSpn(1, 8, 8), ["embedding"]).select("vec_id", "ll"))
+    model = _trained(df, tensors.DgcSpn(1, 8, 8), ["embedding"], 3)
+    return _round(tensors.score(df, model, ["embedding"]).select("vec_id", "ll"))
 
 
 @query()
 def realnvp1d_score(spark, d):
-    df = _vectors(spark, d, 4).drop("label")
-    flow = tensors.realnvp(4, 2, (16,))
-    tensors.train(df, flow, ["e0", "e1", "e2", "e3"], epochs=4)
-    return _round(tensors.score(df, flow, ["e0", "e1", "e2", "e3"]).select("vec_id", "ll"))
+    df = _vectors(spark, d, 64).drop("label")
+    return _round(tensors.score(df, _trained(df, tensors.realnvp(64, 2, (16,)), CELLS), CELLS).select("vec_id", "ll"))
 
 
 @query()
 def maf_score(spark, d):
-    df = _vectors(spark, d, 4).drop("label")
-    flow = tensors.maf(4, 2, (16,))
-    tensors.train(df, flow, ["e0", "e1", "e2", "e3"], epochs=4)
-    return _round(tensors.score(df, flow, ["e0", "e1", "e2", "e3"]).select("vec_id", "ll"))
+    df = _vectors(spark, d, 64).drop("label")
+    return _round(tensors.score(df, _trained(df, tensors.maf(64, 2, (16,)), CELLS), CELLS).select("vec_id", "ll"))
 
 
 @query()
 def realnvp2d_score(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", "embedding")
-    return _round(tensors.score(df, tensors.realnvp_images(1, 8, 8, 4), ["embedding"]).select("vec_id", "ll"))
+    model = _trained(df, tensors.realnvp_images(1, 8, 8, 4), ["embedding"], 3)
+    return _round(tensors.score(df, model, ["embedding"]).select("vec_id", "ll"))
 
 
 @query("WITH a AS (SELECT label < 5 AS lo, embedding[1]::DOUBLE AS x FROM embeddings), m AS (SELECT avg(x) FILTER (lo) AS m1, avg(x) FILTER (NOT lo) AS m2, stddev_samp(x) FILTER (lo) AS s1, stddev_samp(x) FILTER (NOT lo) AS s2 FROM a) SELECT round((m1 - m2) ** 2 + (s1 - s2) ** 2, 8) + 0.0 AS fid FROM m")

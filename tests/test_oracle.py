@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from probspark.operators import tensors
 from probspark.queries import ORACLES, QUERIES
+from probspark.sources.matrices import load
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,3 +39,28 @@ def test_same_as_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", ["learn_spn_gvs", "xpc_score", "cnet_score", "cnet_bd_score", "cnet_bic_score", "em_fit", "rdc_pairs"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+SCORED = {
+    "dgcspn_score": lambda: tensors.DgcSpn(1, 8, 8),
+    "realnvp1d_score": lambda: tensors.realnvp(64, 2, (16,)),
+    "maf_score": lambda: tensors.maf(64, 2, (16,)),
+    "realnvp2d_score": lambda: tensors.realnvp_images(1, 8, 8, 4),
+}
+
+
+@pytest.mark.parametrize("name", list(SCORED))
+def test_training_helps(spark, sf, name):
+    rows = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    before = tensors.score(rows, SCORED[name](), ["embedding"]).toPandas()["ll"]
+    after = QUERIES[name](spark, sf).toPandas()["ll"]
+    assert len(after) == len(before) and np.isfinite(after).all() and after.mean() > before.mean()
+
+
+@pytest.mark.parametrize("name,hidden", [("ratspn_mpe", "e1"), ("ratspn_sample", "e0")])
+def test_completed_from_all_cells(spark, sf, name, hidden):
+    got = QUERIES[name](spark, sf).orderBy("vec_id").toPandas()
+    x = np.stack(load(spark, sf, "embeddings").orderBy("vec_id").toPandas()["embedding"])
+    assert len(got) == len(x) and np.isfinite(got[hidden]).all()
+    others = [c for c in got.columns if c.startswith("e") and c != hidden]
+    assert len(others) == 63 and np.allclose(got[others], x[:, [int(c[1:]) for c in others]], atol=1e-6)
