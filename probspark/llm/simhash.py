@@ -3,7 +3,7 @@
 1. `fingerprint_documents`: 64-bit SimHash over the XXH64 values of 3-word shingles of the whole text.
 2. `plan`: on a bounded sample of distinct fingerprints, correlated bits are grouped into partitions, and a
    dynamic programme over partitions chooses thresholds t_i >= -1 with sum(t_i + 1) = tau + 1, for the
-   smallest estimated number of probes and candidates at the size of the whole table. The plan only steers
+   smallest estimated number of probes, candidates and words of crowded buckets at the size of the whole table. The plan only steers
    cost: any plan finds all links.
 3. `links`: every fingerprint is indexed under its value in each partition and probes all values within t_i;
    candidates are verified on all 64 bits. A bucket with over `bucket` fingerprints is not paired. Its members
@@ -96,20 +96,28 @@ def _group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _pairs_within(values: np.ndarray, width: int, t: int) -> float:
-    """Estimated ordered pairs of values within t bits: exact groups for t = 0, groups with a bit masked for more."""
-    pairs = lambda v: float((np.unique(v, return_counts=True)[1].astype(float) ** 2).sum())
-    same = pairs(values)
+def _met(values: np.ndarray, width: int, t: int, total: int, bucket: int) -> float:
+    """Estimated rows that one fingerprint of `total` makes beside its own index and probe rows: partners within t bits
+    in buckets of up to `bucket`, and BITS + 1 words where it meets a larger one. No fingerprint is its own partner.
+    `values` are a sample's, so partners grow in proportion to the table; where the sample shows none, values of equal
+    chance are taken."""
+    n, even = max(1, len(values)), total / 2.0**width
+    grow = (total - 1) / max(1, n - 1)
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    own = np.maximum((count - 1.0) * grow, even)[at] if len(values) else np.array([even])
+    crowded = own > bucket
     if t <= 0:
-        return same
-    one = sum(pairs(values & ~np.array(1 << b, np.uint64).view(np.int64)) - same for b in range(width))
-    return same + one if t == 1 else same + one * (1 + width / 2)
+        return float(np.where(crowded, BITS + 1.0, own).mean())
+    pairs = lambda v: float((np.unique(v, return_counts=True)[1].astype(float) ** 2).sum())
+    near = sum(pairs(values & ~np.array(1 << b, np.uint64).view(np.int64)) - pairs(values) for b in range(width)) / n * grow
+    near = max(near, width * even) * (1 if t == 1 else 1 + width / 2)
+    # a probe that hits a crowded bucket sends the fingerprint to its words, once
+    return float((BITS + 1.0) * crowded.mean() + np.where(crowded, 0.0, own).mean() + (0.0 if crowded.all() else near))
 
 
-def plan(sample: np.ndarray, total: int, tau: int = 2, most: int = 4) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, total: int, tau: int = 2, most: int = 4, bucket: int = 32) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of the cheapest allocation; partitions with threshold -1 are left out."""
     bits = _bits(sample) if len(sample) else np.zeros((0, BITS), np.uint8)
-    grow = (total / max(1, len(sample))) ** 2
     best: tuple[float, list] = (np.inf, [])
     for m in range(1, most + 1):
         groups = _group_bits(bits, m)
@@ -120,7 +128,7 @@ def plan(sample: np.ndarray, total: int, tau: int = 2, most: int = 4) -> list[tu
             cost = {-1: 0.0}
             for t in range(tau + 1):
                 ball = sum(comb(len(g), k) for k in range(t + 1))
-                cost[t] = total * (1.0 + ball * (t > 0) * 2 + (t == 0)) + _pairs_within(values, len(g), t) * grow
+                cost[t] = 1.0 + ball * (t > 0) * 2 + (t == 0) + _met(values, len(g), t, total, bucket)
             step: dict[int, tuple[float, list]] = {}
             for s, (c, ts) in cheapest.items():
                 for t, x in cost.items():
@@ -132,6 +140,11 @@ def plan(sample: np.ndarray, total: int, tau: int = 2, most: int = 4) -> list[tu
     return best[1]
 
 
+def probe_rows(parts: list[tuple[list[int], int]]) -> int:
+    """Rows that one fingerprint makes under a plan: one for a partition met at its own value, else its ball."""
+    return sum(sum(comb(len(g), k) for k in range(t + 1)) for g, t in parts)
+
+
 def _mask(bits: list[int]) -> int:
     return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
 
@@ -150,7 +163,7 @@ def links(fps: DataFrame, tau: int = 2, bucket: int = 32, sample_rows: int = 20_
         raise ValueError("tau must be 0, 1 or 2")
     total = fps.count()
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64)
-    parts = plan(sample, total, tau)
+    parts = plan(sample, total, tau, bucket=bucket)
     key = lambda i, v: F.struct(F.lit(i).cast("int").alias("part"), v.alias("value"))
     own = [key(i, F.col("fp").bitwiseAND(F.lit(_mask(g)))) for i, (g, _) in enumerate(parts)]
     index = fps.select("fp", F.explode(F.array(*own)).alias("k")).select("fp", "k.part", "k.value")
