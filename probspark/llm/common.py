@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,19 @@ def slices(texts: list, chars: int = 1_000_000) -> list[tuple[int, int]]:
             out.append((start, i + 1))
             start, size = i + 1, 0
     return out + [(start, len(texts))] * (start < len(texts))
+
+
+#: Integer components stay within this bound, so that sums of squares of some hundred of them fit 64 bits.
+MOST_COMPONENT = 2**26
+
+
+def usable(vector: str) -> Column:
+    """The vector is there, and so are all its components, each finite."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(vector, odd), F.lit(False))
+
+
+def whole_numbers(vectors, scale: int) -> np.ndarray:
+    """floor(scale * x) of every component, x as double; saturated at MOST_COMPONENT either way."""
+    x = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return np.clip(np.floor(scale * x), -MOST_COMPONENT, MOST_COMPONENT).astype(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, katz, langid, merkle, pii, quality, sentencepiece, simhash, urls
+from . import chat, decontam, katz, langid, merkle, negatives, pii, quality, sentencepiece, simhash, urls, vectorcodes
 from .common import table
 
 
@@ -64,6 +64,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and its label's error of every usable vector, under codebooks trained on all of them."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -76,8 +87,10 @@ def queries() -> dict:
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op8_document_fingerprints": merkle.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op8_document_fingerprints": merkle.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op12_hard_negatives": negatives.ORACLE}

@@ -22,7 +22,7 @@ def test_same_as_sql(spark, sf, name):
 
 
 def test_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf):
