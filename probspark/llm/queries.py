@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, katz, langid, merkle, negatives, pii, quality, sentencepiece, simhash, urls, vectorcodes
+from . import chat, decontam, katz, langid, merkle, mixing, negatives, pii, quality, sentencepiece, simhash, urls, vectorcodes
 from .common import table
 
 
@@ -75,6 +75,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document, with its source's size and target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.words("text").alias("size"), F.array("source").alias("sources"))
+    out = mixing.mix(docs, "doc_id", "size", "sources")
+    return out.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -89,8 +96,9 @@ def queries() -> dict:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_vector_codes": op11_vector_codes,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_source_mix": op13_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op8_document_fingerprints": merkle.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op8_document_fingerprints": merkle.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_source_mix": mixing.ORACLE}
