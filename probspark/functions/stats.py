@@ -217,6 +217,35 @@ def mean_quantiles(df: DataFrame, col: str, q: int) -> DataFrame:
     return runs.groupBy("chunk").agg((F.sum(F.col("value") * inside) / F.sum(inside)).alias("mean"))
 
 
+def cumulative_by(counts: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """key, value, n to key, value, n, upto (running sum of each key by value), total of the key. As `cumulative`, with cuts
+    for each key; keys are columns of a table, so their cuts and totals are few (keys * buckets) and broadcast."""
+    cuts = counts.groupBy(key).agg(F.approx_percentile("value", [k / buckets for k in range(1, buckets)], F.lit(20 * buckets)).alias("cuts"), F.sum("n").alias("total"))
+    cuts = cuts.withColumn("cuts", F.array_distinct("cuts"))
+    rows = counts.join(F.broadcast(cuts), key).withColumn("bucket", F.size(F.filter("cuts", lambda b: b <= F.col("value")))).drop("cuts")
+    totals = rows.groupBy(key, "bucket").agg(F.sum("n").alias("t"))
+    before = totals.select(key, "bucket", (F.sum("t").over(Window.partitionBy(key).orderBy("bucket")) - F.col("t")).alias("before"))
+    w = Window.partitionBy(key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    made = rows.withColumn("own", F.sum("n").over(w)).join(F.broadcast(before), [key, "bucket"])
+    return made.select(key, "value", "n", (F.col("own") + F.col("before")).alias("upto"), "total")
+
+
+def mean_quantiles_by(long: DataFrame, key: str, col: str, q: int) -> DataFrame:
+    """key, chunk, mean: `mean_quantiles` of every key of a long table, all in one plan. Null and NaN values don't count;
+    a key with fewer than q values raises ValueError."""
+    counts = long.select(key, known(col).alias("value")).where("value IS NOT NULL").groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"))
+    runs = cumulative_by(counts, key)
+    small, longer = F.floor(F.col("total") / q), F.col("total") % q
+    first = lambda k: k * small + F.least(k, longer)
+    cut = longer * (small + 1)
+    chunk = lambda r: F.when(r <= cut, F.floor((r - 1) / (small + 1))).otherwise(longer + F.floor((r - 1 - cut) / small))
+    enough = F.when(F.col("total") < q, F.raise_error(F.lit("fewer values than quantiles")).cast("long")).otherwise(F.col("upto"))
+    runs = runs.withColumn("upto", enough)
+    runs = runs.withColumn("chunk", F.explode(F.sequence(chunk(F.col("upto") - F.col("n") + 1).cast("int"), chunk(F.col("upto")).cast("int"))))
+    inside = F.least("upto", first(F.col("chunk") + 1)) - F.greatest(F.col("upto") - F.col("n"), first(F.col("chunk")))
+    return runs.groupBy(key, "chunk").agg((F.sum(F.col("value") * inside) / F.sum(inside)).alias("mean"))
+
+
 def _edges(df: DataFrame, col: str, rule: str) -> tuple[float, float, int, int]:
     """lo, hi, bins, n by Freedman-Diaconis (`fd`) or Scott."""
     x = known(col)

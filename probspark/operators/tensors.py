@@ -13,11 +13,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..functions.stats import classification_report
+from ..functions.stats import classification_report, mean_quantiles_by
 from ..functions.transforms import squeeze_order
 from ..plans import tape as t
 from ..plans.tape import Var
@@ -25,11 +26,52 @@ from ..plans.tape import Var
 LOG2PI = math.log(2 * math.pi)
 
 
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of counters (splitmix)."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) & _MASK
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keyed_uniforms(keys: np.ndarray, stream: int, n: int) -> np.ndarray:
+    """(rows, n) numbers in [0, 1) from each row's 64-bit key and a stream's number: the same wherever a row is."""
+    at = _mixed(np.arange(n, dtype=np.uint64) + _mixed(np.array([stream], np.uint64)))
+    with np.errstate(over="ignore"):
+        mixed = _mixed(np.asarray(keys).astype(np.int64).view(np.uint64)[:, None] + at[None])
+    return (mixed >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+class Dropout:
+    """Which nodes stay for a row in a step: a function of the row's key, the step and the layer only, so every partitioning
+    and every retry draws the same."""
+
+    def __init__(self, keys: np.ndarray, step: int):
+        self.keys, self.step = keys, step
+
+    def keep(self, layer: int, shape: Sequence[int], rate: float) -> np.ndarray:
+        u = keyed_uniforms(self.keys, (self.step << 16) + layer, int(np.prod(shape)))
+        return (u >= rate).reshape(len(self.keys), *shape)
+
+    def inputs(self, x: Var, layer: int, rate: float, axis: int) -> Var:
+        """Inputs of sums along axis, dropped ones at log 0; where all would go, all stay."""
+        stay = self.keep(layer, x.shape[1:], rate)
+        stay |= ~stay.any(axis, keepdims=True)
+        return x + np.where(stay, 0.0, -np.inf)
+
+
 class Model:
     """params, log_prob(p, x) -> Var (rows, classes), constrain()."""
 
     params: dict[str, np.ndarray]
     classes = 1
+    in_dropout: float | None = None
+    sum_dropout: float | None = None
+    drop: Dropout | None = None
 
     def log_prob(self, p: dict[str, Var], x: np.ndarray) -> Var:
         raise NotImplementedError
@@ -37,6 +79,10 @@ class Model:
     def constrain(self) -> None:
         """Bring parameters back into their range after a step."""
 
+    def batch_layers(self) -> dict[str, object]:
+        """Layers that normalise by the moments of a training batch, by the prefix of their parameters."""
+        return {}
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.log_prob({k: Var(v) for k, v in self.params.items()}, x).v
 
@@ -47,11 +93,135 @@ class Model:
             return -(ll.sum() if self.classes == 1 else t.lse(ll, 1).sum())
         return -(ll[np.arange(len(y)), y.astype(int)] - t.lse(ll, 1)).sum()
 
-    def gradients(self, x: np.ndarray, y: np.ndarray | None) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, x: np.ndarray, y: np.ndarray | None, drop: Dropout | None = None, batch: bool = False) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients. drop: masks of this step. batch: x is one batch, by whose moments layers normalise; these come
+        back, times the rows, in place of the moments' gradients."""
         p = {k: Var(v) for k, v in self.params.items()}
-        out = self.loss(p, x, y)
+        layers = self.batch_layers() if batch else {}
+        for layer in layers.values():
+            layer.record = {}
+        self.drop = drop
+        try:
+            out = self.loss(p, x, y)
+        finally:
+            self.drop = None
+            seen = {f"{k}.{m}": v * len(x) for k, layer in layers.items() for m, v in layer.record.items()}
+            for layer in layers.values():
+                layer.record = None
         t.backward(out)
-        return float(out.v), {k: np.zeros_like(v.v) if v.g is None else v.g for k, v in p.items()}
+        return float(out.v), {k: np.zeros_like(v.v) if v.g is None else v.g for k, v in p.items()} | seen
+
+
+def _rate(rate: float | None) -> float | None:
+    if rate is not None and not 0 < rate < 1:
+        raise ValueError("a dropout rate is between 0 and 1")
+    return rate
+
+
+# --- leaves of tensor networks -------------------------------------------------------------------------------------
+
+
+class TensorLeaf:
+    """A family of densities of one variable whose parameters are arrays of one shape. A subclass of one's own serves as
+    `leaf` of RatSpn and DgcSpn."""
+
+    def start(self, shape: tuple[int, ...], rng: np.random.Generator, place) -> dict[str, np.ndarray]:
+        """First parameters. place(table) brings a (batch, variables) table into the shape."""
+        raise NotImplementedError
+
+    def log_prob(self, p: dict[str, Var], v: Var) -> Var:
+        """v broadcasts against the parameters."""
+        raise NotImplementedError
+
+    def mode(self, p: dict[str, np.ndarray]) -> np.ndarray:
+        raise NotImplementedError
+
+    def sample(self, p: dict[str, np.ndarray], uniforms) -> np.ndarray:
+        """uniforms() gives fresh numbers in [0, 1) of the parameters' shape."""
+        raise NotImplementedError
+
+    def constrain(self, p: dict[str, np.ndarray]) -> None:
+        """Bring parameters back into their range, in place."""
+
+
+class GaussianLeaf(TensorLeaf):
+    """loc: None for standard normal starts, (a, b) for uniform ones, or a table (batch, variables), for example of
+    `mean_quantile_table`. scale: `ones` or `random` at the start and trained along, or `fixed` at 1."""
+
+    def __init__(self, loc: np.ndarray | tuple[float, float] | None = None, scale: str = "ones"):
+        if scale not in ("ones", "random", "fixed"):
+            raise ValueError("scale is ones, random or fixed")
+        if isinstance(loc, tuple) and not loc[0] < loc[1]:
+            raise ValueError("a uniform range is a pair (a, b) with a < b")
+        self.loc, self.scale = loc, scale
+
+    def start(self, shape, rng, place):
+        if self.loc is None:
+            loc = rng.normal(0, 1, shape)
+        elif isinstance(self.loc, tuple):
+            loc = rng.uniform(*self.loc, shape)
+        else:
+            loc = np.array(place(np.asarray(self.loc, float)))
+        out = {"loc": loc}
+        if self.scale != "fixed":
+            out["scale"] = np.ones(shape) if self.scale == "ones" else 0.5 + 0.1 * np.tanh(rng.normal(size=shape))
+        return out
+
+    def log_prob(self, p, v):
+        if "scale" not in p:
+            z = v - p["loc"]
+            return -0.5 * (z * z) - 0.5 * LOG2PI
+        z = (v - p["loc"]) / p["scale"]
+        return -0.5 * (z * z) - t.log(p["scale"]) - 0.5 * LOG2PI
+
+    def mode(self, p):
+        return p["loc"]
+
+    def sample(self, p, uniforms):
+        u, w = uniforms(), uniforms()
+        return p["loc"] + p.get("scale", 1.0) * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * w)
+
+    def constrain(self, p):
+        if "scale" in p:
+            p["scale"] = np.maximum(p["scale"], 1e-5)
+
+
+class BernoulliLeaf(TensorLeaf):
+    def start(self, shape, rng, place):
+        return {"logit": rng.normal(0, 0.5, shape)}
+
+    def log_prob(self, p, v):
+        return v * p["logit"] - t.softplus(p["logit"])
+
+    def mode(self, p):
+        return (p["logit"] >= 0).astype(float)
+
+    def sample(self, p, uniforms):
+        return (uniforms() < 1 / (1 + np.exp(-p["logit"]))).astype(float)
+
+
+def _leaf(leaf: str | TensorLeaf) -> TensorLeaf:
+    if isinstance(leaf, TensorLeaf):
+        return leaf
+    if leaf not in ("gaussian", "bernoulli"):
+        raise ValueError("leaves are gaussian, bernoulli or a TensorLeaf")
+    return GaussianLeaf() if leaf == "gaussian" else BernoulliLeaf()
+
+
+def mean_quantile_table(df: DataFrame, cols: Sequence[str], batch: int) -> np.ndarray:
+    """(batch, variables) means of the `batch` quantile chunks of every numeric column, or of every cell of one array
+    column: starts for the locations of leaves."""
+    first = df.select(*cols).first()
+    if first is not None and len(cols) == 1 and isinstance(first[0], list):
+        long = df.select(F.posexplode(cols[0]).alias("var", "value"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("var"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])
+        long = df.select(F.explode(pairs).alias("k")).select("k.var", "k.value")
+    rows = mean_quantiles_by(long.withColumn("value", F.col("value").cast("double")), "var", "value", batch).collect()
+    out = np.empty((batch, 1 + max(r["var"] for r in rows)))
+    for r in rows:
+        out[r["chunk"], r["var"]] = r["mean"]
+    return out
 
 
 # --- randomised sum-product networks -------------------------------------------------------------------------------
@@ -78,17 +248,17 @@ class RatSpn(Model):
     """Random region graph with tensor layers: `batch` leaf distributions for each region, products of sibling
     regions, `sums` sums for each, one root for each class over all repetitions."""
 
-    def __init__(self, n: int, classes: int = 1, depth: int = 2, repetitions: int = 4, batch: int = 4, sums: int = 4, leaf: str = "gaussian", seed: int = 42):
-        if leaf not in ("gaussian", "bernoulli"):
-            raise ValueError("leaves are gaussian or bernoulli")
+    def __init__(self, n: int, classes: int = 1, depth: int = 2, repetitions: int = 4, batch: int = 4, sums: int = 4, leaf: str | TensorLeaf = "gaussian", in_dropout: float | None = None, sum_dropout: float | None = None, seed: int = 42):
         rng = np.random.default_rng(seed)
-        self.n, self.classes, self.depth, self.repetitions, self.leaf = n, classes, depth, repetitions, leaf
+        self.n, self.classes, self.depth, self.repetitions, self.leaf = n, classes, depth, repetitions, _leaf(leaf)
+        self.in_dropout, self.sum_dropout = _rate(in_dropout), _rate(sum_dropout)
         flat = [r for regions in region_graph(n, depth, repetitions, seed) for r in regions]
         width = max(map(len, flat))
         self.index = np.array([[*r, *[r[-1]] * (width - len(r))] for r in flat])
         self.real = np.array([[1.0] * len(r) + [0.0] * (width - len(r)) for r in flat])
         shape = (len(flat), batch, width)
-        self.params = {"loc": rng.normal(0, 1, shape), "scale": np.full(shape, 1.0)} if leaf == "gaussian" else {"logit": rng.normal(0, 0.5, shape)}
+        self.params = self.leaf.start(shape, rng, lambda table: table[:, self.index].transpose(1, 0, 2))
+        self.leaf_names = list(self.params)
         size = batch
         for k in range(depth - 1, 0, -1):
             self.params[f"sum{k}"] = rng.normal(0, 0.5, (repetitions * 2**k, sums, size * size))
@@ -104,11 +274,9 @@ class RatSpn(Model):
             v = x[:, self.index][:, :, None, :]
             there = (~np.isnan(v)) * self.real[None, :, None, :]
             v = Var(np.nan_to_num(v))
-        if self.leaf == "gaussian":
-            z = (v - p["loc"]) / p["scale"]
-            ll = -0.5 * (z * z) - t.log(p["scale"]) - 0.5 * LOG2PI
-        else:
-            ll = v * p["logit"] - t.softplus(p["logit"])
+        ll = self.leaf.log_prob({k: p[k] for k in self.leaf_names}, v)
+        if self.drop is not None and self.in_dropout:  # a dropped leaf is summed out
+            there = there * self.drop.keep(0, ll.shape[1:], self.in_dropout)
         return (ll * there).sum(3)
 
     def layers(self, p: dict[str, Var], x: np.ndarray) -> list[Var]:
@@ -122,6 +290,8 @@ class RatSpn(Model):
             out.append(prod)
             if k:
                 w = t.log_softmax(p[f"sum{k}"], 2)
+                if self.drop is not None and self.sum_dropout:
+                    prod = self.drop.inputs(prod, k, self.sum_dropout, 2)
                 out.append(t.lse(prod.reshape(n, r, 1, s * s) + w, 3))
         return out
 
@@ -131,8 +301,9 @@ class RatSpn(Model):
         return t.lse(flat + t.log_softmax(p["root"], 1), 2)
 
     def constrain(self):
-        if "scale" in self.params:
-            self.params["scale"] = np.maximum(self.params["scale"], 1e-5)
+        own = {k: self.params[k] for k in self.leaf_names}
+        self.leaf.constrain(own)
+        self.params |= own
 
     def complete(self, x: np.ndarray, y: np.ndarray | None = None, uniforms=None) -> np.ndarray:
         """Fill NaN cells: greatest branches and modes, or a sample where uniforms(k) gives numbers for each row."""
@@ -176,14 +347,8 @@ class RatSpn(Model):
                 if not self.real[r, i]:
                     continue
                 fill = active[:, r] & np.isnan(x[:, var])
-                if self.leaf == "gaussian":
-                    v = self.params["loc"][r, node[:, r], i]
-                    if uniforms is not None:
-                        u, w2 = uniforms(next(at)), uniforms(next(at))
-                        v = v + self.params["scale"][r, node[:, r], i] * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * w2)
-                else:
-                    q = 1 / (1 + np.exp(-self.params["logit"][r, node[:, r], i]))
-                    v = (q >= 0.5).astype(float) if uniforms is None else (uniforms(next(at)) < q).astype(float)
+                own = {k: self.params[k][r, node[:, r], i] for k in self.leaf_names}
+                v = self.leaf.mode(own) if uniforms is None else self.leaf.sample(own, lambda: uniforms(next(at)))
                 out[fill, var] = v[fill]
         return out[rows]
 
@@ -192,53 +357,86 @@ class RatSpn(Model):
 
 
 class DgcSpn(Model):
-    """Gaussian leaves for each pixel, then layers of 2 x 2 products (dilated, or with stride 2 for the first `pooling`
-    ones) and location-wise sums; one root for each class. Padding adds log 1, that is, nothing."""
-
-    def __init__(self, channels: int, height: int, width: int, classes: int = 1, batch: int = 4, sums: int = 4, pooling: int = 0, seed: int = 42):
+    """Leaves for each pixel, then layers of 2 x 2 products (dilated by 1, 2, 4, ..., or with stride 2 for the first
+    `pooling` ones) and location-wise sums; one root for each class over the locations of the last products, all of which
+    cover the whole image. Padding adds log 1, that is, nothing.
+
+    depthwise: products of one channel at four places (True), or of any four channels (False), for all layers or for each
+    (the last holds for the rest). `products` channel tuples are then drawn, all of them are taken if None. Channels of a
+    pixel are independent under a leaf; completions need Gaussian leaves."""
+
+    def __init__(
+        self, channels: int, height: int, width: int, classes: int = 1, batch: int = 4, sums: int = 4, pooling: int = 0, depthwise: bool | Sequence[bool] = True,
+        products: int | None = None, leaf: str | TensorLeaf = "gaussian", in_dropout: float | None = None, sum_dropout: float | None = None, seed: int = 42,
+    ):
         if height != width:
             raise ValueError("images are square")
-        rng = np.random.default_rng(seed)
-        self.shape, self.classes, self.pooling = (channels, height, width), classes, pooling
         self.depth = max(1, math.ceil(math.log2(height)))
-        self.params = {"loc": rng.normal(0, 1, (batch, channels, height, width)), "scale": np.ones((batch, channels, height, width))}
-        h, size = height, batch
-        self.sizes = []
-        for k in range(self.depth):
-            h = -(-h // 2) if k < pooling else h + 2 ** (k - pooling)
-            if k == self.depth - 1:
-                h = h if k < pooling else h - 2 ** (k - pooling)
-            self.sizes.append(h)
-            if k < self.depth - 1:
+        kinds = [depthwise] if isinstance(depthwise, bool) else list(depthwise)
+        if not 1 <= len(kinds) <= self.depth + 1:
+            raise ValueError("one to ceil(log2(height)) + 1 kinds of products")
+        if not 0 <= pooling <= self.depth:
+            raise ValueError("pooling is 0 to ceil(log2(height))")
+        rng = np.random.default_rng(seed)
+        self.shape, self.classes, self.pooling, self.leaf = (channels, height, width), classes, pooling, _leaf(leaf)
+        self.in_dropout, self.sum_dropout = _rate(in_dropout), _rate(sum_dropout)
+        self.params = self.leaf.start((batch, *self.shape), rng, lambda table: table.reshape(len(table), *self.shape))
+        self.leaf_names = list(self.params)
+        kinds += [kinds[-1]] * (self.depth + 1 - len(kinds))
+        h, size, self.tuples = height, batch, []
+        for k in range(self.depth + 1):
+            self.tuples.append(None if kinds[k] else self._tuples(size, products, rng))
+            size = size if kinds[k] else len(self.tuples[k])
+            d = 2 ** max(0, k - pooling)
+            h = -(-h // 2) if k < pooling else d if k == self.depth else h + d
+            if k < self.depth:
                 self.params[f"sum{k}"] = rng.normal(0, 0.5, (sums, size, h, h))
                 size = sums
         self.params["root"] = rng.normal(0, 0.5, (classes, size * h * h))
 
-    def leaves(self, p: dict[str, Var], x: np.ndarray) -> Var:
-        v = x.reshape(len(x), 1, *self.shape)
-        there = ~np.isnan(v)
-        z = (Var(np.nan_to_num(v)) - p["loc"]) / p["scale"]
-        ll = -0.5 * (z * z) - t.log(p["scale"]) - 0.5 * LOG2PI
+    @staticmethod
+    def _tuples(channels: int, products: int | None, rng: np.random.Generator) -> np.ndarray:
+        """(tuples, 4): the channel at each corner; without repeats."""
+        every = channels**4
+        at = np.arange(every) if products is None or products >= every else np.sort(rng.choice(every, products, replace=False))
+        return np.stack([at // channels**k % channels for k in (3, 2, 1, 0)], 1)
+
+    def leaves(self, p: dict[str, Var], x: np.ndarray | Var) -> Var:
+        if isinstance(x, Var):  # a flow's base: nothing is hidden
+            v, there = x.reshape(x.shape[0], 1, *self.shape), np.ones((1, 1, *self.shape))
+        else:
+            v = x.reshape(len(x), 1, *self.shape)
+            there = ~np.isnan(v)
+            v = Var(np.nan_to_num(v))
+        ll = self.leaf.log_prob({k: p[k] for k in self.leaf_names}, v)
+        if self.drop is not None and self.in_dropout:
+            there = there * self.drop.keep(0, ll.shape[1:], self.in_dropout)
         return (ll * there).sum(2)
 
     def products(self, h: Var, k: int) -> Var:
         """Sum of the four logs at the corners of dilated squares (or of 2 x 2 blocks)."""
-        n, c, s, _ = h.shape
+        s, ids = h.shape[2], self.tuples[k]
         if k < self.pooling:
             h = t.pad(h, ((0, 0), (0, 0), (0, s % 2), (0, s % 2)))
-            return h[:, :, 0::2, 0::2] + h[:, :, 1::2, 0::2] + h[:, :, 0::2, 1::2] + h[:, :, 1::2, 1::2]
-        d = 2 ** (k - self.pooling)
-        final = k == self.depth - 1
-        h = t.pad(h, ((0, 0), (0, 0), (0 if final else d, d), (0 if final else d, d)))
-        m = s if final else s + d
-        return h[:, :, :m, :m] + h[:, :, d : d + m, :m] + h[:, :, :m, d : d + m] + h[:, :, d : d + m, d : d + m]
+            corners = [h[:, :, i::2, j::2] for i in (0, 1) for j in (0, 1)]
+        else:
+            d = 2 ** (k - self.pooling)
+            final = k == self.depth
+            h = t.pad(h, ((0, 0), (0, 0), *[(0, 2 * d - s) if final else (d, d)] * 2))
+            m = d if final else s + d
+            corners = [h[:, :, i : i + m, j : j + m] for i in (0, d) for j in (0, d)]
+        if ids is not None:
+            corners = [t.pick(c, ids[:, i]) for i, c in enumerate(corners)]
+        return corners[0] + corners[1] + corners[2] + corners[3]
 
     def top(self, p: dict[str, Var], leaves: Var) -> Var:
         h = leaves
-        for k in range(self.depth):
+        for k in range(self.depth + 1):
             h = self.products(h, k)
-            if k < self.depth - 1:
+            if k < self.depth:
                 w = t.log_softmax(p[f"sum{k}"], 1)
+                if self.drop is not None and self.sum_dropout:
+                    h = self.drop.inputs(h, k + 1, self.sum_dropout, 1)
                 n, c, s, _ = h.shape
                 h = t.lse(h.reshape(n, 1, c, s, s) + w, 2)
         flat = h.reshape(h.shape[0], 1, -1)
@@ -248,17 +446,20 @@ class DgcSpn(Model):
         return self.top(p, self.leaves(p, x))
 
     def constrain(self):
-        self.params["scale"] = np.maximum(self.params["scale"], 1e-5)
+        own = {k: self.params[k] for k in self.leaf_names}
+        self.leaf.constrain(own)
+        self.params |= own
 
     def complete(self, x: np.ndarray) -> np.ndarray:
-        """Hidden pixels by the leaves' means, weighted by the derivatives of the log likelihood by the leaves."""
+        """Hidden pixels by the leaves' modes, weighted by the derivatives of the log likelihood by the leaves."""
         p = {k: Var(v) for k, v in self.params.items()}
         leaves = self.leaves(p, x)
         leaves.parents = ()
         out = self.top(p, leaves)
         t.backward(t.lse(out, 1).sum() if self.classes > 1 else out.sum())
         share = leaves.g / np.maximum(leaves.g.sum(1, keepdims=True), 1e-30)
-        mean = np.einsum("nbhw,bchw->nchw", share, self.params["loc"]).reshape(x.shape)
+        modes = self.leaf.mode({k: self.params[k] for k in self.leaf_names})
+        mean = np.einsum("nbhw,bchw->nchw", share, modes).reshape(x.shape)
         return np.where(np.isnan(x), mean, x)
 
 
@@ -269,42 +470,189 @@ def standard_normal(u: Var) -> Var:
     return (-0.5 * (u * u) - 0.5 * LOG2PI).sum(1)
 
 
-class Flow(Model):
-    """Chain of bijectors from data to a base density. Layers give back(p, x) -> (u, log |det|) on the tape and
-    forward(u) -> x on plain arrays. A base model is trained along: its parameters are named `base.`, and it takes
-    values on the tape."""
+class Uniform(Model):
+    """Base of a flow: independent, uniform between low and high."""
+
+    def __init__(self, n: int, low: float, high: float):
+        if not low < high:
+            raise ValueError("low is below high")
+        self.n, self.low, self.high, self.params = n, low, high, {}
+
+    def log_prob(self, p, u):
+        u = t.as_var(u)
+        inside = ((u.v >= self.low) & (u.v <= self.high)).all(1)
+        return Var(np.where(inside, -self.n * math.log(self.high - self.low), -np.inf)[:, None])
 
-    def __init__(self, n: int, layers: list, base: Model | None = None):
+    def pathwise(self, p, uniforms: np.ndarray) -> Var:
+        return Var(self.low + (self.high - self.low) * uniforms[:, : self.n])
+
+
+class Normal(Model):
+    """Base of a flow: independent, with trained locations and log scales."""
+
+    def __init__(self, n: int):
+        self.n, self.params = n, {"loc": np.zeros(n), "log_scale": np.zeros(n)}
+
+    def log_prob(self, p, u):
+        z = (t.as_var(u) - p["loc"]) * t.exp(-t.as_var(p["log_scale"]))
+        return (-0.5 * (z * z) - p["log_scale"] - 0.5 * LOG2PI).sum(1)
+
+    def pathwise(self, p, uniforms: np.ndarray) -> Var:
+        return p["loc"] + t.exp(p["log_scale"]) * box_muller(uniforms, self.n)
+
+
+def box_muller(uniforms: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) standard normal numbers from (rows, 2 n) uniform ones."""
+    return np.sqrt(-2 * np.log(1 - uniforms[:, :n])) * np.cos(2 * np.pi * uniforms[:, n : 2 * n])
+
+
+def part(p: dict, prefix: int | str) -> dict:
+    """The parameters under a prefix, without it."""
+    head = f"{prefix}."
+    return {name[len(head) :]: v for name, v in p.items() if name.startswith(head)}
+
+
+def joined(parts: dict) -> dict[str, np.ndarray]:
+    """Parameters of parts, by prefix."""
+    return {f"{k}.{name}": v for k, x in parts.items() for name, v in x.params.items()}
+
+
+def batch_layers(parts: dict) -> dict[str, object]:
+    """Layers with batch moments among parts and their parts, by prefix."""
+    out = {}
+    for k, x in parts.items():
+        if hasattr(x, "record"):
+            out[str(k)] = x
+        out |= {f"{k}.{name}": y for name, y in batch_layers(getattr(x, "parts", {})).items()}
+    return out
+
+
+def both(forward):
+    """forward(p, u) on the tape, which also takes and then gives plain arrays."""
+
+    def run(self, p, u):
+        out = forward(self, {k: t.as_var(v) for k, v in p.items()}, t.as_var(u))
+        return out if isinstance(u, Var) else out.v
+
+    return run
+
+
+class Chain:
+    """Layers one after the other, data side first."""
+
+    def __init__(self, layers: Sequence):
+        self.parts = dict(enumerate(layers))
+        self.params = joined(self.parts)
+
+    def back(self, p, x):
+        total = Var(np.zeros(x.shape[0]))
+        for k, layer in self.parts.items():
+            x, ld = layer.back(part(p, k), x)
+            total = total + ld
+        return x, total
+
+    @both
+    def forward(self, p, u):
+        for k in reversed(self.parts):
+            u = self.parts[k].forward(part(p, k), u)
+        return u
+
+
+class Flow(Model):
+    """Chain of bijectors from data to a base density. Layers give back(p, x) -> (u, log |det|) and forward(p, u) -> x, both
+    on the tape. A base model is trained along: its parameters are named `base.`, and it takes values on the tape.
+    dequantize: bits of whole levels scaled to [0, 1], which go to the middle of their cells first; logit: then the logit
+    of alpha + (1 - 2 alpha) x."""
+
+    def __init__(self, n: int, layers: list, base: Model | None = None, dequantize: int | None = None, logit: float | None = None):
+        if logit is not None and not 0 < logit < 1:
+            raise ValueError("the logit factor is between 0 and 1")
         self.n, self.layers, self.base = n, layers, base
-        self.params = {f"{k}.{name}": v for k, layer in enumerate(layers) for name, v in layer.params.items()}
+        ends = [] if dequantize is None else [Dequantize(n, dequantize)]
+        self.before = Chain(ends if logit is None else [*ends, LogitLayer(n, logit)])
+        self.params = joined(dict(enumerate(layers)))
         self.params |= {f"base.{name}": v for name, v in base.params.items()} if base else {}
 
     def constrain(self):
         if self.base is not None:
-            self.base.params = self._own(self.params, "base")
+            self.base.params = part(self.params, "base")
             self.base.constrain()
             self.params |= {f"base.{name}": v for name, v in self.base.params.items()}
 
-    def _own(self, p: dict, k: int | str) -> dict:
-        return {name.split(".", 1)[1]: v for name, v in p.items() if name.startswith(f"{k}.")}
+    def batch_layers(self):
+        return batch_layers(dict(enumerate(self.layers)))
+
+    def preprocess(self, x: np.ndarray | Var) -> tuple[Var, Var]:
+        """Data to what the first layer takes, with the log determinant."""
+        return self.before.back({}, t.as_var(x))
+
+    def unpreprocess(self, x: np.ndarray | Var) -> np.ndarray | Var:
+        return self.before.forward({}, x)
 
     def back(self, p: dict[str, Var], x: np.ndarray | Var) -> tuple[Var, Var]:
-        u = x if isinstance(x, Var) else Var(x)
-        total = Var(np.zeros(len(u.v)))
+        u, total = self.preprocess(x)
         for k, layer in enumerate(self.layers):
-            u, ld = layer.back(self._own(p, k), u)
+            u, ld = layer.back(part(p, k), u)
             total = total + ld
         return u, total
 
     def log_prob(self, p, x):
         u, total = self.back(p, x)
-        base = standard_normal(u) if self.base is None else self.base.log_prob(self._own(p, "base"), u).reshape(-1)
+        base = standard_normal(u) if self.base is None else self.base.log_prob(part(p, "base"), u).reshape(-1)
         return (base + total).reshape(-1, 1)
 
-    def forward(self, u: np.ndarray) -> np.ndarray:
+    def forward(self, u: np.ndarray | Var, p: dict | None = None) -> np.ndarray | Var:
+        p = self.params if p is None else p
         for k in range(len(self.layers) - 1, -1, -1):
-            u = self.layers[k].forward(self._own(self.params, k), u)
-        return u
+            u = self.layers[k].forward(part(p, k), u)
+        return self.unpreprocess(u)
+
+    def pathwise(self, p: dict[str, Var], uniforms: np.ndarray) -> Var:
+        """Samples on the tape as functions of the parameters: uniforms (rows, 2 n). The base must have a pathwise form."""
+        if self.base is None:
+            u = Var(box_muller(uniforms, self.n))
+        elif hasattr(self.base, "pathwise"):
+            u = self.base.pathwise(part(p, "base"), uniforms)
+        else:
+            raise NotImplementedError("the base has no pathwise samples")
+        return self.forward(u, p)
+
+    def sample(self, keys: np.ndarray, seed: int = 42) -> np.ndarray:
+        """One sample for each key; bases without a pathwise form draw through their own branches."""
+        if self.base is None or hasattr(self.base, "pathwise"):
+            return self.pathwise({k: Var(v) for k, v in self.params.items()}, keyed_uniforms(keys, seed, 2 * self.n)).v
+        self.base.params = part(self.params, "base")
+        u = self.base.complete(np.full((len(keys), self.n), np.nan), uniforms=lambda k: keyed_uniforms(keys, (seed << 16) + k, 1)[:, 0])
+        return self.forward(u)
+
+
+class Expectation(Model):
+    """Mean of f(samples) of a flow, by common uniform numbers for each key: its gradients are pathwise. f: Var -> Var (rows)."""
+
+    def __init__(self, flow: Flow, f, seed: int = 42):
+        self.flow, self.f, self.seed, self.params = flow, f, seed, flow.params
+
+    def loss(self, p, x, y):
+        return self.f(self.flow.pathwise(p, keyed_uniforms(x[:, 0].astype(np.int64), self.seed, 2 * self.flow.n))).sum()
+
+
+def expectation(df: DataFrame, flow: Flow, f, key: str, seed: int = 42) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean of f over one sample of the flow for each key (whole numbers up to 2**53), and its gradients."""
+    total, n, grads = _gradient_sums(df.select(F.col(key).cast("double").alias(key)), Expectation(flow, f, seed), [key], None)
+    return total / max(1, n), {k: g / max(1, n) for k, g in grads.items()}
+
+
+def draw(df: DataFrame, flow: Flow, key: str, out: str = "sample", seed: int = 42) -> DataFrame:
+    """df with an array column: one sample of the flow for each row's key, the same under any partitioning."""
+    shared = df.sparkSession.sparkContext.broadcast(flow)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{out}` array<double>"])
+
+    def run(batches):
+        for b in batches:
+            x = shared.value.sample(b["__key"].to_numpy(), seed) if len(b) else ()
+            yield b.drop(columns="__key").assign(**{out: list(x)})
+
+    return df.withColumn("__key", F.xxhash64(key)).mapInPandas(run, schema)
 
 
 def _net(rng, sizes: Sequence[int]) -> dict[str, np.ndarray]:
@@ -345,9 +693,10 @@ class Coupling:
         s, shift = self._st(p, x)
         return ((x - shift), Var(np.zeros(x.shape[0]))) if s is None else ((x - shift) * t.exp(-s), -(s.sum(1)))
 
+    @both
     def forward(self, p, u):
-        s, shift = self._st({k: Var(v) for k, v in p.items()}, u)
-        return u + shift.v if s is None else u * np.exp(s.v) + shift.v
+        s, shift = self._st(p, u)
+        return u + shift if s is None else u * t.exp(s) + shift
 
 
 class Autoregressive:
@@ -373,33 +722,58 @@ class Autoregressive:
         s, shift = self._st(p, x)
         return (x - shift) * t.exp(-s), -(s.sum(1))
 
+    @both
     def forward(self, p, u):
-        q = {k: Var(v) for k, v in p.items()}
-        x = np.zeros_like(u)
+        x = Var(np.zeros(u.shape))
         for i in self.order:
-            s, shift = self._st(q, Var(x))
-            x[:, i] = u[:, i] * np.exp(s.v[:, i]) + shift.v[:, i]
+            s, shift = self._st(p, x)
+            x = x + (u * t.exp(s) + shift) * np.eye(self.n)[i]
         return x
 
 
+def batch_moments(layer, p: dict, x: Var) -> tuple[Var, Var]:
+    """Mean and variance of x (rows, channels, cells) by channel: the batch's own while the layer records, else those kept."""
+    if layer.taken is not None:
+        layer.taken["x"] = x.v
+    if layer.record is None:
+        return t.as_var(p["mean"]).reshape(1, -1, 1), t.as_var(p["var"]).reshape(1, -1, 1)
+    share = 1 / (x.shape[0] * x.shape[2])
+    mean = x.sum((0, 2), keepdims=True) * share
+    d = x - mean
+    var = (d * d).sum((0, 2), keepdims=True) * share
+    layer.record = {"mean": mean.v.ravel(), "var": var.v.ravel()}
+    return mean, var
+
+
 class BatchNorm:
-    """Affine normalisation by stored moments, with learned gain and shift. `set_moments` takes those of a table."""
+    """Normalisation with learned gain and shift, a bijector. In a training step the moments are those of the batch, and
+    gradients pass through them; in use they are running means of training, or those of `set_moments`. cells: of each
+    channel, whose moments are common to them (an image of n = channels * cells values)."""
+
+    record: dict | None = None
+    taken: dict | None = None
 
-    def __init__(self, n: int, eps: float = 1e-5):
-        self.eps, self.mean, self.var = eps, np.zeros(n), np.ones(n)
-        self.params = {"g": np.zeros(n), "b": np.zeros(n)}
+    def __init__(self, n: int, eps: float = 1e-5, cells: int = 1):
+        self.eps, self.cells = eps, cells
+        c = n // cells
+        self.params = {"g": np.zeros(c), "b": np.zeros(c), "mean": np.zeros(c), "var": np.ones(c)}
 
     def set_moments(self, mean: np.ndarray, var: np.ndarray) -> None:
-        self.mean, self.var = np.asarray(mean, float), np.asarray(var, float)
+        self.params |= {"mean": np.asarray(mean, float), "var": np.asarray(var, float)}
 
     def back(self, p, x):
-        sd = np.sqrt(self.var + self.eps)
-        u = (x - self.mean) / sd * t.exp(t.as_var(p["g"])) + p["b"]
-        ld = (t.as_var(p["g"]) - np.log(sd)).sum()
-        return u, ld + np.zeros(x.shape[0])
-
+        z = x.reshape(x.shape[0], -1, self.cells)
+        mean, var = batch_moments(self, p, z)
+        g, b = (t.as_var(p[k]).reshape(1, -1, 1) for k in "gb")
+        u = (z - mean) * (var + self.eps) ** -0.5 * t.exp(g) + b
+        ld = (g - 0.5 * t.log(var + self.eps)).sum() * self.cells
+        return u.reshape(x.shape[0], -1), ld + np.zeros(x.shape[0])
+
+    @both
     def forward(self, p, u):
-        return (u - p["b"]) * np.exp(-p["g"]) * np.sqrt(self.var + self.eps) + self.mean
+        g, b, mean, var = (p[k].reshape(1, -1, 1) for k in ("g", "b", "mean", "var"))
+        x = (u.reshape(u.shape[0], -1, self.cells) - b) * t.exp(-g) * (var + self.eps) ** 0.5 + mean
+        return x.reshape(u.shape[0], -1)
 
 
 class Dequantize:
@@ -413,8 +787,9 @@ class Dequantize:
     def back(self, p, x, noise: np.ndarray | float = 0.5):
         return (x * (self.levels - 1) + noise) * (1 / self.levels), Var(np.full(x.shape[0], self.n * math.log((self.levels - 1) / self.levels)))
 
+    @both
     def forward(self, p, u):
-        return np.clip(np.floor(u * self.levels), 0, self.levels - 1) / (self.levels - 1)
+        return t.clip(t.floor(u * self.levels), 0, self.levels - 1) * (1 / (self.levels - 1))
 
 
 class LogitLayer:
@@ -428,26 +803,27 @@ class LogitLayer:
         a, b = t.log(y), t.log(1 - y)
         return a - b, -((a + b).sum(1)) + self.n * math.log(1 - 2 * self.alpha)
 
+    @both
     def forward(self, p, u):
-        return (1 / (1 + np.exp(-u)) - self.alpha) / (1 - 2 * self.alpha)
+        return (t.sigmoid(u) - self.alpha) * (1 / (1 - 2 * self.alpha))
 
 
 def nice(n: int, couplings: int = 4, hidden: Sequence[int] = (32,), seed: int = 42) -> Flow:
     return Flow(n, [Coupling(n, bool(k % 2), False, hidden, seed + k) for k in range(couplings)])
 
 
-def realnvp(n: int, couplings: int = 4, hidden: Sequence[int] = (32,), batch_norm: bool = False, seed: int = 42, base: Model | None = None) -> Flow:
+def realnvp(n: int, couplings: int = 4, hidden: Sequence[int] = (32,), batch_norm: bool = False, seed: int = 42, base: Model | None = None, **ends) -> Flow:
     layers: list = []
     for k in range(couplings):
         layers += [Coupling(n, bool(k % 2), True, hidden, seed + k)] + ([BatchNorm(n)] if batch_norm else [])
-    return Flow(n, layers, base)
+    return Flow(n, layers, base, **ends)
 
 
-def maf(n: int, layers: int = 3, hidden: Sequence[int] = (32,), sequential: bool = True, batch_norm: bool = False, seed: int = 42) -> Flow:
+def maf(n: int, layers: int = 3, hidden: Sequence[int] = (32,), sequential: bool = True, batch_norm: bool = False, seed: int = 42, base: Model | None = None, **ends) -> Flow:
     out: list = []
     for k in range(layers):
         out += [Autoregressive(n, bool(k % 2), hidden, sequential, seed + k)] + ([BatchNorm(n)] if batch_norm else [])
-    return Flow(n, out)
+    return Flow(n, out, base, **ends)
 
 
 def _conv(p: dict, name: str, x: Var) -> Var:
@@ -500,9 +876,10 @@ class ImageCoupling:
         s, shift = self._st(p, x)
         return (x - shift) * t.exp(-s), -(s.sum(1))
 
+    @both
     def forward(self, p, u):
-        s, shift = self._st({k: Var(v) for k, v in p.items()}, Var(u))
-        return u * np.exp(s.v) + shift.v
+        s, shift = self._st(p, u)
+        return u * t.exp(s) + shift
 
 
 class Rearrange:
@@ -514,10 +891,11 @@ class Rearrange:
         self.order, self.inverse = np.asarray(order), np.argsort(order)
 
     def back(self, p, x):
-        return x[:, self.order], Var(np.zeros(x.shape[0]))
+        return t.permute(x, self.order), Var(np.zeros(x.shape[0]))
 
+    @both
     def forward(self, p, u):
-        return u[:, self.inverse]
+        return t.permute(u, self.inverse)
 
 
 def realnvp_images(c: int, h: int, w: int, filters: int = 8, blocks: int = 1, net: str = "resnet", seed: int = 42) -> Flow:
@@ -666,33 +1044,81 @@ def complete(df: DataFrame, model, cols: Sequence[str], key: str | None = None,
     return df.mapInPandas(run, schema)
 
 
-def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str | None, with_gradients: bool = True) -> tuple[float, int, dict[str, np.ndarray]]:
-    """Loss, rows and gradients summed over partitions; the sums meet element by element on the executors."""
+#: Partials that meet in one task: above it, they are added up by branches of tasks first.
+FAN = 128
+
+
+def _blocks(batches, size: int):
+    """Frames of at most `size` rows; of a table with groups, whole groups, cut after `size` rows where over twice that are
+    left. Groups come together and in order, so blocks don't depend on how rows come in."""
+    left = None
+    for p in batches:
+        if "__group" not in p.columns:
+            for k in range(0, len(p), size):
+                yield p.iloc[k : k + size]
+            continue
+        p = p if left is None else pd.concat([left, p], ignore_index=True)
+        ends = np.flatnonzero(np.diff(p["__group"].to_numpy())) + 1
+        starts = [0, *ends]
+        for a, b in zip(starts, [*ends, len(p)], strict=True):
+            while b - a > 2 * size:
+                yield p.iloc[a : a + size]
+                a += size
+            if b < len(p):
+                yield p.iloc[a:b]
+            else:
+                left = p.iloc[a:b]
+    if left is not None and len(left):
+        yield left
+
+
+def _training_table(df: DataFrame, model: Model, cols: Sequence[str], label: str | None, key: str | None, group: int) -> DataFrame:
+    """What a step reads: columns and label; for dropout each row's hash; for batch moments the rows in groups of about
+    `group`, drawn by hash and laid out once, so each step is one pass without a shuffle."""
+    hashed = F.xxhash64(key) if key else F.xxhash64(*cols)
+    more = [hashed.alias("__row")] if model.in_dropout or model.sum_dropout or model.batch_layers() else []
+    own = df.select(*dict.fromkeys([*cols, *([label] if label else []), *([key] if key else [])]), *more)
+    if not model.batch_layers():
+        return own
+    n = own.count()
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism, n // 100_000)
+    own = own.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(max(1, round(n / group)))))
+    laid = own.repartition(parts, "__group").sortWithinPartitions("__group", "__row")
+    return laid.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else laid.cache()
+
+
+def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str | None, with_gradients: bool = True, step: int = 0, block: int = 512) -> tuple[float, int, dict[str, np.ndarray]]:
+    """Loss, rows and gradients summed over partitions; the sums meet element by element on the executors, by branches of
+    FAN tasks first. Columns __row and __group, where there, give dropout its keys and batch moments their batches."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def part(batches):
         loss, n, total = 0.0, 0, None
         m = shared.value
-        for p in batches:
-            for k in range(0, len(p), 512):
-                q = p.iloc[k : k + 512]
-                x, y = _matrix(q, cols), q[label].to_numpy() if label else None
-                if with_gradients:
-                    one, g = m.gradients(x, y)
-                    flat = np.concatenate([g[name].ravel() for name in sorted(g)]) if g else np.empty(0)
-                    total = flat if total is None else total + flat
-                else:
-                    one = float(m.loss({a: Var(b) for a, b in m.params.items()}, x, y).v)
-                loss, n = loss + one, n + len(q)
+        for q in _blocks(batches, block):
+            x, y = _matrix(q, cols), q[label].to_numpy() if label else None
+            if with_gradients:
+                drop = Dropout(q["__row"].to_numpy(), step) if m.in_dropout or m.sum_dropout else None
+                one, g = m.gradients(x, y, drop, "__group" in q.columns) if drop or "__group" in q.columns else m.gradients(x, y)
+                flat = np.concatenate([g[name].ravel() for name in sorted(g)]) if g else np.empty(0)
+                total = flat if total is None else total + flat
+            else:
+                one = float(m.loss({a: Var(b) for a, b in m.params.items()}, x, y).v)
+            loss, n = loss + one, n + len(q)
         values = np.concatenate(([loss, n], np.empty(0) if total is None else total))
         if n:
-            yield pd.DataFrame({"at": np.arange(-(-len(values) // 4096)), "values": np.split(values, range(4096, len(values), 4096))})
+            branch = TaskContext.get().partitionId() // FAN
+            yield pd.DataFrame({"at": np.arange(-(-len(values) // 4096)), "branch": branch, "values": np.split(values, range(4096, len(values), 4096))})
 
     def add(p):
-        return pd.DataFrame({"at": p["at"].iloc[:1], "values": [np.sum(p["values"].to_list(), axis=0)]})
-
-    schema = "at long, values array<double>"
-    rows = df.select(*cols, *([label] if label else [])).mapInPandas(part, schema).groupBy("at").applyInPandas(add, schema).toPandas().sort_values("at")
+        return pd.DataFrame({"at": p["at"].iloc[:1], "branch": p["branch"].iloc[:1], "values": [np.sum(p["values"].to_list(), axis=0)]})
+
+    schema = "at long, branch long, values array<double>"
+    there = [c for c in ("__row", "__group") if c in df.columns]
+    made = df.select(*cols, *([label] if label else []), *there).mapInPandas(part, schema)
+    if df.sparkSession.sparkContext._jsc is not None and df.rdd.getNumPartitions() > FAN:
+        made = made.groupBy("at", "branch").applyInPandas(add, schema)
+    rows = made.groupBy("at").applyInPandas(add, schema).toPandas().sort_values("at")
     flat = np.concatenate(rows["values"].to_list()) if len(rows) else np.zeros(2)
     out, at = {}, 2
     for name in sorted(model.params) if with_gradients and len(flat) > 2 else ():
@@ -702,15 +1128,60 @@ def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str
     return float(flat[0]), int(flat[1]), out
 
 
-def train(df: DataFrame, model: Model, cols: Sequence[str], label: str | None = None, valid: DataFrame | None = None, epochs: int = 20, rate: float = 1e-2, optimizer: str = "adam", patience: int = 5, share: float | None = None, key: str | None = None, seed: int = 42) -> list[dict[str, float]]:
+def settle_moments(df: DataFrame, model: Model, cols: Sequence[str]) -> None:
+    """Moments of all batch layers set to those of the whole table, layer after layer: each pass sums what comes into one
+    layer, with the layers before it settled. One job for each layer."""
+    for name, layer in model.batch_layers().items():
+        shared = df.sparkSession.sparkContext.broadcast(model)
+        c = len(model.params[f"{name}.mean"])
+
+        def part(batches, name=name, shared=shared, c=c):
+            m, sums, n = shared.value, np.zeros((2, c)), 0
+            centre = m.params[f"{name}.mean"]
+            for q in _blocks(batches, 512):
+                taken: dict = {}
+                found = m.batch_layers()[name]
+                found.taken = taken
+                try:
+                    m.log_prob({k: Var(v) for k, v in m.params.items()}, _matrix(q, cols))
+                finally:
+                    found.taken = None
+                z = taken["x"] - centre[None, :, None]
+                sums += np.stack([z.sum((0, 2)), (z * z).sum((0, 2))])
+                n += z.shape[0] * z.shape[2]
+            if n:
+                yield pd.DataFrame({"channel": np.arange(c), "n": n, "a": sums[0], "b": sums[1]})
+
+        made = df.select(*cols).mapInPandas(part, "channel int, n long, a double, b double")
+        rows = made.groupBy("channel").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas().sort_values("channel")
+        if len(rows):
+            mean = (rows["a"] / rows["n"]).to_numpy()
+            old = model.params[f"{name}.mean"]
+            model.params[f"{name}.mean"], model.params[f"{name}.var"] = old + mean, (rows["b"] / rows["n"]).to_numpy() - mean**2
+
+
+def train(
+    df: DataFrame, model: Model, cols: Sequence[str], label: str | None = None, valid: DataFrame | None = None, epochs: int = 20, rate: float = 1e-2, optimizer: str = "adam",
+    patience: int = 5, share: float | None = None, key: str | None = None, seed: int = 42, group: int = 256, momentum: float = 0.9,
+) -> list[dict[str, float]]:
     """Gradient training in place: one job for each step; the best state by validation (or training) loss is kept.
-    share: of the rows, drawn by key, for each step."""
+    share: of the rows, drawn by key, for each step. key: also names rows for dropout (else their values do).
+    Models with batch moments see batches of about `group` rows; moments kept for use are running means over the steps, with
+    the bias of their start removed, and at the end those of the whole table."""
     opt, stop, history = Optimizer(optimizer, rate), EarlyStopping(patience), []
+    table = _training_table(df, model, cols, label, key, group)
+    kept = {f"{k}.{m}" for k in model.batch_layers() for m in ("mean", "var")}
+    running: dict[str, np.ndarray] = {}
+    steps = 0
     for e in range(epochs):
-        batch = df if share is None else df.where(uniform(f"{seed}-{e}", key) < share)
-        loss, n, grads = _gradient_sums(batch, model, cols, label)
+        batch = table if share is None else table.where(uniform(f"{seed}-{e}", key) < share)
+        loss, n, grads = _gradient_sums(batch, model, cols, label, step=e, block=group if kept else 512)
         if not n:
             continue
+        steps += 1
+        for k in kept:
+            running[k] = momentum * running.get(k, 0.0) + (1 - momentum) * grads.pop(k) / n
+            model.params[k] = running[k] / (1 - momentum**steps)
         entry = {"epoch": e, "train_loss": loss / n}
         if valid is not None:
             v, m, _ = _gradient_sums(valid, model, cols, label, False)
@@ -722,6 +1193,9 @@ def train(df: DataFrame, model: Model, cols: Sequence[str], label: str | None =
         model.constrain()
     if stop.state is not None:
         model.params = stop.state
+    if kept:
+        settle_moments(table, model, cols)
+        table.unpersist()
     return history
 
 

@@ -145,6 +145,33 @@ def concat(xs: list[Var], axis: int) -> Var:
     return Var(np.concatenate([x.v for x in xs], axis), [(x, lambda g, i=i: np.split(g, cuts, axis)[i]) for i, x in enumerate(xs)])
 
 
+def permute(x: Var, order: np.ndarray) -> Var:
+    """Columns of a matrix in another order."""
+    inverse = np.argsort(order)
+    return Var(x.v[:, order], [(x, lambda g: g[:, inverse])])
+
+
+def pick(x: Var, ids: np.ndarray) -> Var:
+    """Channels by number, repeats allowed: axis 1."""
+
+    def back(g):
+        out = np.zeros_like(x.v)
+        for c in range(x.shape[1]):
+            out[:, c] = g[:, ids == c].sum(1)
+        return out
+
+    return Var(x.v[:, ids], [(x, back)])
+
+
+def floor(x: Var) -> Var:
+    """Steps: no slope."""
+    return Var(np.floor(x.v))
+
+
+def clip(x: Var, low: float, high: float) -> Var:
+    return _unary(x, np.clip(x.v, low, high), ((x.v >= low) & (x.v <= high)) * 1.0)
+
+
 def pad(x: Var, widths, value: float = 0.0) -> Var:
     inner = tuple(slice(a, a + n) for (a, _), n in zip(widths, x.shape, strict=True))
     return Var(np.pad(x.v, widths, constant_values=value), [(x, lambda g: g[inner])])

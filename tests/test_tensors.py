@@ -22,6 +22,12 @@ def models():
         "over-flow": m.realnvp(4, base=m.nice(4)),
         "images": m.realnvp_images(1, 4, 4, filters=3),
         "images-dense": m.realnvp_images(1, 4, 4, filters=3, net="densenet"),
+        "rat-fixed": m.RatSpn(5, depth=1, repetitions=2, batch=2, leaf=m.GaussianLeaf((-1.0, 1.0), "fixed")),
+        "dgc-sparse": m.DgcSpn(1, 4, 4, batch=2, sums=2, depthwise=False),
+        "dgc-drawn": m.DgcSpn(1, 4, 4, batch=2, sums=3, pooling=1, depthwise=[True, False], products=5),
+        "over-dgc": m.realnvp(16, couplings=2, base=m.DgcSpn(1, 4, 4, batch=2, sums=2)),
+        "over-normal": m.maf(4, base=m.Normal(4)),
+        "ends": m.realnvp(4, batch_norm=True, dequantize=3, logit=0.05),
     }
 
 
