@@ -776,7 +776,7 @@ def xpc_score(spark, d):
 @query()
 def ensemble_xpc_score(spark, d):
     df = e4(spark, d)
-    return _round(inference.log_likelihood(df, learn.learn_ensemble(df, E4, 3, 2, conj=1), NAMES4).select("event_id", "ll"))
+    return _round(inference.log_likelihood(df, learn.learn_ensemble(df, E4, 3, 2, conj=2), NAMES4).select("event_id", "ll"))
 
 
 @query()
@@ -984,4 +984,6 @@ def stream_scoring(spark, d):
     return _round(spark.table(table))
 
 
+from . import tensor_queries  # noqa: E402, F401  registers its queries with the decorator above
+
 __all__ = ["ORACLES", "QUERIES", "bfs", "uniform"]
