@@ -101,9 +101,13 @@ def candidates(texts: DataFrame, config: Config) -> DataFrame:
     count = write_table(count, "near-count")
     met = dealt.join(count, ["band", "value"])
     few = write_table(met.where(F.col("n") <= config.bucket).select(F.xxhash64("band", "value").alias("key"), *cols), "near-few")
-    many = met.where(F.col("n") > config.bucket).select(*cols, "band", "value", F.posexplode("bands").alias("other", "second")).where("other != band")
-    key = F.xxhash64(F.least("band", "other"), F.when(F.col("band") < F.col("other"), F.col("value")).otherwise(F.col("second")), F.greatest("band", "other"), F.when(F.col("band") < F.col("other"), F.col("second")).otherwise(F.col("value")))
-    again = write_table(many.select(key.alias("key"), *cols).distinct(), "near-many")
+    # a text meets others at each pair of bands of which one is crowded, once, however many of its bands are
+    crowded = met.where(F.col("n") > config.bucket).groupBy(*cols, "bands").agg(F.collect_set("band").alias("full"))
+    two = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(config.bands) for j in range(i + 1, config.bands)])
+    pair = F.explode(F.filter(two, lambda p: F.array_contains("full", p.i) | F.array_contains("full", p.j))).alias("p")
+    at = lambda c: F.element_at("bands", F.col(c) + 1)
+    many = crowded.select(*cols, "bands", pair).select(F.xxhash64("p.i", at("p.i"), "p.j", at("p.j")).alias("key"), *cols)
+    again = write_table(many, "near-many")
     sizes = again.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "root", "size")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     deep = again.join(sizes.select("key", "n", "first"), "key")
     stars = deep.where(F.col("n") > config.bucket).select(F.col("first.digest").alias("a"), F.col("first.root").alias("ra"), F.col("first.size").alias("sa"), F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
