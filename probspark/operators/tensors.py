@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import copy
 import math
+import pickle
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -644,7 +645,7 @@ def expectation(df: DataFrame, flow: Flow, f, key: str, seed: int = 42) -> tuple
 
 def draw(df: DataFrame, flow: Flow, key: str, out: str = "sample", seed: int = 42) -> DataFrame:
     """df with an array column: one sample of the flow for each row's key, the same under any partitioning."""
-    shared = df.sparkSession.sparkContext.broadcast(flow)
+    shared = Shared(df, flow)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{out}` array<double>"])
 
     def run(batches):
@@ -985,7 +986,7 @@ def _matrix(p: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
 
 def score(df: DataFrame, model: Model, cols: Sequence[str], out: str = "ll") -> DataFrame:
     """Adds the log likelihood (of a mixture of classes where there are several: out_0, out_1, ...)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df, model)
     names = [out] if model.classes == 1 else [f"{out}_{k}" for k in range(model.classes)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in names])
 
@@ -999,7 +1000,7 @@ def score(df: DataFrame, model: Model, cols: Sequence[str], out: str = "ll") ->
 
 def encode(df: DataFrame, flow: Flow, cols: Sequence[str], log_det: str = "log_det") -> DataFrame:
     """cols replaced by their values under the flow's base density, with the log determinant."""
-    shared = df.sparkSession.sparkContext.broadcast(flow)
+    shared = Shared(df, flow)
     schema = ", ".join([f"`{f.name}` " + ("double" if f.name in cols else f.dataType.simpleString()) for f in df.schema] + [f"`{log_det}` double"])
 
     def run(batches):
@@ -1013,7 +1014,7 @@ def encode(df: DataFrame, flow: Flow, cols: Sequence[str], log_det: str = "log_d
 
 def decode(df: DataFrame, flow: Flow, cols: Sequence[str]) -> DataFrame:
     """The inverse of encode: values of the base density back to data."""
-    shared = df.sparkSession.sparkContext.broadcast(flow)
+    shared = Shared(df, flow)
     schema = ", ".join(f"`{f.name}` " + ("double" if f.name in cols else f.dataType.simpleString()) for f in df.schema)
 
     def run(batches):
@@ -1028,7 +1029,7 @@ def complete(df: DataFrame, model, cols: Sequence[str], key: str | None = None,
     """Hidden cells filled by the model; sampled by the row's key if draw."""
     import hashlib
 
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df, model)
     schema = ", ".join(f"`{f.name}` " + ("double" if f.name in cols else f.dataType.simpleString()) for f in df.schema)
 
     def run(batches):
@@ -1044,6 +1045,22 @@ def complete(df: DataFrame, model, cols: Sequence[str], key: str | None = None,
     return df.mapInPandas(run, schema)
 
 
+class Shared:
+    """A model sent to the executors once, with the classes and functions that a user's session defines."""
+
+    def __init__(self, df: DataFrame, model: Model):
+        self.sent, self.made = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "made": None}
+
+    @property
+    def value(self) -> Model:
+        if self.made is None:
+            self.made = pickle.loads(self.sent.value)
+        return self.made
+
+
 #: Partials that meet in one task: above it, they are added up by branches of tasks first.
 FAN = 128
 
@@ -1090,7 +1107,7 @@ def _training_table(df: DataFrame, model: Model, cols: Sequence[str], label: str
 def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str | None, with_gradients: bool = True, step: int = 0, block: int = 512) -> tuple[float, int, dict[str, np.ndarray]]:
     """Loss, rows and gradients summed over partitions; the sums meet element by element on the executors, by branches of
     FAN tasks first. Columns __row and __group, where there, give dropout its keys and batch moments their batches."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df, model)
 
     def part(batches):
         loss, n, total = 0.0, 0, None
@@ -1132,7 +1149,7 @@ def settle_moments(df: DataFrame, model: Model, cols: Sequence[str]) -> None:
     """Moments of all batch layers set to those of the whole table, layer after layer: each pass sums what comes into one
     layer, with the layers before it settled. One job for each layer."""
     for name, layer in model.batch_layers().items():
-        shared = df.sparkSession.sparkContext.broadcast(model)
+        shared = Shared(df, model)
         c = len(model.params[f"{name}.mean"])
 
         def part(batches, name=name, shared=shared, c=c):
