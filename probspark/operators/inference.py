@@ -20,17 +20,27 @@ from ..plans.validate import check
 SMALL = 120
 
 
-def _forward(b, root: Node) -> dict[int, object]:
-    """Log likelihood of every node, by id."""
+def leaf_log(b, n: Leaf):
+    """Log density of a leaf, 0 where its cells are missing."""
+    return n.log(b, b.x)
+
+
+def inner_log(b, n: Node, children: list):
+    """Log of a weighted sum, or of a product, from the logs of the children."""
+    return b.lse([v + safe_log(w) for w, v in zip(n.weights, children, strict=True)]) if isinstance(n, Sum) else b.add(children)
+
+
+def inner_max(b, n: Node, children: list):
+    """As `inner_log` with the greatest weighted child in place of the sum."""
+    return b.greatest([v + safe_log(w) for w, v in zip(n.weights, children, strict=True)]) if isinstance(n, Sum) else b.add(children)
+
+
+def _forward(b, root: Node, leaf: Callable = leaf_log, inner: Callable = inner_log) -> dict[int, object]:
+    """Value of every node, by id; log likelihoods by default."""
     ll: dict[int, object] = {}
     for layer in reversed(layers(root)):
         for n in layer:
-            if isinstance(n, Leaf):
-                v = n.log(b, b.x)
-            elif isinstance(n, Sum):
-                v = b.lse([ll[c.id] + safe_log(w) for w, c in zip(n.weights, n.children, strict=True)])
-            else:
-                v = b.add([ll[c.id] for c in n.children])
+            v = leaf(b, n) if isinstance(n, Leaf) else inner(b, n, [ll[c.id] for c in n.children])
             ll[n.id] = b.bind(b.floor(v))
         b.flush()
     return ll
@@ -52,19 +62,32 @@ def _gradients(b, root: Node, ll: dict) -> dict[int, object]:
     return g
 
 
-def _choose(b, n: Sum, ll: dict, draw: bool):
-    """Branch of a sum: the first of the greatest weighted children, or one drawn by posterior."""
-    terms = [ll[c.id] + safe_log(w) for w, c in zip(n.weights, n.children, strict=True)]
-    if not draw:
-        return b.argmax(terms)
+def best_branch(b, n: Sum, children: list):
+    """The first of the greatest weighted children."""
+    return b.argmax([v + safe_log(w) for w, v in zip(n.weights, children, strict=True)])
+
+
+def drawn_branch(b, n: Sum, children: list):
+    """A child drawn by posterior."""
+    terms = [v + safe_log(w) for w, v in zip(n.weights, children, strict=True)]
     total = b.bind(b.lse(terms), now=True)
     shares = [b.exp(t - total) for t in terms]
     return b.below(b.uniform(n.id), [b.add(shares[: i + 1]) for i in range(len(shares) - 1)])
 
 
-def _complete(b, root: Node, draw: bool) -> dict[int, object]:
+def leaf_mode(b, n: Leaf) -> dict:
+    """Mode of each of the leaf's variables."""
+    return n.fill(b, b.x, None)
+
+
+def leaf_draw(b, n: Leaf) -> dict:
+    """A draw of each of the leaf's variables."""
+    return n.fill(b, b.x, lambda k: b.uniform(n.id, k))
+
+
+def _complete(b, root: Node, branch: Callable, fill: Callable, leaf: Callable = leaf_log, inner: Callable = inner_log) -> dict[int, object]:
     """Filled value of every variable: branches top down, then leaves where their mask holds."""
-    ll = _forward(b, root)
+    ll = _forward(b, root, leaf, inner)
     mask: dict[int, list] = {root.id: [b.true()]}
     filled: dict[int, list] = {}
     for layer in layers(root):
@@ -72,14 +95,13 @@ def _complete(b, root: Node, draw: bool) -> dict[int, object]:
             m = b.bind(b.either(mask[n.id]))
             b.flush()
             if isinstance(n, Leaf):
-                u = (lambda k, n=n: b.uniform(n.id, k)) if draw else None
-                for var, value in n.fill(b, b.x, u).items():
+                for var, value in fill(b, n).items():
                     filled.setdefault(var, []).append((m, value))
                 continue
-            branch = b.bind(_choose(b, n, ll, draw)) if isinstance(n, Sum) else None
+            taken = b.bind(branch(b, n, [ll[c.id] for c in n.children])) if isinstance(n, Sum) else None
             b.flush()
             for i, c in enumerate(n.children):
-                mask.setdefault(c.id, []).append(m if branch is None else b.bind(b.both(m, b.is_(branch, i))))
+                mask.setdefault(c.id, []).append(m if taken is None else b.bind(b.both(m, b.is_(taken, i))))
         b.flush()
     out = {}
     for var, options in filled.items():
@@ -143,12 +165,39 @@ def likelihood(df: DataFrame, root: Node, names: dict[int, str], out: str = "lik
 
 def mpe(df: DataFrame, root: Node, names: dict[int, str], lowering: str = "auto") -> DataFrame:
     """Missing cells filled: sums follow their best weighted child by likelihood, leaves give their modes."""
-    return _run(df, root, names, lambda b, r=root: {names[v]: x for v, x in _complete(b, r, False).items()}, [names[v] for v in root.scope], lowering)
+    return _run(df, root, names, lambda b, r=root: {names[v]: x for v, x in _complete(b, r, best_branch, leaf_mode).items()}, [names[v] for v in root.scope], lowering)
 
 
 def sample(df: DataFrame, root: Node, names: dict[int, str], key: str, seed: int = 42, lowering: str = "auto") -> DataFrame:
     """Missing cells drawn from the circuit given the others; numbers depend on seed and the row's key only."""
-    return _run(df, root, names, lambda b, r=root: {names[v]: x for v, x in _complete(b, r, True).items()}, [names[v] for v in root.scope], lowering, key, seed)
+    return _run(df, root, names, lambda b, r=root: {names[v]: x for v, x in _complete(b, r, drawn_branch, leaf_draw).items()}, [names[v] for v in root.scope], lowering, key, seed)
+
+
+def evaluate(df: DataFrame, root: Node, names: dict[int, str], leaf: Callable = leaf_log, inner: Callable = inner_log, out: str = "value", nodes: bool = False, lowering: str = "auto") -> DataFrame:
+    """Adds the value of the root under functions of one's own, bottom up: leaf(b, node) and inner(b, node, children's values).
+
+    b is the lowering: it has the cells (b.x(variable), missing where b.missing holds) and the operations of `Columns` and
+    `Arrays`, so a function written with them runs as columns and as a kernel; one that is written for arrays takes
+    lowering="kernel". nodes: also every node's value, as <out>_<id>."""
+    number(root)
+    ids = sorted(n.id for n in post_order(root))
+
+    def program(b, r=root):
+        found = _forward(b, r, leaf, inner)
+        return {out: found[r.id]} | ({f"{out}_{i}": found[i] for i in ids} if nodes else {})
+
+    return _run(df, root, names, program, [out, *[f"{out}_{i}" for i in ids if nodes]], lowering)
+
+
+def descend(
+    df: DataFrame, root: Node, names: dict[int, str], leaf: Callable = leaf_log, inner: Callable = inner_log, branch: Callable = best_branch, fill: Callable = leaf_mode,
+    key: str | None = None, seed: int = 42, lowering: str = "auto",
+) -> DataFrame:
+    """Missing cells filled top down under functions of one's own: after `evaluate`, branch(b, sum, children's values) numbers
+    the child that a sum follows, and fill(b, leaf) gives {variable: value} for the leaves that are reached. `key` names the
+    rows for b.uniform(...)."""
+    program = lambda b, r=root: {names[v]: x for v, x in _complete(b, r, branch, fill, leaf, inner).items()}
+    return _run(df, root, names, program, [names[v] for v in root.scope], lowering, key, seed)
 
 
 def node_values(df: DataFrame, root: Node, names: dict[int, str], gradients: bool = False, lowering: str = "auto") -> DataFrame:

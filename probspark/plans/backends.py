@@ -70,6 +70,9 @@ class Columns:
         top = self.bind(F.greatest(*terms), now=True)
         return top + F.ln(balanced([F.exp(t - top) for t in terms]))
 
+    def greatest(self, terms: list[Column]) -> Column:
+        return F.greatest(*terms) if len(terms) > 1 else terms[0]
+
     def floor(self, x: Column) -> Column:
         return F.greatest(x, F.lit(FLOOR))
 
@@ -160,6 +163,9 @@ class Arrays:
         top = t.max(0)
         return top + np.log(np.exp(t - top).sum(0))
 
+    def greatest(self, terms):
+        return np.max(terms, axis=0)
+
     def floor(self, x):
         return np.maximum(x, FLOOR)
 

@@ -159,6 +159,31 @@ def mpe_spn_kernel(spark, d):
     return inference.mpe(_masked(spark, d), binary_circuit(), NAMES4, lowering="kernel").select("event_id", *E4)
 
 
+def _peak_leaf(b, n):
+    """A leaf of a max-product run: its greatest log density where the cell is missing."""
+    return b.where(b.missing(b.x(n.var)), b.const(math.log(max(n.p, 1 - n.p))), n.log(b, b.x))
+
+
+def _peak_terms() -> list[str]:
+    one = lambda x, p: f"CASE WHEN {x} IS NULL THEN {math.log(max(p, 1 - p))!r} WHEN {x} = 1 THEN {math.log(p)!r} ELSE {math.log(1 - p)!r} END"
+    return ["(" + " + ".join([repr(math.log(w)), *[one(f"x{v}", p) for v, p in enumerate(row)]]) + ")" for w, row in zip(BIN_W, BIN_P, strict=True)]
+
+
+@query(f"SELECT event_id, {_r('greatest(' + ', '.join(_peak_terms()) + ')')} AS value FROM ({MASKED_SQL})")
+def max_product_spn(spark, d):
+    """The probability of the most probable completion, by leaf and node functions of one's own."""
+    got = inference.evaluate(_masked(spark, d), binary_circuit(), NAMES4, _peak_leaf, inference.inner_max)
+    return _round(got.select("event_id", "value"))
+
+
+@query(
+    f"WITH s AS (SELECT *, " + ", ".join(f"{t} AS t{i}" for i, t in enumerate(_peak_terms())) + f" FROM ({MASKED_SQL})), b AS (SELECT *, " + _argmax_sql(["t0", "t1", "t2"]) + " AS b FROM s) SELECT event_id, " + ", ".join(f"CAST(coalesce(x{v}, CASE b " + " ".join(f"WHEN {i} THEN {int(BIN_P[i][v] >= 0.5)}" for i in range(3)) + f" END) AS DOUBLE) AS x{v}" for v in range(4)) + " FROM b"
+)
+def max_product_completion(spark, d):
+    """The most probable completion itself, in both directions of the kernel."""
+    return inference.descend(_masked(spark, d), binary_circuit(), NAMES4, _peak_leaf, inference.inner_max, lowering="kernel").select("event_id", *E4)
+
+
 def _leaf_ids() -> list[list[int]]:
     return [[leaf.id for leaf in c.children] for c in binary_circuit().children]
 
