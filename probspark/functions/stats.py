@@ -114,6 +114,7 @@ def pair_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
 def gram(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
     """As pair_counts, for many features: partial X'X per partition, summed row by row."""
     import pandas as pd
+    from pyspark import TaskContext
 
     d = len(cols)
 
@@ -122,13 +123,17 @@ def gram(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
         for b in batches:
             x = np.column_stack([b[list(cols)].to_numpy(float), np.ones(len(b))])
             total += x.T @ x
-        yield pd.DataFrame({"row": np.arange(d + 1), "sums": list(total)})
+        yield pd.DataFrame({"row": np.arange(d + 1), "branch": TaskContext.get().partitionId() // 128, "sums": list(total)})
 
     def add(p):
-        return pd.DataFrame({"row": p["row"].iloc[:1], "sums": [np.stack(p["sums"].to_numpy()).sum(0)]})
-
-    schema = "row int, sums array<double>"
-    got = df.select(*cols).mapInPandas(part, schema).groupBy("row").applyInPandas(add, schema).toPandas().sort_values("row")
+        return pd.DataFrame({"row": p["row"].iloc[:1], "branch": p["branch"].iloc[:1], "sums": [np.stack(p["sums"].to_numpy()).sum(0)]})
+
+    schema = "row int, branch int, sums array<double>"
+    own = df.select(*cols)
+    made = own.mapInPandas(part, schema)
+    if own.rdd.getNumPartitions() > 128:  # partials of 128 tasks meet first
+        made = made.groupBy("row", "branch").applyInPandas(add, schema)
+    got = made.groupBy("row").applyInPandas(add, schema).toPandas().sort_values("row")
     m = np.stack(got["sums"].to_numpy()) if len(got) else np.zeros((d + 1, d + 1))
     return int(m[d, d]), m[:d, :d]
 
@@ -201,6 +206,27 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
     return cumulative(counts).select("value", (F.col("upto") / F.lit(total)).alias("p"))
 
 
+def ranked(df: DataFrame, col: str, out: str, heavy: float = 1 / 256, salts: int = 256) -> DataFrame:
+    """df with the share of rows at or below the row's value (null where it is missing).
+
+    Values that hold `heavy` of the rows or more, at most 1 / heavy of them, are looked up in a broadcast map. The others are
+    joined with their ranks; there, the rows of heavy values and missing cells go under keys of their own, dealt by the row's
+    hash, so no key of the join holds more than `heavy` of the rows."""
+    counts = value_counts(df, col)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    ranks = cumulative(counts).select("value", "n", (F.col("upto") / F.lit(max(1, total))).alias("p"))
+    common = {r["value"]: r["p"] for r in ranks.where(F.col("n") >= F.lit(heavy * total)).collect()}
+    x = known(col)
+    common_map = F.create_map(*[F.lit(y) for pair in common.items() for y in pair]).cast("map<double,double>") if common else F.create_map().cast("map<double,double>")
+    looked = F.element_at(common_map, x)
+    # a struct key keeps null and NaN cells comparable and spreads what needs no join
+    alone = F.when(x.isNull() | looked.isNotNull(), F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int") + 1).otherwise(0)
+    rest = ranks.where(F.col("n") < F.lit(heavy * total)).select(F.col("value").alias("__value"), F.lit(0).alias("__alone"), F.col("p").alias("__p"))
+    made = df.withColumns({"__x": F.when(alone == 0, x).otherwise(0.0), "__own": alone, out: looked})
+    made = made.join(rest, (F.col("__x") == F.col("__value")) & (F.col("__own") == F.col("__alone")), "left")
+    return made.withColumn(out, F.coalesce(out, "__p")).drop("__x", "__own", "__value", "__alone", "__p")
+
+
 def mean_quantiles(df: DataFrame, col: str, q: int) -> DataFrame:
     """chunk, mean: rows in order of value cut into q chunks, the first n mod q one longer; mean of each."""
     counts = value_counts(df, col)
@@ -278,11 +304,20 @@ def histogram_entropy(df: DataFrame, col: str) -> DataFrame:
     return h.agg(F.when(F.max("bins") > 1, e / F.log2(F.max("bins"))).otherwise(0.0).alias("entropy"))
 
 
-def domains(df: DataFrame, cols: Sequence[str], discrete: Sequence[bool]) -> list:
-    """Sorted values of discrete columns, (min, max) of continuous ones."""
-    exprs = [F.sort_array(F.collect_set(known(c))) if d else F.struct(F.min(known(c)), F.max(known(c))) for c, d in zip(cols, discrete, strict=True)]
-    r = df.agg(*[e.alias(f"d{i}") for i, e in enumerate(exprs)]).first()
-    return [list(r[f"d{i}"]) if d else tuple(r[f"d{i}"]) for i, d in enumerate(discrete)]
+def domains(df: DataFrame, cols: Sequence[str], discrete: Sequence[bool], most: int = 65_536) -> list:
+    """Sorted values of discrete columns, (min, max) of continuous ones. A discrete column of over `most` values, which no
+    table of probabilities would hold, raises ValueError; distinct values are found by rows that meet, not in one task."""
+    ends = [e for i, c in enumerate(cols) for e in (F.min(known(c)).alias(f"a{i}"), F.max(known(c)).alias(f"b{i}")) if not discrete[i]]
+    r = df.agg(*ends).first() if ends else {}
+    cells = [F.struct(F.lit(i).alias("i"), known(c).alias("v")) for i, c in enumerate(cols) if discrete[i]]
+    found: dict[int, list] = {i: [] for i in range(len(cols))}
+    if cells:
+        values = df.select(F.explode(F.array(*cells)).alias("k")).select("k.i", "k.v").where("v IS NOT NULL").distinct()
+        for k in values.limit(most * len(cells) + 1).collect():
+            found[k["i"]].append(k["v"])
+    if any(len(v) > most for v in found.values()):
+        raise ValueError(f"a discrete column has over {most} values")
+    return [sorted(found[i]) if d else (r[f"a{i}"], r[f"b{i}"]) for i, d in enumerate(discrete)]
 
 
 def gtest_pairs(df: DataFrame, cols: Sequence[str], sizes: Sequence[int], p: float = 5.0) -> DataFrame:
@@ -290,8 +325,10 @@ def gtest_pairs(df: DataFrame, cols: Sequence[str], sizes: Sequence[int], p: flo
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "i int, j int, g double, dof int, independent boolean")
-    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).cast("int").alias("a"), F.col(cols[j]).cast("int").alias("b"))
-    counts = df.select(F.explode(F.array(*[cell(i, j) for i, j in pairs])).alias("c")).groupBy("c.i", "c.j", "c.a", "c.b").agg(F.count(F.lit(1)).alias("n"))
+    # pairs are made of distinct rows only
+    rows = df.groupBy(*[F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(cols)]).agg(F.count(F.lit(1)).alias("rows"))
+    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b"))
+    counts = rows.select("rows", F.explode(F.array(*[cell(i, j) for i, j in pairs])).alias("c")).groupBy("c.i", "c.j", "c.a", "c.b").agg(F.sum("rows").alias("n"))
     grid = df.sparkSession.createDataFrame([(i, j, a, b) for i, j in pairs for a in range(sizes[i]) for b in range(sizes[j])], "i int, j int, a int, b int")
     full = F.broadcast(grid).join(counts, ["i", "j", "a", "b"], "left").withColumn("h", F.coalesce("n", F.lit(0)) + F.lit(EPS32))
     w = lambda *k: Window.partitionBy("i", "j", *k)

@@ -11,6 +11,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,20 +47,66 @@ def _best(data: DataFrame, models, loss) -> DataFrame:
     return best.transform(data)
 
 
-def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample: int | None = None) -> DataFrame:
-    """k-means; the best of several seeds. sample: rows (about) to fit on, all rows are assigned."""
-    from pyspark.ml.clustering import KMeans
-
+def _plus_plus(x: np.ndarray, w: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n centres drawn one after the other, by weight and squared distance to those there are."""
+    at = [int(rng.choice(len(x), p=w / w.sum()))]
+    far = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < n:
+        p = w * far
+        at.append(int(rng.choice(len(x), p=p / p.sum() if p.sum() > 0 else w / w.sum())))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def _lloyd_sums(rows: DataFrame, names: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each start's centres (starts, n, d): rows taken, their sums, and the start's total squared distance. One pass for
+    all starts; every task gives one partial for each number, and the sums run where rows meet by number."""
+    starts, n, d = centres.shape
+
+    def part(batches):
+        total = np.zeros((starts, n, d + 2))
+        for b in batches:
+            x, w = b[names].to_numpy(float), b["__n"].to_numpy(float)
+            for s in range(starts):
+                far = (x * x).sum(1)[:, None] - 2 * x @ centres[s].T + (centres[s] ** 2).sum(1)[None]
+                near = far.argmin(1)
+                weighted = np.column_stack([x * w[:, None], w, w * np.maximum(far[np.arange(len(x)), near], 0)])
+                for k in range(n):
+                    total[s, k] += weighted[near == k].sum(0)
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    got = rows.mapInPandas(part, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")
+    total = (got["v"].to_numpy() if len(got) else np.zeros(starts * n * (d + 2))).reshape(starts, n, d + 2)
+    return total[:, :, d], total[:, :, :d], total[:, :, d + 1].sum(1)
+
+
+def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample: int | None = None, rounds: int = 20, first: int = 10_000) -> DataFrame:
+    """k-means; the best of several starts, which all move in the same passes over the distinct feature rows with their counts.
+
+    The starts' centres come from `first` distinct rows, drawn by hash and by their counts; all rows move them, up to
+    `rounds` times. A centre without rows stays. sample: rows (about) to move them by, all rows are assigned."""
     made, names = _features(df, cols, domains, scope)
-    data, _ = _ml(made, names, KMeans())
-
-    def models(kept):
-        share = 1.0 if sample is None else min(1.0, sample / max(1, kept.count()))
-        for s in range(starts):
-            est = KMeans(k=n, seed=seed + s, initSteps=2, maxIter=20, featuresCol="__v", predictionCol=OUT)
-            yield est, kept if share == 1.0 else kept.where(uniform(seed + s, key) < share)
-
-    return _best(data, models, lambda m: m.summary.trainingCost).drop("__v", *names)
+    drawn = made
+    if sample is not None:
+        drawn = made.where(uniform(seed, key) < min(1.0, sample / max(1, made.count())))
+    rows = drawn.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).persist()
+    try:
+        seen = rows.orderBy(F.xxhash64(*names), *names).limit(first).toPandas()
+        if not len(seen):
+            return df.withColumn(OUT, F.lit(0))
+        x, w = seen[names].to_numpy(float), seen["__n"].to_numpy(float)
+        centres = np.stack([_plus_plus(x, w, min(n, len(x)), np.random.default_rng(seed + s)) for s in range(starts)])
+        for _ in range(rounds):
+            taken, sums, _ = _lloyd_sums(rows, names, centres)
+            moved = np.where(taken[:, :, None] > 0, sums / np.maximum(taken, 1)[:, :, None], centres)
+            far = np.abs(moved - centres).max()
+            centres = moved
+            if far < 1e-6 * (1 + np.abs(centres).max()):
+                break
+        best = centres[_lloyd_sums(rows, names, centres)[2].argmin()]
+    finally:
+        rows.unpersist()
+    return made.withColumn(OUT, _nearest(names, best)).drop(*names)
 
 
 def _nearest(names: list[str], centres: Sequence[Sequence[float]]) -> Column:
@@ -315,24 +362,27 @@ def random_cols(df, cols, kinds, domains, scope, seed=42) -> list[int]:
     return (rng.random(len(scope)) < p).astype(int).tolist()
 
 
-def rdc_features(df: DataFrame, own: Sequence[str], seed: int = 42, k: int = 20, s: float = 1 / 6, nl=F.sin) -> tuple[DataFrame, list[str]]:
-    """Random non-linear features of each column's empirical distribution: ranks by a join with the counted values."""
+def rdc_weights(d: int, seed: int = 42, k: int = 20, s: float = 1 / 6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slopes and offsets of the random features of each column."""
     rng = np.random.default_rng(seed)
-    out, names = df, []
+    return [(rng.normal(0, math.sqrt(s), k), rng.normal(0, math.sqrt(s), k)) for _ in range(d)]
+
+
+def rdc_features(df: DataFrame, own: Sequence[str], weights: list[tuple[np.ndarray, np.ndarray]], nl=F.sin) -> tuple[DataFrame, list[str]]:
+    """Random non-linear features of each column's empirical distribution; missing cells take the middle rank."""
+    names = []
     for i, c in enumerate(own):
-        ranks = stats.ecdf(df, c).select(F.col("value").alias(f"__v{i}"), F.col("p").alias(f"__rank{i}"))
-        out = out.join(ranks, stats.known(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
-        w, b = rng.normal(0, math.sqrt(s), k), rng.normal(0, math.sqrt(s), k)
-        new = {f"__r{i}_{j}": nl(F.coalesce(f"__rank{i}", F.lit(0.5)) * float(w[j]) + float(b[j])) for j in range(k)}
-        out = out.withColumns(new)
+        df = stats.ranked(df, c, f"__rank{i}")
+        new = {f"__r{i}_{j}": nl(F.coalesce(f"__rank{i}", F.lit(0.5)) * float(w) + float(b)) for j, (w, b) in enumerate(zip(*weights[i], strict=True))}
+        df = df.withColumns(new)
         names += list(new)
-    return out, names
+    return df, names
 
 
 def rdc_scores(df: DataFrame, own: Sequence[str], seed: int = 42, k: int = 20, s: float = 1 / 6) -> np.ndarray:
     """Greatest canonical correlation of the features of every pair: one Gram matrix by partition sums, then small
     singular value problems."""
-    made, names = rdc_features(df, own, seed, k, s)
+    made, names = rdc_features(df.select(*own), own, rdc_weights(len(own), seed, k, s))
     with_one = made.withColumn("__one", F.lit(1.0))
     n, g = stats.gram(with_one, [*names, "__one"])
     mean = g[-1, :-1] / n
@@ -366,4 +416,4 @@ def rdc_cols(df, cols, kinds, domains, scope, seed=42, d=0.3) -> list[int]:
 
 SPLIT_COLS = {"gvs": gvs, "rgvs": rgvs, "wrgvs": wrgvs, "ebvs": entropy_split, "ebvs_ae": entropy_adaptive, "gbvs": gini_split, "gbvs_ag": gini_adaptive, "rdc": rdc_cols, "random": random_cols}
 
-__all__ = ["OUT", "SPLIT_COLS", "SPLIT_ROWS", "coded", "rdc_features", "rdc_scores", "slice_weights"]
+__all__ = ["OUT", "SPLIT_COLS", "SPLIT_ROWS", "coded", "rdc_features", "rdc_scores", "rdc_weights", "slice_weights"]

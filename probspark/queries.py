@@ -786,6 +786,28 @@ def kmeans_rows(spark, d):
     return splits.slice_weights(df)
 
 
+#: Slopes and offsets of two features for each of three columns.
+RDC_W = [((0.9, -0.4), (0.2, 0.1)), ((1.3, 0.5), (-0.3, 0.6)), ((-0.7, 2.0), (0.0, 0.4))]
+RDC_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _rdc_sql() -> str:
+    ranks = ", ".join(f"cume_dist() OVER (ORDER BY {c}) AS r{i}" for i, c in enumerate(RDC_COLS))
+    cells = [f"sin({w[j]!r} * r{i} + ({b[j]!r}))" for i, (w, b) in enumerate(RDC_W) for j in (0, 1)]
+    rows = [f"SELECT {i} AS i, {j} AS j, {_r(f'avg(f{i} * f{j}) - avg(f{i}) * avg(f{j})', 8)} AS cov FROM f" for i in range(6) for j in range(i, 6)]
+    return f"WITH r AS (SELECT {ranks} FROM lineitem), f AS (SELECT {', '.join(f'{c} AS f{i}' for i, c in enumerate(cells))} FROM r) " + _union(rows)
+
+
+@query(_rdc_sql())
+def rdc_covariances(spark, d):
+    """Covariances of the rank features that the dependence coefficient is worked out from, for fixed weights."""
+    made, names = splits.rdc_features(load(spark, d, "lineitem").select(*RDC_COLS), RDC_COLS, RDC_W)
+    n, g = stats.gram(made.withColumn("__one", F.lit(1.0)), [*names, "__one"])
+    mean = g[-1, :-1] / n
+    cov = g[:-1, :-1] / n - np.outer(mean, mean)
+    return _round(spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(6) for j in range(i, 6)], "i int, j int, cov double"), 8)
+
+
 @query()
 def rdc_pairs(spark, d):
     s = splits.rdc_scores(load(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"])

@@ -75,3 +75,54 @@ def test_encode_decode(spark, name):
     assert all(np.isclose(ll[r["id"]], r["ll"]) for r in tensors.score(df, flow, cols).collect())
     back = tensors.decode(u, flow, cols).orderBy("id").toPandas()
     assert np.allclose(back[cols], df.orderBy("id").toPandas()[cols], atol=1e-8)
+
+
+def test_all_starts_move_together(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(c, 0.5, (200, 2)) for c in ((0, 0), (6, 0), (0, 6), (6, 6))])
+    x[:150] = x[0]  # a hot row
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double").repartition(6)
+    got = splits.kmeans(df, ["a", "b"], [Gaussian] * 2, [(-9.0, 9.0)] * 2, [0, 1], "id", n=4).toPandas().sort_values("id")
+    assert got.groupby(splits.OUT)["id"].apply(lambda s: set(s // 200)).map(len).tolist() == [1, 1, 1, 1]
+    # the sums of one pass are those of plain arithmetic, for every start
+    rows = df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n"))
+    centres = rng.normal(3, 3, (3, 4, 2))
+    taken, sums, loss = splits._lloyd_sums(rows, ["a", "b"], centres)
+    for s in range(3):
+        far = ((x[:, None] - centres[s][None]) ** 2).sum(2)
+        near = far.argmin(1)
+        assert taken[s].tolist() == [int((near == k).sum()) for k in range(4)] and loss[s] == pytest.approx(far.min(1).sum())
+        assert np.allclose(sums[s], [x[near == k].sum(0) for k in range(4)])
+    none = splits.kmeans(df.limit(0), ["a", "b"], [Gaussian] * 2, [(-9.0, 9.0)] * 2, [0, 1], "id")
+    assert none.count() == 0 and splits.OUT in none.columns
+    few = splits.kmeans(df.where("a = %r" % float(x[0, 0])), ["a", "b"], [Gaussian] * 2, [(-9.0, 9.0)] * 2, [0, 1], "id", n=3)
+    assert few.select(splits.OUT).distinct().count() == 1
+
+
+def test_ranks_of_a_skewed_column(spark):
+    rng = np.random.default_rng(2)
+    v = np.where(rng.random(2000) < 0.9, 3.0, rng.normal(0, 5, 2000))
+    rows = [(i, None if i % 50 == 0 else float("nan") if i % 51 == 0 else float(a)) for i, a in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    from probspark.functions import stats
+
+    got = stats.ranked(df, "v", "p").toPandas().sort_values("id")
+    known = np.sort([a for _, a in rows if a is not None and a == a])
+    for (_, a), p in zip(rows, got["p"], strict=True):
+        assert np.isnan(p) if a is None or a != a else p == np.searchsorted(known, a, "right") / len(known)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # rows of the heavy value and missing cells are dealt over many keys of the join
+        made = stats.ranked(df, "v", "p")
+        assert "SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()
+        assert made.where("p IS NULL").count() == got["p"].isna().sum()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_domains_have_a_bound(spark):
+    from probspark.functions import stats
+
+    df = spark.range(100).select((F.col("id") % 7).alias("a"), (F.col("id") / 3).alias("b"), F.lit(None).cast("int").alias("c"))
+    assert stats.domains(df, ["a", "b", "c"], [True, False, True]) == [[float(i) for i in range(7)], (0.0, 33.0), []]
+    with pytest.raises(ValueError):
+        stats.domains(df, ["b"], [True], most=99)
