@@ -137,6 +137,8 @@ def _em_sums(b: Arrays, root: Node) -> dict[str, float]:
             x = b.x(n.var)
             s = np.where(np.isnan(x), 0.0, s)
             x = np.nan_to_num(x, nan=0.0)
+            if isinstance(n, Gaussian):  # about the mean so far: squares of large values would drown the spread
+                x = x - n.mean
             out[f"l{n.id}_s"], out[f"l{n.id}_sx"], out[f"l{n.id}_sxx"] = float(s.sum()), float((s * x).sum()), float((s * x * x).sum())
             if isinstance(n, Categorical):
                 for i in range(len(n.probabilities)):

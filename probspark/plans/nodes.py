@@ -274,10 +274,11 @@ class Gaussian(Leaf):
         self.mean, self.stddev = 0.1 * float(rng.normal()), 0.5 + 0.1 * math.tanh(float(rng.normal()))
 
     def em_update(self, s, step):
+        """s: total s, sx and sxx about the mean so far."""
         total = s["s"] + EPS32
-        mean = s["sx"] / total
-        sd = max(math.sqrt(max((s["sxx"] - 2 * mean * s["sx"] + mean * mean * s["s"]) / total, 0.0)), 1e-5)
-        self.mean, self.stddev = (1 - step) * self.mean + step * mean, (1 - step) * self.stddev + step * sd
+        moved = s["sx"] / total
+        sd = max(math.sqrt(max((s["sxx"] - 2 * moved * s["sx"] + moved * moved * s["s"]) / total, 0.0)), 1e-5)
+        self.mean, self.stddev = self.mean + step * moved, (1 - step) * self.stddev + step * sd
 
 
 class ChowLiu(Leaf):

@@ -662,6 +662,81 @@ def em_one_step(spark, d):
     return _round(spark.createDataFrame(rows, "name string, value double"))
 
 
+def _em_mixture_sql() -> str:
+    t = ", ".join(f"{x} AS t{i}" for i, x in enumerate(_mix_terms()))
+    cells = ["l_quantity", "l_discount"]
+    post = lambda i: f"exp(t{i} - z)"
+    sums = []
+    for i in range(3):
+        sums.append(f"sum({post(i)}) AS s{i}")
+        sums += [f"sum({post(i)} * {c}) AS s{i}_{v}, sum({post(i)} * {c} * {c}) AS q{i}_{v}" for v, c in enumerate(cells)]
+        sums += [f"sum(CASE WHEN l_returnflag = '{f}' THEN {post(i)} ELSE 0 END) AS c{i}_{k}" for k, f in enumerate("ANR")]
+    head = f"WITH s AS (SELECT *, {t} FROM lineitem), z AS (SELECT *, {_lse_sql(['t0', 't1', 't2'])} AS z FROM s), e AS (SELECT {', '.join(sums)} FROM z)"
+    a = float(np.finfo(np.float16).eps)
+    rows = [f"SELECT 'w{i}' AS name, 0.5 * {MIX_W[i]} + 0.5 * s{i} / (s0 + s1 + s2) AS value FROM e" for i in range(3)]
+    for i, (q, d, c) in enumerate(MIX):
+        for v, (m, sd) in enumerate((q, d)):
+            rows += [f"SELECT 'm{i}_{v}', 0.5 * {m} + 0.5 * s{i}_{v} / s{i} FROM e", f"SELECT 'd{i}_{v}', 0.5 * {sd} + 0.5 * sqrt(q{i}_{v} / s{i} - (s{i}_{v} / s{i}) ** 2) FROM e"]
+        rows += [f"SELECT 'c{i}_{k}', 0.5 * {c[k]} + 0.5 * (c{i}_{k} + {a!r}) / (s{i} + 3 * {a!r}) FROM e" for k in range(3)]
+    return f"{head} SELECT name, round(value, 6) AS value FROM (" + _union(rows) + ")"
+
+
+@query(_em_mixture_sql())
+def em_mixture_step(spark, d):
+    """One step over Gaussian and categorical leaves."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
+    df, root = load(spark, d, "lineitem").select("l_quantity", "l_discount", flag.alias("flag")), mixture()
+    learn.expectation_maximisation(df, root, {0: "l_quantity", 1: "l_discount", 2: "flag"}, iterations=1, step=0.5)
+    rows = [(f"w{i}", float(w)) for i, w in enumerate(root.weights)]
+    for i, part in enumerate(root.children):
+        *normal, flags = part.children
+        rows += [(f"{name}{i}_{v}", float(x)) for v, g in enumerate(normal) for name, x in (("m", g.mean), ("d", g.stddev))]
+        rows += [(f"c{i}_{k}", float(p)) for k, p in enumerate(flags.probabilities)]
+    return _round(spark.createDataFrame(rows, "name string, value double"))
+
+
+#: Two trees over four binary variables, as P(1 | parent = 0) and P(1 | parent = 1).
+TREES = [([-1, 0, 0, 1], [(0.6, 0.6), (0.2, 0.7), (0.4, 0.55), (0.3, 0.9)]), ([2, 2, -1, 0], [(0.35, 0.5), (0.8, 0.1), (0.45, 0.45), (0.65, 0.25)])]
+TREE_W = [0.7, 0.3]
+
+
+def _em_tree_sql() -> str:
+    def ll(parent, table):
+        one = lambda p: f"CASE WHEN x{{i}} = 1 THEN {math.log(p)!r} ELSE {math.log(1 - p)!r} END"
+        cell = lambda i, p: one(table[i][0]).format(i=i) if p < 0 else f"CASE WHEN x{p} = 1 THEN {one(table[i][1]).format(i=i)} ELSE {one(table[i][0]).format(i=i)} END"
+        return " + ".join(f"({cell(i, p)})" for i, p in enumerate(parent))
+
+    t = ", ".join(f"{math.log(w)!r} + {ll(*tree)} AS t{k}" for k, (w, tree) in enumerate(zip(TREE_W, TREES, strict=True)))
+    sums = []
+    for k, (parent, _) in enumerate(TREES):
+        post = f"exp(t{k} - z)"
+        sums += [f"sum({post}) AS s{k}"] + [f"sum({post} * x{i}) AS s{k}_{i}" for i in range(4)] + [f"sum({post} * x{i} * x{p}) AS j{k}_{i}" for i, p in enumerate(parent) if p >= 0]
+    a = float(np.finfo(np.float16).eps)
+    rows = [f"SELECT {k} AS tree, -1 AS var, 0 AS given, 0.5 * {w} + 0.5 * s{k} / (s0 + s1) AS p FROM e" for k, w in enumerate(TREE_W)]
+    for k, (parent, table) in enumerate(TREES):
+        prior = lambda i, k=k: f"((s{k}_{i} + 2 * {a!r}) / (s{k} + 4 * {a!r}))"
+        for i, p in enumerate(parent):
+            for given in (0, 1):
+                if p < 0:
+                    new = prior(i)
+                else:
+                    got, share = (f"j{k}_{i}", prior(p)) if given else (f"(s{k}_{i} - j{k}_{i})", f"(1 - {prior(p)})")
+                    new = f"({got} + {a!r}) / (s{k} * {share} + 4 * {a!r})"
+                rows.append(f"SELECT {k}, {i}, {given}, 0.5 * {table[i][given]} + 0.5 * {new} FROM e")
+    return f"WITH s AS (SELECT *, {t} FROM ({E4_SQL})), z AS (SELECT *, {_lse_sql(['t0', 't1'])} AS z FROM s), e AS (SELECT {', '.join(sums)} FROM z) SELECT tree, var, given, round(p, 6) AS p FROM (" + _union(rows) + ")"
+
+
+@query(_em_tree_sql())
+def em_tree_step(spark, d):
+    """One step over a mixture of two trees: var -1 has the weights."""
+    leaf = lambda parent, table: ChowLiu([0, 1, 2, 3], parent, np.log([[[1 - p, p] for p in row] for row in table]))
+    root = number(Sum(TREE_W, [leaf(*t) for t in TREES]))
+    learn.expectation_maximisation(e4(spark, d), root, NAMES4, iterations=1, step=0.5)
+    rows = [(k, -1, 0, float(w)) for k, w in enumerate(root.weights)]
+    rows += [(k, i, g, float(np.exp(tree.logp[i, g, 1]))) for k, tree in enumerate(root.children) for i in range(4) for g in (0, 1)]
+    return _round(spark.createDataFrame(rows, "tree int, var int, given int, p double"))
+
+
 def _nested():
     a, b, c = (Product([Bernoulli(v, p) for v, p in enumerate(row)]) for row in BIN_P)
     inner = Sum([BIN_W[1] / (BIN_W[1] + BIN_W[2]), BIN_W[2] / (BIN_W[1] + BIN_W[2])], [b, c])
