@@ -8,16 +8,23 @@ from contextvars import ContextVar
 from .nodes import ChowLiu, Node, Product, Sum, bfs, layers, of_type
 
 _enabled: ContextVar[bool] = ContextVar("check_circuits", default=True)
+_kinds: ContextVar[bool] = ContextVar("check_kinds", default=True)
 
 
 @contextmanager
-def checking(enabled: bool):
-    """Switch validation before queries on or off within a block."""
-    token = _enabled.set(enabled)
+def checking(enabled: bool | None = None, kinds: bool | None = None):
+    """Switch the validation of circuits before queries, and the casts of `as_kind`, on or off within a block (of this
+    thread); what is None stays."""
+    tokens = [(flag, flag.set(value)) for flag, value in ((_enabled, enabled), (_kinds, kinds)) if value is not None]
     try:
         yield
     finally:
-        _enabled.reset(token)
+        for flag, token in tokens:
+            flag.reset(token)
+
+
+def checks_kinds() -> bool:
+    return _kinds.get()
 
 
 def problem(root: Node, labeled=True, smooth=True, decomposable=True, structured=False) -> str | None:

@@ -16,7 +16,7 @@ from .operators.partition import Partition
 from .plans.nodes import Bernoulli, Categorical, ChowLiu, Gaussian, Isotonic, Product, Sum, Uniform, bfs, layers, number, statistics
 from .plans.rewrite import marginalize, prune, to_circuit
 from .plans.store import edge_table, from_dict, node_table, to_dict
-from .sources import energy
+from .sources import energy, recipes
 from .sources.matrices import B6, B6_SQL, E4, E4_SQL, b6, drop_correlated, e4, every_assignment, load
 from .streaming.scoring import score_stream
 
@@ -934,6 +934,74 @@ def clt_learned(spark, d):
     return _round(scored.groupBy(*B6).agg(F.first("ll").alias("ll"), F.count(F.lit(1)).alias("n")))
 
 
+# --- preparation recipes ---------------------------------------------------------------------------------------------
+
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+LINE8 = ["l_quantity", "l_partkey", "l_discount", "l_suppkey", "l_extendedprice", "l_tax", "l_linenumber", "l_orderkey"]
+
+
+def _power_sql() -> str:
+    left = [c for i, c in enumerate(LINE8) if i not in (1, 3)]
+    noise = [f"{c} + {w} * {uniform_sql(f'42-noise{j}', *LINE_KEYS)}" if w else f"{c}::DOUBLE" for j, (c, w) in enumerate(zip(left, recipes.POWER_NOISE, strict=True))]
+    cells = ", ".join(f"{e} AS y{j}" for j, e in enumerate(noise))
+    u = uniform_sql(42, *LINE_KEYS)
+    stats_ = ", ".join(f"avg(y{j}) FILTER (part = 'train') AS m{j}, stddev_pop(y{j}) FILTER (part = 'train') + 1e-7 AS d{j}" for j in range(6))
+    out = ", ".join(f"{_r(f'avg((y{j} - m{j}) / d{j})', 5)} AS z{j}" for j in range(6))
+    return f"WITH y AS (SELECT {cells}, CASE WHEN {u} < 0.81 THEN 'train' WHEN {u} < 0.9 THEN 'valid' ELSE 'test' END AS part FROM lineitem), s AS (SELECT {stats_} FROM y) SELECT part, count(*) AS n, {out} FROM y, s GROUP BY part"
+
+
+@query(_power_sql())
+def recipe_power(spark, d):
+    """Noise, parts and standardisation by the training rows: means of each part."""
+    df = load(spark, d, "lineitem").select(*LINE8).withColumns({c: F.col(c).cast("double") for c in LINE8 if c not in LINE_KEYS})
+    keyed = df.withColumns({f"k{i}": F.col(c) for i, c in enumerate(LINE_KEYS)})
+    made = recipes.power(keyed, LINE8, ["k0", "k1"])
+    left = [c for i, c in enumerate(LINE8) if i not in (1, 3)]
+    split = recipes.standardised(recipes.parts(made, ["k0", "k1"]), left)
+    out = None
+    for name, part in split.items():
+        one = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"z{j}") for j, c in enumerate(left)])
+        out = one if out is None else out.unionByName(one)
+    return _round(out, 5)
+
+
+GAS = {"q": "l_quantity", "p": "l_extendedprice", "q2": "l_quantity + l_tax", "t": "l_tax", "p2": "l_extendedprice * (1 - l_tax / 10)", "n": "-l_quantity", "Time": "l_orderkey"}
+
+
+def _gas_sql() -> str:
+    names = [c for c in GAS if c != "Time"]
+    later = [" OR ".join(f"corr({a}, {b}) > 0.98" for b in names[i + 1 :]) or "false" for i, a in enumerate(names)]
+    cells = ", ".join(f"{e} AS {c}" for c, e in GAS.items())
+    return f"WITH x AS (SELECT {cells} FROM lineitem) " + _union(f"SELECT '{a}' AS col, {i} AS pos FROM x HAVING NOT ({w})" for i, (a, w) in enumerate(zip(names, later, strict=True)))
+
+
+@query(_gas_sql())
+def recipe_gas(spark, d):
+    """Columns that are left, with their places."""
+    df = load(spark, d, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in GAS.items()])
+    left = recipes.gas(df, list(GAS), []).columns
+    return spark.createDataFrame([(c, [x for x in GAS if x != "Time"].index(c)) for c in left], "col string, pos int")
+
+
+HEP = {"a": "l_extendedprice", "b": "l_quantity", "c": "l_orderkey + l_linenumber / 10", "e": "l_discount", "f": "l_extendedprice * (1 + l_tax)"}
+
+
+def _hep_sql() -> str:
+    cells = ", ".join(f"({e})::DOUBLE AS {c}" for c, e in HEP.items())
+    low = ", ".join(f"min({c}) AS m_{c}" for c in HEP)
+    return f"WITH x AS (SELECT {cells} FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT {low} FROM x) " + _union(f"SELECT '{c}' AS col, sum(x.{c}) AS s FROM x, m HAVING count(*) FILTER (x.{c} = m.m_{c}) <= 5" for c in HEP)
+
+
+@query(f"SELECT col, {_r('s', 2)} AS s FROM ({_hep_sql()})")
+def recipe_hepmass(spark, d):
+    """Columns that are left for the rows of class 1, with their sums over training and validation rows."""
+    df = load(spark, d, "lineitem").selectExpr(*LINE_KEYS, "CAST(l_returnflag = 'R' AS INT) AS y", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in HEP.items()])
+    found = recipes.hepmass(df, df, "y", list(HEP), LINE_KEYS)
+    both = found["train"].unionByName(found["valid"])
+    left = [c for c in both.columns if c not in LINE_KEYS]
+    return _round(both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in left])).alias("k")).groupBy("k.col").agg(F.sum("k.v").alias("s")), 2)
+
+
 # --- tensor models, flows, densities --------------------------------------------------------------------------------
 
 
