@@ -80,20 +80,13 @@ def _lloyd_sums(rows: DataFrame, names: list[str], centres: np.ndarray) -> tuple
     return total[:, :, d], total[:, :, :d], total[:, :, d + 1].sum(1)
 
 
-def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample: int | None = None, rounds: int = 20, first: int = 10_000) -> DataFrame:
-    """k-means; the best of several starts, which all move in the same passes over the distinct feature rows with their counts.
-
-    The starts' centres come from `first` distinct rows, drawn by hash and by their counts; all rows move them, up to
-    `rounds` times. A centre without rows stays. sample: rows (about) to move them by, all rows are assigned."""
-    made, names = _features(df, cols, domains, scope)
-    drawn = made
-    if sample is not None:
-        drawn = made.where(uniform(seed, key) < min(1.0, sample / max(1, made.count())))
+def _centres(drawn: DataFrame, names: list[str], seed: int, n: int, starts: int, rounds: int = 20, first: int = 10_000) -> np.ndarray | None:
+    """The best start's centres (n, d); None without rows."""
     rows = drawn.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).persist()
     try:
         seen = rows.orderBy(F.xxhash64(*names), *names).limit(first).toPandas()
         if not len(seen):
-            return df.withColumn(OUT, F.lit(0))
+            return None
         x, w = seen[names].to_numpy(float), seen["__n"].to_numpy(float)
         centres = np.stack([_plus_plus(x, w, min(n, len(x)), np.random.default_rng(seed + s)) for s in range(starts)])
         for _ in range(rounds):
@@ -103,10 +96,22 @@ def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample:
             centres = moved
             if far < 1e-6 * (1 + np.abs(centres).max()):
                 break
-        best = centres[_lloyd_sums(rows, names, centres)[2].argmin()]
+        return centres[_lloyd_sums(rows, names, centres)[2].argmin()]
     finally:
         rows.unpersist()
-    return made.withColumn(OUT, _nearest(names, best)).drop(*names)
+
+
+def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample: int | None = None, rounds: int = 20, first: int = 10_000) -> DataFrame:
+    """k-means; the best of several starts, which all move in the same passes over the distinct feature rows with their counts.
+
+    The starts' centres come from `first` distinct rows, drawn by hash and by their counts; all rows move them, up to
+    `rounds` times. A centre without rows stays. sample: rows (about) to move them by, all rows are assigned."""
+    made, names = _features(df, cols, domains, scope)
+    drawn = made
+    if sample is not None:
+        drawn = made.where(uniform(seed, key) < min(1.0, sample / max(1, made.count())))
+    best = _centres(drawn, names, seed, n, starts, rounds, first)
+    return df.withColumn(OUT, F.lit(0)) if best is None else made.withColumn(OUT, _nearest(names, best)).drop(*names)
 
 
 def _nearest(names: list[str], centres: Sequence[Sequence[float]]) -> Column:
@@ -229,13 +234,13 @@ def random_rows(df, cols, kinds, domains, scope, key, seed=42) -> DataFrame:
     return df.withColumn(OUT, (uniform(seed, key) < float(p)).cast("int"))
 
 
-def rdc_rows(df, cols, kinds, domains, scope, key, seed=42, n=2) -> DataFrame:
+def rdc_rows(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5) -> DataFrame:
     """k-means over random sine features of the ranks."""
-    from pyspark.ml.clustering import KMeans
-
-    made, names = rdc_features(df, [cols[v] for v in scope], seed)
-    data, est = _ml(made, names, KMeans(k=n, seed=seed, maxIter=20))
-    return est.fit(data).transform(data).drop("__v", *names, *[c for c in made.columns if c.startswith("__rank")])
+    own = [cols[v] for v in scope]
+    made, names = rdc_features(df, own, rdc_weights(len(own), seed))
+    best = _centres(made, names, seed, n, starts)
+    made = made.withColumn(OUT, F.lit(0) if best is None else _nearest(names, best))
+    return made.select(*df.columns, OUT)
 
 
 SPLIT_ROWS = {"kmeans": kmeans, "kmeans_mb": kmeans_minibatch, "gmm": gmm, "dbscan": dbscan, "wald": ward, "rdc": rdc_rows, "random": random_rows}

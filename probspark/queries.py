@@ -919,14 +919,46 @@ def cnet_bic_score(spark, d):
     return _round(inference.log_likelihood(df, trees.learn_cnet_bic(df, E4), NAMES4).select("event_id", "ll"))
 
 
-@query()
+def _em_fit_sql(iterations: int = 5, step: float = 0.9) -> str:
+    """Every step's parameters are the columns of one row."""
+    a = float(np.finfo(np.float16).eps)
+    one = lambda i, v: f"ln(CASE WHEN x{v} = 1 THEN p{i}_{v} ELSE 1 - p{i}_{v} END)"
+    t = ", ".join(f"ln(w{i}) + " + " + ".join(one(i, v) for v in range(4)) + f" AS t{i}" for i in range(3))
+    sums = ", ".join(f"sum(exp(t{i} - z)) AS s{i}, " + ", ".join(f"sum(exp(t{i} - z) * x{v}) AS s{i}_{v}" for v in range(4)) for i in range(3))
+    new = ", ".join(f"{1 - step!r} * w{i} + {step} * s{i} / (s0 + s1 + s2) AS w{i}, " + ", ".join(f"{1 - step!r} * p{i}_{v} + {step} * (s{i}_{v} + {a!r}) / (s{i} + 2 * {a!r}) AS p{i}_{v}" for v in range(4)) for i in range(3))
+    start = ", ".join(f"{BIN_W[i]}::DOUBLE AS w{i}, " + ", ".join(f"{BIN_P[i][v]}::DOUBLE AS p{i}_{v}" for v in range(4)) for i in range(3))
+    steps = [f"b AS MATERIALIZED ({E4_SQL})", f"q0 AS (SELECT {start})"]
+    for k in range(iterations):
+        steps.append(f"z{k} AS (SELECT *, {_lse_sql(['t0', 't1', 't2'])} AS z FROM (SELECT *, {t} FROM b, q{k}))")
+        steps.append(f"e{k} AS MATERIALIZED (SELECT avg(z) AS mean_ll, {sums} FROM z{k})")
+        steps.append(f"q{k + 1} AS MATERIALIZED (SELECT {new} FROM q{k}, e{k})")
+    return "WITH " + ", ".join(steps) + " " + _union(f"SELECT {k} AS iteration, {_r('mean_ll')} AS mean_ll FROM e{k}" for k in range(iterations))
+
+
+@query(_em_fit_sql())
 def em_fit(spark, d):
     c = binary_circuit()
     history = learn.expectation_maximisation(e4(spark, d), c, NAMES4, iterations=5, step=0.9)
     return _round(spark.createDataFrame(list(enumerate(history)), "iteration int, mean_ll double"))
 
 
-@query()
+def _clt_learned_sql() -> str:
+    """The tree grows by its best edge, one step after the other; then conditional probabilities from the counts."""
+    mi = _union(f"SELECT {i} AS i, {j} AS j, {' + '.join(f'{_joint(i, j, k, l)} * ln({_joint(i, j, k, l)} / ({_prior(i, k)} * {_prior(j, l)}))' for k in (0, 1) for l in (0, 1))} AS mi FROM c" for i, j in PAIRS)
+    p = _union([f"SELECT {i} AS i, {j} AS j, {k} AS k, {l} AS l, {_joint(i, j, k, l)} / {_prior(j, l)} AS p FROM c" for i, j in PAIRS for k in (0, 1) for l in (0, 1)])
+    roots = _union(f"SELECT {k} AS k, {_prior(0, k)} AS p FROM c" for k in (0, 1))
+    steps = [f"mi AS MATERIALIZED ({mi})", f"cpt AS MATERIALIZED ({p})", f"root AS ({roots})", "t0 AS (SELECT [0] AS inside, []::STRUCT(v INTEGER, up INTEGER)[] AS edges)"]
+    for k in range(5):
+        best = f"SELECT t.*, mi.j AS v, mi.i AS up FROM mi, t{k} t WHERE list_contains(inside, mi.i) AND NOT list_contains(inside, mi.j) ORDER BY mi DESC, mi.j LIMIT 1"
+        steps.append(f"t{k + 1} AS MATERIALIZED (SELECT list_append(inside, v) AS inside, list_append(edges, struct_pack(v := v, up := up)) AS edges FROM ({best}))")
+    steps += ["edges AS (SELECT unnest(edges) AS e FROM t5)", "edge AS (SELECT e.v AS v, e.up AS up FROM edges)"]
+    cells = "[" + ", ".join(f"x{i}" for i in range(6)) + "]"
+    steps.append(f"g AS (SELECT {', '.join(B6)}, {cells} AS x, count(*) AS n FROM b GROUP BY ALL)")
+    part = "SELECT g.x, sum(ln(cpt.p / s.p)) AS ll FROM g, edge JOIN cpt ON cpt.i = edge.v AND cpt.j = edge.up AND cpt.k = g.x[edge.v + 1] AND cpt.l = g.x[edge.up + 1] JOIN (SELECT i, j, l, sum(p) AS p FROM cpt GROUP BY ALL) s ON s.i = edge.v AND s.j = edge.up AND s.l = cpt.l GROUP BY g.x"
+    return f"{COUNTS}, {', '.join(steps)} SELECT {', '.join(f'g.{c}' for c in B6)}, {_r('l.ll + ln(root.p)')} AS ll, g.n FROM g JOIN ({part}) l ON g.x = l.x JOIN root ON root.k = g.x0"
+
+
+@query(_clt_learned_sql())
 def clt_learned(spark, d):
     df = b6(spark, d)
     tree = number(trees.learn_tree(df, B6, root=0))
