@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,6 +16,7 @@ from ..plans.backends import Arrays
 from ..plans.nodes import Bernoulli, Categorical, ChowLiu, Gaussian, Leaf, Node, Product, Sum, bfs, number, safe_log
 from ..plans.rewrite import prune
 from ..plans.validate import check
+from ..sources.tables import stored
 from .inference import _forward, _gradients
 from .leaves import LEARN_LEAF, factorise, fit_leaves
 from .partition import Partition
@@ -24,16 +24,6 @@ from .splits import OUT, SPLIT_COLS, SPLIT_ROWS
 from .trees import counts_of, spanning_tree, tree_from_counts
 
 
-def _store(df: DataFrame) -> DataFrame:
-    """A slice written to the shared folder, so that deeper slices don't recompute the splits above them."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.cache()
-    path = f"{base}/slices/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def learn_spn(
     df: DataFrame,
     cols: Sequence[str],
@@ -73,7 +63,7 @@ def learn_spn(
         if no_rows or n < min_rows or len(scope) < min_cols:
             return leaf(own, cols, kinds, domains, scope, **(leaf_args or {}))
         if no_cols or first:
-            marked = _store(rows(own, cols, kinds, domains, scope, key, next(counter), **(rows_args or {})))
+            marked = stored(rows(own, cols, kinds, domains, scope, key, next(counter), **(rows_args or {})))
             sizes = {x[OUT]: x["count"] for x in marked.groupBy(OUT).count().orderBy(OUT).collect()}
             if len(sizes) < 2:
                 return grow(own, scope, False, True, False)

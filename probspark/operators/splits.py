@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.rng import uniform
 from ..functions.transforms import mixed_one_hot
+from ..sources.tables import stored
 
 OUT = "__cluster"
 
@@ -170,7 +171,7 @@ def dbscan(df, cols, kinds, domains, scope, key, seed=42, least=5) -> DataFrame:
 def _numbered(df: DataFrame, order: list) -> DataFrame:
     """df with its row number from 0 in that order as a label: sorted ranges keep their own numbers, and one count for
     each range, not the rows, gives the offsets."""
-    ranges = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    ranges = stored(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["part"], r["n"]) for r in ranges.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     before = np.cumsum([0] + [n for _, n in sizes])

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..functions.stats import classification_report, mean_quantiles_by
+from ..functions.stats import balanced, classification_report, mean_quantiles_by
 from ..functions.transforms import squeeze_order
 from ..plans import tape as t
 from ..plans.tape import Var
+from ..sources.tables import stored
 
 LOG2PI = math.log(2 * math.pi)
 
@@ -1230,6 +1231,19 @@ def _predicted(df: DataFrame, model: Model, cols: Sequence[str]) -> DataFrame:
     return score(df, model, cols).withColumn("predicted", F.coalesce(*[F.when(F.col(f"ll_{k}") == best, k) for k in range(model.classes)]))
 
 
+def test_model(df: DataFrame, model: Model, cols: Sequence[str], label: str) -> tuple[float, float, DataFrame]:
+    """Mean negative log likelihood of the labels given the cells with its standard error, and the report of `test_classes`,
+    from one scoring."""
+    scored = _predicted(df, model, cols)
+    terms = [F.col(f"ll_{k}") for k in range(model.classes)]
+    top = F.greatest(*terms)
+    total = top + F.ln(balanced([F.exp(x - top) for x in terms]))
+    own = F.coalesce(*[F.when(F.col(label) == k, x) for k, x in enumerate(terms)])
+    kept = stored(scored.withColumn("__nll", total - own), "scores")
+    r = kept.agg(F.avg("__nll").alias("m"), (F.stddev_pop("__nll") / F.sqrt(F.count("__nll"))).alias("s")).first()
+    return r["m"], r["s"], classification_report(kept, label, "predicted")
+
+
 def test_classes(df: DataFrame, model: Model, cols: Sequence[str], label: str) -> DataFrame:
     """Precision, recall and F1 of each class, accuracy and averages (`stats.classification_report`)."""
     return classification_report(_predicted(df, model, cols), label, "predicted")

@@ -18,6 +18,7 @@ from .plans.rewrite import marginalize, prune, to_circuit
 from .plans.store import edge_table, from_dict, node_table, to_dict
 from .sources import energy, recipes
 from .sources.matrices import B6, B6_SQL, E4, E4_SQL, b6, drop_correlated, e4, every_assignment, load
+from .sources.tables import stream_folder
 from .streaming.scoring import score_stream
 
 QUERIES: dict = {}
@@ -1191,7 +1192,6 @@ def classifier_probabilities(spark, d):
 @query(ORACLES["score_gaussian_mixture"])
 def stream_scoring(spark, d):
     """The flagship query over a stream of the table's files."""
-    import tempfile
     import uuid
 
     table = f"scored_{uuid.uuid4().hex}"
@@ -1200,8 +1200,7 @@ def stream_scoring(spark, d):
     stream = spark.readStream.schema(static.schema).parquet(f"{d}/lineitem.parquet*").select("l_linestatus", "l_quantity", "l_discount", flag.alias("flag"))
     scored = score_stream(stream, mixture(), {0: "l_quantity", 1: "l_discount", 2: "flag"})
     sums = scored.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg("ll").alias("mean_ll"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = sums.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", f"{folder}/streams/{table}").trigger(availableNow=True).start()
+    run = sums.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", stream_folder(spark, table)).trigger(availableNow=True).start()
     run.awaitTermination()
     return _round(spark.table(table))
 

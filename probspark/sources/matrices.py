@@ -78,13 +78,11 @@ def drop_correlated(df: DataFrame, cols: Sequence[str], most: float = 0.98) -> l
 
 
 def drop_repetitive(df: DataFrame, cols: Sequence[str], most: int) -> list[str]:
-    """Columns whose commonest value occurs at most `most` times."""
-    out = []
-    for c in cols:
-        top = df.groupBy(c).count().agg(F.max("count")).first()[0] or 0
-        if top <= most:
-            out.append(c)
-    return out
+    """Columns whose commonest value occurs at most `most` times: one count of the cells of all columns."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), known(c).alias("v")) for i, c in enumerate(cols)])
+    counts = df.select(F.explode(cells).alias("k")).groupBy("k.i", "k.v").agg(F.count(F.lit(1)).alias("n"))
+    top = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.max("n").alias("n")).collect()}
+    return [c for i, c in enumerate(cols) if top.get(i, 0) <= most]
 
 
 # --- fixtures ------------------------------------------------------------------------------------------------------

@@ -305,3 +305,18 @@ def test_uniform_base_behind_data_ends():
     assert np.allclose(flow.scores(x)[:, 0] - before.v, -6 * np.log(10))
     level = flow.unpreprocess(flow.preprocess(x)[0].v)
     assert ((level >= 0) & (level <= 1)).all() and np.allclose(flow.unpreprocess(flow.preprocess(level)[0].v), level)
+
+
+def test_scores_and_report_together(spark):
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b), int(a > 0)) for a, b in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    model = m.RatSpn(2, classes=2, depth=1, repetitions=2, batch=3)
+    m.train(df, model, ["a", "b"], "y", epochs=5, rate=0.1)
+    nll, error, report = m.test_model(df, model, ["a", "b"], "y")
+    x, y = np.array(rows)[:, :2], np.array(rows)[:, 2].astype(int)
+    ll = model.scores(x)
+    each = np.log(np.exp(ll).sum(1)) - ll[np.arange(200), y]
+    assert nll == pytest.approx(each.mean()) and error == pytest.approx(each.std() / np.sqrt(200))
+    right = {r["label"]: r for r in report.collect()}["accuracy"]["recall"]
+    assert right == pytest.approx((ll.argmax(1) == y).mean())
