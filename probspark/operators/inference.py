@@ -90,18 +90,19 @@ def _complete(b, root: Node, branch: Callable, fill: Callable, leaf: Callable =
     ll = _forward(b, root, leaf, inner)
     mask: dict[int, list] = {root.id: [b.true()]}
     filled: dict[int, list] = {}
-    for layer in layers(root):
+    for layer in layers(root):  # a projection for the layer's masks, and one for its branches
+        reached = {n.id: b.bind(b.either(mask[n.id])) if len(mask[n.id]) > 1 else mask[n.id][0] for n in layer}
+        b.flush()
+        taken = {n.id: b.bind(branch(b, n, [ll[c.id] for c in n.children])) for n in layer if isinstance(n, Sum)}
+        b.flush()
         for n in layer:
-            m = b.bind(b.either(mask[n.id]))
-            b.flush()
+            m = reached[n.id]
             if isinstance(n, Leaf):
                 for var, value in fill(b, n).items():
                     filled.setdefault(var, []).append((m, value))
                 continue
-            taken = b.bind(branch(b, n, [ll[c.id] for c in n.children])) if isinstance(n, Sum) else None
-            b.flush()
             for i, c in enumerate(n.children):
-                mask.setdefault(c.id, []).append(m if taken is None else b.bind(b.both(m, b.is_(taken, i))))
+                mask.setdefault(c.id, []).append(b.bind(b.both(m, b.is_(taken[n.id], i))) if n.id in taken else m)
         b.flush()
     out = {}
     for var, options in filled.items():
@@ -133,7 +134,7 @@ def _run(df: DataFrame, root: Node, names: dict[int, str], program, out: list[st
     if lowering == "auto":
         lowering = "columns" if len(post_order(root)) <= SMALL else "kernel"
     if lowering == "columns":
-        b = Columns(df, names, key, seed)
+        b = Columns(df, {v: names[v] for v in root.scope}, key, seed)
         return b.result(**{k: v + 0.0 for k, v in program(b).items()})
     used = [names[v] for v in root.scope]
     shared = df.sparkSession.sparkContext.broadcast((root, names))

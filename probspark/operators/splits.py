@@ -89,13 +89,14 @@ def _centres(drawn: DataFrame, names: list[str], seed: int, n: int, starts: int,
         if not len(seen):
             return None
         x, w = seen[names].to_numpy(float), seen["__n"].to_numpy(float)
+        spread = np.average((x - np.average(x, 0, w)) ** 2, 0, w).mean()
         centres = np.stack([_plus_plus(x, w, min(n, len(x)), np.random.default_rng(seed + s)) for s in range(starts)])
         for _ in range(rounds):
             taken, sums, _ = _lloyd_sums(rows, names, centres)
             moved = np.where(taken[:, :, None] > 0, sums / np.maximum(taken, 1)[:, :, None], centres)
-            far = np.abs(moved - centres).max()
+            far = ((moved - centres) ** 2).sum((1, 2)).max()
             centres = moved
-            if far < 1e-6 * (1 + np.abs(centres).max()):
+            if far <= 1e-4 * spread:
                 break
         return centres[_lloyd_sums(rows, names, centres)[2].argmin()]
     finally:
@@ -106,7 +107,7 @@ def kmeans(df, cols, kinds, domains, scope, key, seed=42, n=2, starts=5, sample:
     """k-means; the best of several starts, which all move in the same passes over the distinct feature rows with their counts.
 
     The starts' centres come from `first` distinct rows, drawn by hash and by their counts; all rows move them, up to
-    `rounds` times. A centre without rows stays. sample: rows (about) to move them by, all rows are assigned."""
+    `rounds` times or until no start's centres move by more than a hundredth of the mean deviation. A centre without rows stays. sample: rows (about) to move them by, all rows are assigned."""
     made, names = _features(df, cols, domains, scope)
     drawn = made
     if sample is not None:

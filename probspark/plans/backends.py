@@ -25,9 +25,12 @@ class Columns:
         self.kept = list(df.columns)
         self.waiting: dict[str, Column] = {}
         self.made = 0
+        # cells in one projection, so that no leaf works them out again
+        self.cells = {var: self.bind(known(name)) for var, name in names.items()}
+        self.flush()
 
     def x(self, var: int) -> Column:
-        return known(self.names[var])
+        return self.cells[var]
 
     def const(self, v: float) -> Column:
         return F.lit(float(v))
@@ -40,6 +43,11 @@ class Columns:
 
     def table(self, x: Column, values: list[float], other: float) -> Column:
         """values[x] for whole x in range, else other."""
+        if len(values) <= 16:
+            out = F.when(x == 0.0, float(values[0]))
+            for k, v in enumerate(values[1:], 1):
+                out = out.when(x == float(k), float(v))
+            return out.otherwise(float(other))
         cases = F.element_at(F.array(*[F.lit(float(v)) for v in values]), (x + 1).cast("int"))
         return F.when((x >= 0) & (x < len(values)) & (x == F.floor(x)), cases).otherwise(float(other))
 
