@@ -23,7 +23,7 @@ from ..functions.stats import balanced, classification_report, mean_quantiles_by
 from ..functions.transforms import squeeze_order
 from ..plans import tape as t
 from ..plans.tape import Var
-from ..sources.tables import stored
+from ..sources.tables import shared_folder, stored
 
 LOG2PI = math.log(2 * math.pi)
 
@@ -1102,7 +1102,8 @@ def _training_table(df: DataFrame, model: Model, cols: Sequence[str], label: str
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism, n // 100_000)
     own = own.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(max(1, round(n / group)))))
     laid = own.repartition(parts, "__group").sortWithinPartitions("__group", "__row")
-    return laid.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else laid.cache()
+    # a checkpoint keeps the partitions as they are laid out; a table's files would be split anew
+    return laid.cache() if shared_folder(df.sparkSession) is None else laid.checkpoint()
 
 
 def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str | None, with_gradients: bool = True, step: int = 0, block: int = 512) -> tuple[float, int, dict[str, np.ndarray]]:
