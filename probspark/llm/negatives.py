@@ -146,7 +146,8 @@ class _Rings:
 def _positive_rings(anchors: DataFrame, stats: DataFrame, space: Voronoi, config: Config) -> DataFrame:
     """label, grp, cell, low, high: where the anchors' positives can be."""
     known = ["cell", "n", "least", "most"]
-    cells = stats.groupBy("label").agg(F.collect_list(F.struct(*known)).alias("k")).select("label", *[F.col(f"k.{c}").alias(f"all_{c}") for c in known])
+    # written, so that the join deals the anchors of a very common label anew
+    cells = write_table(stats.groupBy("label").agg(F.collect_list(F.struct(*known)).alias("k")).select("label", *[F.col(f"k.{c}").alias(f"all_{c}") for c in known]), "negatives-labels")
     kind = anchors.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
