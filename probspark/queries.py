@@ -47,6 +47,10 @@ def _r(expr: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0"
 
 
+def _union(selects) -> str:
+    return " UNION ALL ".join(selects)
+
+
 # --- fixed circuits, shared by Spark and SQL -----------------------------------------------------------------------
 
 MIX_W = [0.5, 0.3, 0.2]
@@ -137,10 +141,25 @@ def likelihood_spn(spark, d):
     return _round(inference.likelihood(e4(spark, d), binary_circuit(), NAMES4).select("event_id", "likelihood"), 11)
 
 
-@query("SELECT 1.0::DOUBLE AS total, 16::BIGINT AS states")
+def _class_circuit(spark, d) -> Sum:
+    """A sum over the values of x3 in the events, with the other variables independent below: one aggregate."""
+    rows = e4(spark, d).groupBy("x3").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{v}").alias(f"s{v}") for v in range(3)]).orderBy("x3").collect()
+    total = sum(r["n"] for r in rows)
+    return number(Sum([r["n"] / total for r in rows], [Product([*[Bernoulli(v, (r[f"s{v}"] + 0.1) / (r["n"] + 0.2)) for v in range(3)], Bernoulli(3, float(r["x3"]))]) for r in rows]))
+
+
+def _normalisation_sql() -> str:
+    est = ", ".join(f"(sum(x{v}) + 0.1) / (count(*) + 0.2) AS p{v}" for v in range(3))
+    bits = ", ".join(f"(a.range >> {v}) & 1 AS y{v}" for v in range(4))
+    one = " * ".join(f"CASE WHEN y{v} = 1 THEN p{v} ELSE 1 - p{v} END" for v in range(3))
+    return f"WITH f AS (SELECT x3, count(*) AS n, {est} FROM ({E4_SQL}) GROUP BY x3), w AS (SELECT *, n / sum(n) OVER () AS w FROM f), a AS (SELECT {bits} FROM range(16) a) SELECT round(sum(CASE WHEN y3 = x3 THEN w * {one} ELSE 0 END), 6) AS total, count(DISTINCT (y0, y1, y2, y3)) AS states, round(sum(CASE WHEN y3 = x3 AND y0 = 1 THEN w * {one} ELSE 0 END), 6) AS first FROM a, w"
+
+
+@query(_normalisation_sql())
 def normalisation_check(spark, d):
-    scored = inference.likelihood(every_assignment(spark, 4, E4), binary_circuit(), NAMES4)
-    return _round(scored.agg(F.sum("likelihood").alias("total"), F.count(F.lit(1)).alias("states")))
+    """A circuit of the events' counts over all assignments: its total, and the share where the first variable is 1."""
+    scored = inference.likelihood(every_assignment(spark, 4, E4), _class_circuit(spark, d), NAMES4)
+    return _round(scored.agg(F.sum("likelihood").alias("total"), F.count(F.lit(1)).alias("states"), F.sum(F.when(F.col("x0") == 1, F.col("likelihood")).otherwise(0.0)).alias("first")))
 
 
 def _argmax_sql(terms: list[str]) -> str:
@@ -206,16 +225,33 @@ def gradients_spn(spark, d):
     return _round(got.select("event_id", "ll_0", "grad_1", "grad_2", "grad_3", "grad_4"))
 
 
-def _mixture_moments():
-    return inference.summary_moments(number(Sum([0.8, 0.2], [Product([Gaussian(0, 0, 1), Gaussian(1, 0, 1)]), Product([Gaussian(0, 2, 1), Gaussian(1, 2, 0.5)])])))
+def fitted_circuit(spark, d) -> Sum:
+    """A sum over the return flags of lineitem in their order; below, Gaussian quantity and discount and the share of status
+    F, all estimated by one aggregate."""
+    value = {0: "l_quantity", 1: "l_discount"}
+    sums = [f(c).alias(f"{n}{v}") for v, c in value.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    rows = load(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *sums, F.avg((F.col("l_linestatus") == "F").cast("double")).alias("p")).orderBy("l_returnflag").collect()
+    total = sum(r["n"] for r in rows)
+    return number(Sum([r["n"] / total for r in rows], [Product([*[Gaussian(v, r[f"m{v}"], r[f"s{v}"]) for v in value], Bernoulli(2, r["p"])]) for r in rows]))
 
 
-@query(
-    "WITH c(w, m, s) AS (VALUES (0.8::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (0.2::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE)), r AS (SELECT sum(w * m) AS a, sum(w * (m*m + s*s)) AS b, sum(w * (m*m*m + 3*m*s*s)) AS c, sum(w * (m**4 + 6*m*m*s*s + 3*s**4)) AS d FROM c) SELECT 0 AS var, round(a, 6) AS mean, round(b - a*a, 6) AS variance, round((c - 3*a*b + 2*a**3) / (b - a*a)**1.5, 6) AS skewness, round((d - 4*a*c + 6*a*a*b - 3*a**4) / (b - a*a)**2 - 3, 6) AS kurtosis FROM r"
+FITTED = (
+    "f AS (SELECT l_returnflag AS flag, count(*) AS n, avg(l_quantity) AS m0, stddev_pop(l_quantity) AS s0, avg(l_discount) AS m1, stddev_pop(l_discount) AS s1, "
+    "avg(CAST(l_linestatus = 'F' AS DOUBLE)) AS p FROM lineitem GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY flag) - 1 AS k, n / sum(n) OVER () AS w, count(*) OVER () AS classes FROM f)"
 )
+
+
+def _moments_sql() -> str:
+    raw = {v: [f"m{v}", f"m{v} ** 2 + s{v} ** 2", f"m{v} ** 3 + 3 * m{v} * s{v} ** 2", f"m{v} ** 4 + 6 * m{v} ** 2 * s{v} ** 2 + 3 * s{v} ** 4"] for v in (0, 1)} | {2: ["p"] * 4}
+    rows = _union(f"SELECT {v} AS var, " + ", ".join(f"sum(w * ({e})) AS {c}" for c, e in zip("abcd", raw[v], strict=True)) + " FROM k" for v in raw)
+    return f"WITH {FITTED}, r AS ({rows}) SELECT var, round(a, 6) AS mean, round(b - a*a, 6) AS variance, round((c - 3*a*b + 2*a**3) / (b - a*a)**1.5, 4) + 0.0 AS skewness, round((d - 4*a*c + 6*a*a*b - 3*a**4) / (b - a*a)**2 - 3, 4) + 0.0 AS kurtosis FROM r"
+
+
+@query(_moments_sql())
 def moments_spn(spark, d):
-    m = _mixture_moments()[0]
-    return _round(spark.createDataFrame([(0, m["mean"], m["variance"], m["skewness"], m["kurtosis"])], "var int, mean double, variance double, skewness double, kurtosis double"))
+    found = inference.summary_moments(fitted_circuit(spark, d))
+    rows = [(v, round(m["mean"], 6), round(m["variance"], 6), round(m["skewness"], 4), round(m["kurtosis"], 4)) for v, m in found.items()]
+    return spark.createDataFrame(rows, "var int, mean double, variance double, skewness double, kurtosis double").withColumns({c: F.col(c) + 0.0 for c in ("skewness", "kurtosis")})
 
 
 @query("WITH m AS (SELECT avg(l_quantity) AS mu, stddev_pop(l_quantity) AS s FROM lineitem) SELECT round(avg(((l_quantity - mu) / s) ** 3), 4) + 0.0 AS skewness, round(avg(((l_quantity - mu) / s) ** 4) - 3, 4) + 0.0 AS kurtosis FROM lineitem, m")
@@ -226,10 +262,6 @@ def skew_kurt_data(spark, d):
 # --- statistics ----------------------------------------------------------------------------------------------------
 
 
-def _union(selects) -> str:
-    return " UNION ALL ".join(selects)
-
-
 PAIRS = [(i, j) for i in range(6) for j in range(6) if i != j]
 COUNTS = "WITH b AS (" + B6_SQL + "), c AS (SELECT count(*) AS n, " + ", ".join(f"sum(x{i} * x{j}) AS c{i}_{j}" for i in range(6) for j in range(i, 6)) + " FROM b)"
 _c = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
@@ -760,24 +792,25 @@ def json_round_trip(spark, d):
     return _round(inference.log_likelihood(_masked(spark, d), from_dict(to_dict(binary_circuit())), NAMES4).select("event_id", "ll"))
 
 
-@query("SELECT * FROM (VALUES ('depth', 2), ('n_edges', 15), ('n_leaves', 12), ('n_nodes', 16), ('n_params', 15), ('n_prod', 3), ('n_sum', 1)) t(name, value)")
+@query(f"WITH {FITTED}, c AS (SELECT max(classes) AS c FROM k) " + _union(f"SELECT '{name}' AS name, CAST({e} AS INTEGER) AS value FROM c" for name, e in (("depth", "2"), ("n_edges", "4 * c"), ("n_leaves", "3 * c"), ("n_nodes", "1 + 4 * c"), ("n_params", "6 * c"), ("n_prod", "c"), ("n_sum", "1"))))
 def circuit_statistics(spark, d):
-    return spark.createDataFrame(sorted(statistics(binary_circuit()).items()), "name string, value int")
+    return spark.createDataFrame(sorted(statistics(fitted_circuit(spark, d)).items()), "name string, value int")
 
 
-@query("SELECT 0 AS parent, i + 1 AS child, i AS idx FROM range(3) t(i) UNION ALL SELECT p + 1, 4 + p * 4 + i, i FROM range(3) a(p), range(4) b(i)")
+@query(f"WITH {FITTED} SELECT 0::BIGINT AS parent, k + 1 AS child, k AS idx, round(w, 8) AS weight FROM k UNION ALL SELECT k + 1, 1 + classes + 3 * k + i, i, NULL FROM k, range(3) b(i)")
 def circuit_edges(spark, d):
-    return edge_table(spark, binary_circuit()).select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"), F.col("idx").cast("long").alias("idx"))
+    made = edge_table(spark, fitted_circuit(spark, d))
+    return made.select(*[F.col(c).cast("long").alias(c) for c in ("parent", "child", "idx")], F.round("weight", 8).alias("weight"))
 
 
-@query("SELECT 0::BIGINT AS id, 0::BIGINT AS layer UNION ALL SELECT i, 1 FROM range(1, 4) t(i) UNION ALL SELECT i, 2 FROM range(4, 16) t(i)")
+@query(f"WITH {FITTED} SELECT 0::BIGINT AS id, 0::BIGINT AS layer UNION ALL SELECT k + 1, 1 FROM k UNION ALL SELECT 1 + classes + 3 * k + i, 2 FROM k, range(3) b(i)")
 def topological_layers(spark, d):
-    return spark.createDataFrame([(n.id, k) for k, layer in enumerate(layers(binary_circuit())) for n in layer], "id long, layer long")
+    return spark.createDataFrame([(n.id, k) for k, layer in enumerate(layers(fitted_circuit(spark, d))) for n in layer], "id long, layer long")
 
 
-@query("SELECT * FROM (VALUES ('Bernoulli', 12), ('Product', 3), ('Sum', 1)) t(class, n)")
+@query(f"WITH {FITTED}, c AS (SELECT max(classes) AS c FROM k) " + _union(f"SELECT '{name}' AS class, CAST({e} AS INTEGER) AS n FROM c" for name, e in (("Bernoulli", "c"), ("Gaussian", "2 * c"), ("Product", "c"), ("Sum", "1"))))
 def nodes_by_type(spark, d):
-    return node_table(spark, binary_circuit()).groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return node_table(spark, fitted_circuit(spark, d)).groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def _bayes_sql() -> str:
@@ -1102,14 +1135,37 @@ def ratspn_tiny_fixed(spark, d):
     return _round(tensors.score(_vectors(spark, d, 2).drop("label"), model, ["e0", "e1"]).select("vec_id", "ll"))
 
 
-@query("WITH g AS (SELECT r.range AS cell, -4.0 + (r.range % 64) * (8.0 / 63) AS x, -4.0 + (r.range // 64) * (8.0 / 63) AS y FROM range(4096) r), w AS (SELECT *, exp(-0.5 * ((y - sin(x * pi() / 2)) / 0.4) ** 2) AS p FROM g) SELECT cell, round(p / sum(p) OVER (), 8) + 0.0 AS p FROM w")
+_GRID = "g AS (SELECT r.range AS cell, -4.0 + (r.range % 64) * (8.0 / 63) AS x, -4.0 + (r.range // 64) * (8.0 / 63) AS y FROM range(4096) r)"
+_W1 = "sin(x * pi() / 2)"
+_ENERGIES = {
+    "moons": "exp(-(0.5 * ((sqrt(x * x + y * y) - 2) / 0.4) ** 2 - ln(exp(-0.5 * ((x - 2) / 0.6) ** 2) + exp(-0.5 * ((x + 2) / 0.6) ** 2))))",
+    "waves": f"exp(-0.5 * ((y - {_W1}) / 0.4) ** 2)",
+    "split": f"exp(-0.5 * ((y - {_W1}) / 0.35) ** 2) + exp(-0.5 * ((y - {_W1} + 3 * exp(-0.5 * ((x - 1) / 0.6) ** 2)) / 0.35) ** 2)",
+    "nails": f"exp(-0.5 * ((y - {_W1}) / 0.4) ** 2) + exp(-0.5 * ((y - {_W1} + 3 / (1 + exp(-(x - 1) / 0.3))) / 0.35) ** 2)",
+}
+
+
+@query(
+    f"WITH {_GRID}, z AS (SELECT {', '.join(f'sum({e}) AS z_{n}' for n, e in _ENERGIES.items())} FROM g), c AS (SELECT vec_id, unnest(range(32)) AS k, embedding FROM embeddings), "
+    f"p AS (SELECT vec_id, 8 * embedding[2 * k + 1]::DOUBLE AS x, 8 * embedding[2 * k + 2]::DOUBLE AS y FROM c) SELECT vec_id, "
+    + ", ".join(f"{_r(f'1000 * avg(({e}) / z_{n})')} AS {n}" for n, e in _ENERGIES.items())
+    + " FROM p, z GROUP BY vec_id"
+)
 def energy_waves(spark, d):
-    return _round(energy.density_grid(spark, "waves").select("cell", "p"), 8)
+    """Mean of the four energy densities over the points that neighbouring cells of each vector make."""
+    cell = lambda k: 8 * F.element_at("embedding", k).cast("double")
+    points = load(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k")).select("vec_id", cell(2 * F.col("k") + 1).alias("x"), cell(2 * F.col("k") + 2).alias("y"))
+    return _round(points.groupBy("vec_id").agg(*[(1000 * F.avg(energy.density_at(spark, n, F.col("x"), F.col("y")))).alias(n) for n in energy.DENSITIES]))
 
 
-@query()
+@query(
+    f"WITH {_GRID}, p AS (SELECT *, {_ENERGIES['moons']} AS e FROM g), q AS (SELECT *, e / (SELECT sum(e) FROM p) AS p FROM p), h AS (SELECT *, sum(p) OVER (ORDER BY cell) AS high FROM q), "
+    f"u AS (SELECT event_id, {uniform_sql(42, 'event_id', chr(39) + 'cell' + chr(39))} AS u, sqrt(-2 * ln(1 - {uniform_sql(42, 'event_id', chr(39) + 'r' + chr(39))})) * 0.05 AS r, 2 * pi() * {uniform_sql(42, 'event_id', chr(39) + 'a' + chr(39))} AS a FROM events) "
+    f"SELECT event_id, {_r('x + r * cos(a)')} AS x, {_r('y + r * sin(a)')} AS y FROM u JOIN h ON u.u >= h.high - h.p AND u.u < h.high"
+)
 def energy_samples(spark, d):
-    return _round(energy.samples(spark, "moons", 2000))
+    """One sample of the first density for every event."""
+    return _round(energy.samples_for(load(spark, d, "events"), "event_id", "moons"))
 
 
 CELLS = [f"e{i}" for i in range(64)]

@@ -56,15 +56,28 @@ def density_grid(spark: SparkSession, name: str, steps: int = 64) -> DataFrame:
     return g.withColumn("p", F.col("p") / F.lit(total))
 
 
-def samples(spark: SparkSession, name: str, n: int, steps: int = 64, noise: float = 0.05, seed: int = 42) -> DataFrame:
-    """id, x, y: cells by inverse distribution over the bounded grid, with Gaussian noise."""
+def density_at(spark: SparkSession, name: str, x: Column, y: Column, steps: int = 64) -> Column:
+    """The grid's density at a point of one's own table."""
+    total = grid(spark, steps).agg(F.sum(DENSITIES[name](F.col("x"), F.col("y")))).first()[0]
+    return DENSITIES[name](x, y) / F.lit(total)
+
+
+def samples(spark: SparkSession, name: str, n: int, **options) -> DataFrame:
+    """id, x, y of n samples."""
+    return samples_for(spark.range(n), "id", name, **options).select("id", "x", "y")
+
+
+def samples_for(df: DataFrame, key: str, name: str, steps: int = 64, noise: float = 0.05, seed: int = 42) -> DataFrame:
+    """key, x, y: one sample for each row, by its key: cells by inverse distribution over the bounded grid, with Gaussian
+    noise."""
+    spark = df.sparkSession
     cum = density_grid(spark, name, steps).withColumn("high", F.sum("p").over(Window.orderBy("cell"))).withColumn("low", F.col("high") - F.col("p"))
-    rows = spark.range(n).withColumn("u", uniform(seed, "id", F.lit("cell")))
+    rows = df.select(key).withColumn("u", uniform(seed, key, F.lit("cell")))
     # cells meet rows in equal buckets of the unit interval
     slots = steps * steps
     slot = lambda c: F.floor(c * slots)
     cells = cum.withColumn("slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
     hit = rows.withColumn("slot", slot(F.col("u"))).join(F.broadcast(cells), "slot").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    r = F.sqrt(-2 * F.ln(1 - uniform(seed, "id", F.lit("r")))) * noise
-    a = 2 * math.pi * uniform(seed, "id", F.lit("a"))
-    return hit.select("id", (F.col("x") + r * F.cos(a)).alias("x"), (F.col("y") + r * F.sin(a)).alias("y"))
+    r = F.sqrt(-2 * F.ln(1 - uniform(seed, key, F.lit("r")))) * noise
+    a = 2 * math.pi * uniform(seed, key, F.lit("a"))
+    return hit.select(key, (F.col("x") + r * F.cos(a)).alias("x"), (F.col("y") + r * F.sin(a)).alias("y"))
