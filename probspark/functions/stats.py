@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: Machine epsilon of 32-bit floats, added to every cell of a G-test table.
 EPS32 = float(np.finfo(np.float32).eps)
 
@@ -212,9 +214,9 @@ def ranked(df: DataFrame, col: str, out: str, heavy: float = 1 / 256, salts: int
     Values that hold `heavy` of the rows or more, at most 1 / heavy of them, are looked up in a broadcast map. The others are
     joined with their ranks; there, the rows of heavy values and missing cells go under keys of their own, dealt by the row's
     hash, so no key of the join holds more than `heavy` of the rows."""
-    counts = value_counts(df, col)
+    counts = stored(value_counts(df, col), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    ranks = cumulative(counts).select("value", "n", (F.col("upto") / F.lit(max(1, total))).alias("p"))
+    ranks = stored(cumulative(counts).select("value", "n", (F.col("upto") / F.lit(max(1, total))).alias("p")), "ranks")
     common = {r["value"]: r["p"] for r in ranks.where(F.col("n") >= F.lit(heavy * total)).collect()}
     x = known(col)
     common_map = F.create_map(*[F.lit(y) for pair in common.items() for y in pair]).cast("map<double,double>") if common else F.create_map().cast("map<double,double>")
