@@ -8,6 +8,11 @@ a few pairs for each member, not for each pair of members. Then, among texts tha
 `bucket` texts is paired as a whole; a more frequent one is dealt again by every other band and paired there, and where
 two bands are crowded together, all meet the smallest one. Every candidate is verified on the whole sets of both texts,
 as 32-bit hashes of their shingles (two sets of n other shingles agree by chance in about n * n / 2**32).
+
+Null and empty texts, and those without a word, have fingerprint zero and no bands: they are one group. A text shorter than a
+shingle is one shingle. Repeated rows are copies like any others. Of a group the row of the smallest doc_id stays, null ids
+last, then that of the smallest text hash; of rows that agree in id and text but differ elsewhere any one. Extra columns are
+kept, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations

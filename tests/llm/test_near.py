@@ -5,6 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from probspark.llm import near, simhash
 
 
@@ -45,3 +47,20 @@ def test_against_all_pairs(spark, bucket):
     assert {r["doc_id"] for r in near.keep_one(df, near.Config(bucket=bucket)).collect()} == want
     if bucket == 16:
         assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, ties, clashing names, an empty table."""
+    words = " ".join(f"w{i}" for i in range(3000))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, None), (3, ""), (9, " \n"), (None, None), (7, words), (2, words), (2, words), (None, words), (11, other), (12, other + " more"), (13, "one two"), (14, "one  two"), (15, "three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("bands", "digest", "root", "fp", "value", "size", "row", "key", "a", "b", "n", "first"):
+        df = df.withColumn(name, F.lit("x"))
+    got = near.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(r["doc_id"] for r in got.collect())
+    assert kept == [2, 3, 11, 13, 15]
+    assert near.keep_one(df.limit(0)).count() == 0
+    lone = near.keep_one(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in lone] == [(None, None)]
