@@ -4,9 +4,10 @@ Two distinct texts are linked if their fingerprints are linked (`simhash.links`)
 sets of `width`-word shingles is at least `least`. Candidates for the second kind share a band: `bands` hashes of `rows`
 minima each over the shingle hashes; a pair at 0.8 shares one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Candidates
 come in two rounds. First every text meets the smallest text of each of its band values, so a group of many copies costs
-a few pairs for each member, not for each pair of members. Then, among texts that are still apart, a band value of up to
-`bucket` texts is paired as a whole; a more frequent one is dealt again by every other band and paired there, and where
-two bands are crowded together, all meet the smallest one. Every candidate is verified on the whole sets of both texts,
+a few pairs for each member, not for each pair of members. Then all pairs of texts that are still apart and share a band
+value are looked at: those of a value of up to `bucket` texts one by one, those of a more frequent value block by block, in
+the first band that the two share. A block holds up to `block` texts and about `held` shingles, so a value of n texts sends
+each of them to n / `block` tasks; nothing of it is left out. Every candidate is verified on the whole sets of both texts,
 as 32-bit hashes of their shingles (two sets of n other shingles agree by chance in about n * n / 2**32).
 
 Null and empty texts, and those without a word, have fingerprint zero and no bands: they are one group. A text shorter than a
@@ -37,6 +38,8 @@ class Config:
     bands: int = 16
     rows: int = 4
     bucket: int = 16
+    block: int = 1024
+    held: int = 4_000_000
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -98,32 +101,20 @@ def stars(texts: DataFrame, config: Config) -> DataFrame:
     return met.select("a", F.col("digest").alias("b")).distinct()
 
 
-def candidates(texts: DataFrame, config: Config) -> DataFrame:
-    """texts (digest, root, size, bands): distinct. Pairs (a, b) that share a band, differ in root and can be similar by size."""
-    cols = ["digest", "root", "size"]
+def candidates(texts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """texts (digest, root, size, bands): distinct. Of those that share a band value with a text of another root: pairs (a, b)
+    of a value of few texts that can be similar by size, and the members of all other values with their number of blocks."""
     dealt = _dealt(texts)
-    count = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "value", "n")
+    count = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most")).where("low < high").select("band", "value", "n", "most")
     count = write_table(count, "near-count")
     met = dealt.join(count, ["band", "value"])
-    few = write_table(met.where(F.col("n") <= config.bucket).select(F.xxhash64("band", "value").alias("key"), *cols), "near-few")
-    # a text meets others at each pair of bands of which one is crowded, once, however many of its bands are
-    crowded = met.where(F.col("n") > config.bucket).groupBy(*cols, "bands").agg(F.collect_set("band").alias("full"))
-    two = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(config.bands) for j in range(i + 1, config.bands)])
-    pair = F.explode(F.filter(two, lambda p: F.array_contains("full", p.i) | F.array_contains("full", p.j))).alias("p")
-    at = lambda c: F.element_at("bands", F.col(c) + 1)
-    many = crowded.select(*cols, "bands", pair).select(F.xxhash64("p.i", at("p.i"), "p.j", at("p.j")).alias("key"), *cols)
-    again = write_table(many, "near-many")
-    sizes = again.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "root", "size")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    deep = again.join(sizes.select("key", "n", "first"), "key")
-    stars = deep.where(F.col("n") > config.bucket).select(F.col("first.digest").alias("a"), F.col("first.root").alias("ra"), F.col("first.size").alias("sa"), F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-
-    def pairs(t: DataFrame) -> DataFrame:
-        a = t.select("key", F.col("digest").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-        b = t.select("key", F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-        return a.join(b, "key").where("a < b").drop("key")
-
-    out = pairs(few).unionByName(pairs(deep.where(F.col("n") <= config.bucket).select("key", *cols))).unionByName(stars)
-    return out.where((F.col("ra") != F.col("rb")) & _fits("sa", "sb", config)).select("a", "b").distinct()
+    few = write_table(met.where(F.col("n") <= config.bucket).select(F.xxhash64("band", "value").alias("key"), "digest", "root", "size"), "near-few")
+    fill = F.greatest(F.lit(2), F.least(F.lit(config.block), F.floor(config.held / F.col("most"))))
+    crowd = met.where(F.col("n") > config.bucket).select("band", "value", "digest", "root", "bands", F.ceil(F.col("n") / fill).cast("int").alias("blocks"))
+    a = few.select("key", F.col("digest").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
+    b = few.select("key", F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("sa", "sb", config))
+    return pairs.select("a", "b").distinct(), write_table(crowd, "near-crowd")
 
 
 def _sieve(docs: DataFrame, asked: DataFrame, bits: int = 24) -> DataFrame:
@@ -137,13 +128,23 @@ def _sieve(docs: DataFrame, asked: DataFrame, bits: int = 24) -> DataFrame:
     return placed.join(F.broadcast(map_), "word").where(F.col("mask").bitwiseAND(bit) != 0).select(*docs.columns)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
-    """Of the pairs (a, b), those of similar texts, by whole shingle sets."""
+def shingle_sets(docs: DataFrame, asked: DataFrame, config: Config) -> DataFrame:
+    """digest, own (the whole set, as sorted 32-bit hashes) of every text asked for. Written."""
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"digest": p["digest"], "own": [np.unique(shingles(t, config.width).astype(np.uint32)).tobytes() for t in p["text"]]})
 
+    asked = write_table(asked.distinct(), "near-asked")
+    own = _sieve(docs.select(F.xxhash64("text").alias("digest"), "text"), asked)
+    # copies are dropped per task first, so a text of very many copies moves once from each
+    named = own.dropDuplicates(["digest"]).join(asked.hint("merge"), "digest")
+    return write_table(named.mapInPandas(sets, "digest long, own binary"), "near-sets")
+
+
+def verified(made: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
+    """Of the pairs (a, b), those of similar texts, by whole shingle sets."""
+
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keep = []
@@ -153,21 +154,71 @@ def verified(docs: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
                 keep.append(both >= config.least * (len(x) + len(y) - both))
             yield p.loc[keep, ["a", "b"]]
 
-    asked = write_table(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "near-asked")
-    own = _sieve(docs.select(F.xxhash64("text").alias("digest"), "text"), asked)
-    # copies are dropped per task first, so a text of very many copies moves once from each
-    named = own.dropDuplicates(["digest"]).join(asked.hint("merge"), "digest")
-    made = write_table(named.mapInPandas(sets, "digest long, own binary"), "near-sets")
     x, y = made.select(F.col("digest").alias("a"), F.col("own").alias("x")), made.select(F.col("digest").alias("b"), F.col("own").alias("y"))
     # merge joins at every size: the sets are the larger side, and the plan stays the same
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def _joined(docs: DataFrame, texts: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
-    """texts with new roots: components over the roots of verified pairs. Written."""
-    similar = verified(docs, write_table(pairs, "near-pairs"), config)
+def shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Size of the intersection of each set of x with each of y: products of membership matrices, `width` values at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    value, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
+    # only values on both sides count
+    left = row < len(x)
+    met = (np.bincount(at[left], minlength=len(value)) > 0) & (np.bincount(at[~left], minlength=len(value)) > 0)
+    row, at = row[met[at]], (np.cumsum(met) - 1)[at[met[at]]]
+    by = np.argsort(at, kind="stable")
+    row, at = row[by], at[by]
+    for k in range(0, int(met.sum()), width):
+        lo, hi = np.searchsorted(at, (k, k + width))
+        m = np.zeros((len(x) + len(y), width), np.float32)
+        m[row[lo:hi], at[lo:hi] - k] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def crowd_links(made: DataFrame, crowd: DataFrame, config: Config) -> DataFrame:
+    """Pairs (a, b) of roots that similar texts of a crowded band value link: all pairs of its members, block by block. A pair
+    that shares an earlier band as well is looked at there."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        band, one = int(p["band"].iloc[0]), p["own_block"] == p["p"]
+        x, y = p[one], p if p["p"].iloc[0] == p["q"].iloc[0] else p[~one]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        rx, ry = x["root"].to_numpy(), y["root"].to_numpy()
+        look = rx[:, None] != ry[None, :]
+        bx, by = np.stack(x["bands"]), np.stack(y["bands"])
+        for k in range(band):
+            look &= bx[:, k, None] != by[None, :, k]
+        # members without a pair to look at need no sets
+        x, y, rx, ry, look = x[look.any(1)], y[look.any(0)], rx[look.any(1)], ry[look.any(0)], look[look.any(1)][:, look.any(0)]
+        if not len(x):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sx, sy = ([np.frombuffer(s, np.uint32) for s in side["own"]] for side in (x, y))
+        both = shared(sx, sy).astype(float)
+        nx, ny = (np.array([len(s) for s in side]) for side in (sx, sy))
+        i, j = np.nonzero(look & (both >= config.least * (nx[:, None] + ny[None, :] - both)))
+        found = np.stack((np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])), 1)
+        return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"])
+
+    named = crowd.join(made.hint("merge"), "digest").withColumn("own_block", F.expr("int(pmod(digest, blocks))"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = named.select("band", "value", "root", "bands", "own", "own_block", other)
+    placed = placed.select("*", F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q")).drop("other")
+    return placed.groupBy("band", "value", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def _joined(docs: DataFrame, texts: DataFrame, pairs: DataFrame, crowd: DataFrame | None, config: Config) -> DataFrame:
+    """texts with new roots: components over the roots of similar texts among the pairs and in the crowds. Written."""
+    pairs = write_table(pairs, "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest"))
+    made = shingle_sets(docs, asked if crowd is None else asked.union(crowd.select("digest")), config)
     a, b = (texts.select(F.col("digest").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    edges = similar.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    edges = verified(made, pairs, config).join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    if crowd is not None:
+        edges = edges.union(crowd_links(made, crowd, config))
     merged = components(edges.where("a != b")).withColumnRenamed("root", "over")
     new = texts.join(merged, texts.root == merged.node, "left").withColumn("root", F.coalesce("over", "root"))
     return write_table(new.select(*texts.columns), "near-texts")
@@ -179,7 +230,7 @@ def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
     found = components(simhash.links(own.select("fp").distinct()))
     named = own.join(found, own.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp"))
     texts = write_table(named.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("root", "size", "bands")]), "near-texts")
-    texts = _joined(docs, texts, stars(texts, config), config)
-    texts = _joined(docs, texts, candidates(texts, config), config)
+    texts = _joined(docs, texts, stars(texts, config), None, config)
+    texts = _joined(docs, texts, *candidates(texts, config), config)
     rows = own.select("doc_id", "digest").join(texts.select("digest", "root"), "digest")
     return simhash.rows_of(docs, simhash.elected(rows))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -64,3 +65,37 @@ def test_odd_rows(spark):
     assert near.keep_one(df.limit(0)).count() == 0
     lone = near.keep_one(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()
     assert [tuple(r) for r in lone] == [(None, None)]
+
+
+def test_crowded_bands_lose_no_link(spark):
+    """Every pair that shares a band and is similar is linked, however many texts share that band: among more texts than a
+    block holds, pairs that share the crowded band alone and pairs that the smallest text of two crowded bands is unlike."""
+    rng = random.Random(4)
+    config = near.Config(bucket=4, block=8)
+    common = [f"c{i}" for i in range(40)]
+    texts = []
+    for k in range(24):  # a common start, a pair's own middle, and a few words of one's own
+        own = [f"p{k}x{i}" for i in range(44)]
+        texts += [" ".join(common + own + [f"q{k}y{i}" for i in range(n)]) for n in (1, 8)]
+    rng.shuffle(texts)
+    sets = [near.shingles(t, 5) for t in texts]
+    jac = lambda i, j: (n := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - n)
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if jac(i, j) >= 0.8}
+    assert len(similar) == 24
+    # bands are given: all share band 0; the rest are all different, or all the same in band 1 too
+    for equal in (1, 2):
+        digests = {spark.createDataFrame([(t,)], "text string").select(F.xxhash64("text")).first()[0]: i for i, t in enumerate(texts)}
+        rows = [(d, d, len(sets[i]), [7] * equal + [1000 * i + k for k in range(equal, config.bands)]) for d, i in digests.items()]
+        table = spark.createDataFrame(rows, "digest long, root long, size long, bands array<long>")
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {}
+        for r in near._joined(docs, table, *near.candidates(table, config), config).collect():
+            got.setdefault(r["root"], set()).add(digests[r["digest"]])
+        assert {tuple(sorted(g)) for g in got.values()} == similar
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    x, y = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint32)) for _ in range(n)] for n in (7, 9))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert near.shared(x, y, 16).tolist() == want and near.shared(x, y).tolist() == want
