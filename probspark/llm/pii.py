@@ -2,15 +2,17 @@
 
 Base spans come from the patterns of four kinds (email, ip, card, phone), leftmost and non-overlapping per
 kind, with their numeric checks; a failing match is dropped and its text is not searched again for that kind.
-The model is trained in numpy on windows labelled with those spans (a bounded sample: `Config.windows` with
-and as many without a span; windows with what looks like a disguised one (`DOUBTFUL`) are neither) and on `Config.copies` copies of them whose spans are disguised (`disguised`: at and dot as words or
+The model is trained in numpy on windows labelled with those spans (a bounded sample: `Config.windows` with a span, as
+many that hold a trigger (`TRIGGER`: a digit, an `@`, a bracketed at or dot or the word dot, or what stands beside one) but
+no span, and `Config.plain` that hold none, one of a text; windows with what looks like a disguised span (`DOUBTFUL`)
+are no examples without one) and on `Config.copies` copies of them whose spans are disguised (`disguised`: at and dot as words or
 in brackets, other separators, a phone number's 00 or bare country code), so it learns what the patterns do not match.
-It reads whole texts through overlapping windows. A span of these kinds, plain or disguised, holds a digit, an `@`, a
-bracketed at or dot or the word dot, or stands beside one (`TRIGGER`); other windows are not run, and the tests show that
-running the network on all windows finds the same spans. Emission scores of overlapping windows are
-averaged by how central a character is in each, and one Viterbi pass runs over each connected stretch of
-windows, so that no span is cut at a window's edge. A decoded span is added if it overlaps no base span and
-its mean tag probability is at least `Config.sure`.
+It reads whole texts through overlapping windows, all of them: no rule chooses where it looks. Emission scores of overlapping windows are
+averaged by how central a character is in each, and one Viterbi path runs over each text, so that no span is cut at a
+window's edge. Where a character's score for being outside beats every other tag by more than transitions can make
+good, the best path is outside (`Tagger.margins`); only the runs between such characters are decoded, which gives the same
+path. Texts are read in pieces of `BLOCK` windows, so a long one is held in no more than its characters and open runs.
+A decoded span is added if it overlaps no base span and its mean tag probability is at least `Config.sure`.
 
 Offsets are code points, end exclusive. Null and empty texts have no span. Repeated rows give repeated
 results; extra columns are ignored (kept by `redact`). A corpus without any window to learn from gives base
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,8 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WINDOW, STRIDE = 96, 48
+#: Windows that the network reads at once.
+BLOCK = 512
 N_TAGS = 1 + 2 * len(KINDS)
 N_SYMBOLS = 131
 
@@ -47,6 +52,7 @@ N_SYMBOLS = 131
 @dataclass(frozen=True)
 class Config:
     windows: int = 1000
+    plain: int = 8000
     copies: int = 3
     hidden: int = 24
     steps: int = 480
@@ -175,11 +181,42 @@ class Tagger:
         first = np.flatnonzero(np.diff(symbol[by], prepend=-1))
         de[symbol[by][first]] += np.add.reduceat(flat[by], first, axis=0)
 
+    def _states(self, x: np.ndarray, e: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """What `_lstm` gives, for x (T, m) and as (T, m, h): gates lie apart, one tanh serves all, in place."""
+        t, m = x.shape
+        h = self.h
+        half = np.array([0.5] * (3 * h) + [1] * h, e.dtype)  # sigmoid(z) = (1 + tanh(z / 2)) / 2
+        e = np.ascontiguousarray((e * half).reshape(-1, 4, h).swapaxes(0, 1))
+        r = np.ascontiguousarray((r * half).reshape(h, 4, h).swapaxes(0, 1))
+        s, c, new = (np.zeros((m, h), e.dtype) for _ in range(3))
+        g, met = np.empty((4, m, h), e.dtype), np.empty((4, m, h), e.dtype)
+        out = np.empty((t, m, h), e.dtype)
+        for k in range(t):
+            np.take(e, x[k], 1, g, "clip")
+            g += np.matmul(s, r, out=met)
+            np.tanh(g, out=g)
+            gate = g[:3]
+            gate += 1
+            gate *= 0.5
+            c *= g[1]
+            c += np.multiply(g[0], g[3], out=new)
+            s = np.multiply(g[2], np.tanh(c, out=new), out=out[k])
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(m, T, tags) scores of symbol windows."""
-        p = self.p
-        both = np.concatenate((self._lstm(x, p["e0"], p["r0"]), self._lstm(x[:, ::-1], p["e1"], p["r1"])[:, ::-1]), 2)
-        return both @ p["o"] + p["b"]
+        p, h = self.p, self.h
+        x = np.ascontiguousarray(x.T).astype(np.intp)
+        e = self._states(x, p["e0"], p["r0"]) @ p["o"][:h]
+        e += (self._states(x[::-1], p["e1"], p["r1"]) @ p["o"][h:])[::-1]
+        return (e + p["b"]).transpose(1, 0, 2)
+
+    def margins(self) -> np.ndarray:
+        """For each tag but outside, the most that a path can gain by that tag at a character instead of outside: by the
+        transition into it and by that out of it (first two rows), and the same where the neighbour is outside (last two)."""
+        t = self.p["t"].astype(float)
+        gains = (t - t[:, :1]).max(0), (t - t[:1]).max(1), t[0] - t[0, 0], t[:, 0] - t[0, 0]
+        return np.stack((np.maximum(gains[0], 0), np.maximum(gains[1], 0), *gains[2:]))[:, 1:]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood per window and its gradients: CRF forward-backward, then back through time."""
@@ -310,7 +347,12 @@ def parse_spans(spans: str) -> list[tuple[int, int, int]]:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts, on the stride's grid, of the windows that hold a trigger."""
+    """Starts of all windows of a text, on the stride's grid."""
+    return list(range(0, max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE + 1, STRIDE)) if text else []
+
+
+def trigger_starts(text: str) -> list[int]:
+    """Of these, the starts of windows that hold a trigger: what the tagger learns from."""
     starts: set[int] = set()
     last = max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE
     for m in TRIGGER.finditer(text):
@@ -319,68 +361,115 @@ def window_starts(text: str) -> list[int]:
     return sorted(starts)
 
 
+def plain_start(text: str, taken: list[int]) -> int | None:
+    """Start of one window of a text that is not taken, by hash of the text; none where all are."""
+    n, used = len(window_starts(text)), set(taken)
+    first = zlib.crc32(text.encode("utf-8", "surrogatepass")) % n
+    return next((s for k in range(n) if (s := (first + k) % n * STRIDE) not in used), None)
+
+
 def sample_windows(docs: DataFrame, config: Config = Config()) -> list[tuple[str, str]]:
-    """At most `windows` windows with a span and as many without, by hash of the window; only windows leave the executors."""
+    """At most `windows` windows with a span, as many without one among those that hold a trigger and at most `plain`
+    among those that hold none (one of each text), by hash of the window; only windows leave the executors."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for text in p["text"]:
-                if not text or not TRIGGER.search(text):
+                if not text:
                     continue
-                spans, doubts = base_spans(text), doubtful(text)
-                for s in window_starts(text):
+                starts = trigger_starts(text)
+                spans, doubts = (base_spans(text), doubtful(text)) if starts else ([], [])
+                other = plain_start(text, starts)
+                if other is not None and not starts:
+                    at = max(0, other - WINDOW)
+                    doubts = [(at + a, at + b) for a, b in doubtful(text[at : other + 2 * WINDOW])]
+                for s in [*starts, *([] if other is None else [other])]:
                     piece = text[s : s + WINDOW]
                     # what looks like a disguised span is no example of its absence
                     if any(a < s + WINDOW and b > s and not any(x < b and y > a for x, _, y in spans) for a, b in doubts):
                         continue
                     inside = [(max(a, s) - s, k, min(b, s + WINDOW) - s) for a, k, b in spans if a < s + WINDOW and b > s]
-                    rows.append((piece, format_spans(inside), bool(inside)))
-            yield pd.DataFrame(rows, columns=["piece", "spans", "some"])
+                    rows.append((piece, format_spans(inside), 0 if inside else 1 if s != other else 2))
+            yield pd.DataFrame(rows, columns=["piece", "spans", "sort"])
 
     bounded_batches(docs.sparkSession)
-    found = docs.select("text").mapInPandas(run, "piece string, spans string, some boolean").withColumn("h", F.xxhash64("piece"))
-    top = lambda some: F.slice(F.sort_array(F.collect_set(F.when(F.col("some") == some, F.struct("h", "piece", "spans")))), 1, config.windows)
+    found = docs.select("text").mapInPandas(run, "piece string, spans string, sort int").withColumn("h", F.xxhash64("piece"))
+    most = (config.windows, config.windows, config.plain)
+    top = lambda k: F.slice(F.sort_array(F.collect_set(F.when(F.col("sort") == k, F.struct("h", "piece", "spans")))), 1, most[k])
     # hash cut first, so that what meets is bounded; the share is chosen from a count
-    counts = {r["some"]: r["n"] for r in found.groupBy("some").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = lambda some: int(2**63 * min(1.0, 3 * config.windows / max(1, counts.get(some, 0))))
-    cut = found.where(F.when(F.col("some"), F.abs(F.col("h") / 2) * 2 <= float(share(True))).otherwise(F.abs(F.col("h") / 2) * 2 <= float(share(False))))
-    row = cut.agg(top(True).alias("yes"), top(False).alias("no")).first()
-    return [(r["piece"], r["spans"]) for r in [*row["yes"], *row["no"]]]
+    counts = {r["sort"]: r["n"] for r in found.groupBy("sort").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda k: float(int(2**63 * min(1.0, 3 * most[k] / max(1, counts.get(k, 0)))))
+    cut = found.where(F.abs(F.col("h") / 2) * 2 <= F.when(F.col("sort") == 0, share(0)).when(F.col("sort") == 1, share(1)).otherwise(share(2)))
+    row = cut.agg(*[top(k).alias(f"s{k}") for k in range(3)]).first()
+    return [(r["piece"], r["spans"]) for k in range(3) for r in row[f"s{k}"]]
 
 
-def _viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
-    best, back = e[0].astype(float), np.empty(e.shape, np.int8)
+def _viterbi(e: np.ndarray, t: np.ndarray, start: np.ndarray | float = 0, end: np.ndarray | float = 0) -> np.ndarray:
+    best, back = e[0].astype(float) + start, np.empty(e.shape, np.int8)
     for k in range(1, len(e)):
         via = best[:, None] + t
         back[k] = via.argmax(0)
         best = via.max(0) + e[k]
     path = np.empty(len(e), np.int64)
-    path[-1] = best.argmax()
+    path[-1] = (best + end).argmax()
     for k in range(len(e) - 1, 0, -1):
         path[k - 1] = back[k, path[k]]
     return path
 
 
-def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], sure: float) -> list[list[tuple[int, int, int]]]:
-    """Spans that the model adds to the base spans of each text."""
-    jobs = [(i, s) for i, t in enumerate(texts) if t for s in (window_starts(t) if TRIGGER.search(t) else [])]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    scores: dict[tuple[int, int], np.ndarray] = {}
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-
-    def stretch(i: int, starts: list[int]) -> None:
-        a, text = starts[0], texts[i]
-        b = min(len(text), starts[-1] + WINDOW)
-        e, w = np.zeros((b - a, N_TAGS), np.float32), np.zeros((b - a, 1), np.float32)
-        for s in starts:
-            n = min(WINDOW, len(text) - s)
-            e[s - a : s - a + n] += scores.pop((i, s))[:n] * weight[:n]
-            w[s - a : s - a + n] += weight[:n]
-        e /= w
-        path = _viterbi(e, model.p["t"])
-        tagged = np.flatnonzero(path)
-        if not len(tagged):
+class _Decoder:
+    """Spans of one text from the scores of its windows, which come in order, some at a time."""
+
+    def __init__(self, model: Tagger, length: int, base: list[tuple[int, int, int]], sure: float):
+        self.t, self.margins, self.length, self.base, self.sure = model.p["t"], model.margins(), length, base, sure
+        self.tail: np.ndarray | None = None  # weighted second half of the last window
+        self.at, self.open = 0, np.empty((0, N_TAGS), np.float32)  # first character that is not decoded, scores from there on
+        self.out: list[tuple[int, int, int]] = []
+
+    def add(self, e: np.ndarray, last: bool) -> None:
+        """Scores (m, WINDOW, tags) of the next windows. Those of a character's two windows are averaged by its place in each."""
+        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+        e = e * weight
+        whole = e[:, :STRIDE].copy()
+        whole[1:] += e[:-1, STRIDE:]
+        total = weight[:STRIDE] + weight[STRIDE:]
+        if self.tail is None:
+            whole[1:] /= total
+            whole[0] /= weight[:STRIDE]
+        else:
+            whole[0] += self.tail
+            whole /= total
+        self.tail = e[-1, STRIDE:]
+        parts = [self.open, whole.reshape(-1, N_TAGS)]
+        self._decode(np.concatenate([*parts, self.tail / weight[STRIDE:]])[: self.length - self.at] if last else np.concatenate(parts), last)
+
+    def _decode(self, e: np.ndarray, last: bool) -> None:
+        certain, (into, on, into_0, on_0) = np.ones(len(e), bool), self.margins
+        for k, margin in enumerate(into + on + 1e-3):
+            certain &= e[:, 0] - e[:, k + 1] > margin
+        certain[0] |= self.at > 0  # what is open begins with a certain character or with the text
+        unsure = np.flatnonzero(~certain)
+        for _ in range(4):  # beside a certain character the gain is known
+            left, right = certain[np.maximum(unsure - 1, 0)], certain[np.minimum(unsure + 1, len(e) - 1)]
+            gain = np.where(left[:, None], into_0, into) + np.where(right[:, None], on_0, on)
+            certain[unsure] = (e[unsure, :1] - e[unsure, 1:] > gain + 1e-3).all(1)
+            unsure = unsure[~certain[unsure]]
+        runs = np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1) if len(unsure) else []
+        keep = len(e)
+        if not last:  # a run that goes on stays open, and so does the certain character before it
+            keep = int(runs[-1][0]) if runs and runs[-1][-1] == len(e) - 1 else len(e)
+            keep = max(0, keep - 1)
+        for run in runs:
+            if run[0] >= keep:
+                continue
+            a, b = int(run[0]), int(run[-1]) + 1
+            start = self.t[0] if a else 0
+            self._spans(self.at + a, e[a:b], _viterbi(e[a:b], self.t, start, self.t[:, 0] if b < len(e) else 0))
+        self.at, self.open = self.at + keep, e[keep:].copy()
+
+    def _spans(self, at: int, e: np.ndarray, path: np.ndarray) -> None:
+        if not path.any():
             return
         p = np.exp(e - e.max(1, keepdims=True))
         p = (p / p.sum(1, keepdims=True))[np.arange(len(path)), path]
@@ -388,23 +477,42 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int,
         cut = np.flatnonzero((np.diff(kind, prepend=0) != 0) | (path % 2 == 1))
         for k, s in enumerate(cut):
             end = int(cut[k + 1]) if k + 1 < len(cut) else len(path)
-            if kind[s] and p[s:end].mean() >= sure and not any(x < a + end and y > a + s for x, _, y in base[i]):
-                out[i].append((a + int(s), int(kind[s]) - 1, a + end))
-
-    open_: dict[int, list[int]] = {}
-    for k in range(0, len(jobs), 512):
-        part = jobs[k : k + 512]
-        x = np.full((len(part), WINDOW), N_SYMBOLS, np.int64)
-        for r, (i, s) in enumerate(part):
-            piece = texts[i][s : s + WINDOW]
-            x[r, : len(piece)] = symbols(piece)
-        scores.update(zip(part, model.emissions(x), strict=True))
-        for i, s in part:
-            for j in [j for j, ss in open_.items() if j != i or ss[-1] + WINDOW <= s]:
-                stretch(j, open_.pop(j))
-            open_.setdefault(i, []).append(s)
-    for j, ss in open_.items():
-        stretch(j, ss)
+            if kind[s] and p[s:end].mean() >= self.sure and not any(x < at + end and y > at + s for x, _, y in self.base):
+                self.out.append((at + int(s), int(kind[s]) - 1, at + end))
+
+
+def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], sure: float) -> list[list[tuple[int, int, int]]]:
+    """Spans that the model adds to the base spans of each text. All windows are read, in blocks that may hold those of several texts."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    queue: list[tuple[_Decoder, np.ndarray, bool]] = []
+
+    def read() -> None:
+        e = model.emissions(np.concatenate([x for _, x, _ in queue]))
+        at = 0
+        for decoder, x, last in queue:
+            decoder.add(e[at : at + len(x)], last)
+            at += len(x)
+        queue.clear()
+
+    room = BLOCK
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        n = len(window_starts(text))
+        x = np.full((n + 1) * STRIDE, N_SYMBOLS, np.uint8)
+        x[: len(text)] = symbols(text)
+        windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE]
+        decoder, k = _Decoder(model, len(text), base[i], sure), 0
+        out[i] = decoder.out
+        while k < n:
+            m = min(room, n - k)
+            queue.append((decoder, windows[k : k + m], k + m == n))
+            k, room = k + m, room - m
+            if not room:
+                read()
+                room = BLOCK
+    if queue:
+        read()
     return out
 
 
