@@ -12,6 +12,7 @@ averaged by how central a character is in each, and one Viterbi path runs over e
 window's edge. Where a character's score for being outside beats every other tag by more than transitions can make
 good, the best path is outside (`Tagger.margins`); only the runs between such characters are decoded, which gives the same
 path. Texts are read in pieces of `BLOCK` windows, so a long one is held in no more than its characters and open runs.
+Equal windows of a piece are read once, and those that begin (or, backwards, end) alike share the states up to where they part.
 A decoded span is added if it overlaps no base span and its mean tag probability is at least `Config.sure`.
 
 Offsets are code points, end exclusive. Null and empty texts have no span. Repeated rows give repeated
@@ -32,10 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-TRIGGER = re.compile(r"[0-9@]|[\[({<]\x20?(?:[aA][tT]|[dD][oO][tT])\x20?[\])}>]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])|\x20[aA][tT]\x20[A-Za-z-]+\.[A-Za-z]")
+#: Each begins with one set of characters, which the search skips to.
+TRIGGER = re.compile(
+    r"[0-9@\[({<dD\x20](?:(?<=[0-9@])|(?<=[\[({<])\x20?(?:[aA][tT]|[dD][oO][tT])\x20?[\])}>]"
+    r"|(?<=[dD])(?<![A-Za-z][dD])[oO][tT](?![A-Za-z])|(?<=\x20)[aA][tT]\x20[A-Za-z-]+\.[A-Za-z])"
+)
 PLAIN = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,8 +48,8 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WINDOW, STRIDE = 96, 48
-#: Windows that the network reads at once.
-BLOCK = 512
+#: Windows that are read together, and those of them that the network steps through at once.
+BLOCK, READ = 32768, 512
 N_TAGS = 1 + 2 * len(KINDS)
 N_SYMBOLS = 131
 
@@ -181,35 +186,64 @@ class Tagger:
         first = np.flatnonzero(np.diff(symbol[by], prepend=-1))
         de[symbol[by][first]] += np.add.reduceat(flat[by], first, axis=0)
 
-    def _states(self, x: np.ndarray, e: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """What `_lstm` gives, for x (T, m) and as (T, m, h): gates lie apart, one tanh serves all, in place."""
-        t, m = x.shape
+    def _add_scores(self, x: np.ndarray, e: np.ndarray, r: np.ndarray, o: np.ndarray, out: np.ndarray) -> None:
+        """Add to out (T, tags, m) what the states of `_lstm` for windows x (m, T) give to the scores. Windows that begin alike
+        share their states up to where they part; then `READ` of them go on at once. Gates lie apart, one tanh serves all."""
+        m, t = x.shape
         h = self.h
         half = np.array([0.5] * (3 * h) + [1] * h, e.dtype)  # sigmoid(z) = (1 + tanh(z / 2)) / 2
         e = np.ascontiguousarray((e * half).reshape(-1, 4, h).swapaxes(0, 1))
-        r = np.ascontiguousarray((r * half).reshape(h, 4, h).swapaxes(0, 1))
-        s, c, new = (np.zeros((m, h), e.dtype) for _ in range(3))
-        g, met = np.empty((4, m, h), e.dtype), np.empty((4, m, h), e.dtype)
-        out = np.empty((t, m, h), e.dtype)
-        for k in range(t):
-            np.take(e, x[k], 1, g, "clip")
-            g += np.matmul(s, r, out=met)
-            np.tanh(g, out=g)
-            gate = g[:3]
-            gate += 1
-            gate *= 0.5
-            c *= g[1]
-            c += np.multiply(g[0], g[3], out=new)
-            s = np.multiply(g[2], np.tanh(c, out=new), out=out[k])
-        return out
+        # states are kept twice as large: the output gate's half is in what they are multiplied by
+        r = np.ascontiguousarray((r * half / 2).reshape(h, 4, h).swapaxes(0, 1))
+        o = np.ascontiguousarray(o.T / 2)
+
+        def steps(symbols: np.ndarray, s: np.ndarray, c: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            """States after some symbols (steps, rows); c is changed in place."""
+            g, met, new = np.empty((4, *s.shape), e.dtype), np.empty((4, *s.shape), e.dtype), np.empty_like(c)
+            for k, symbol in enumerate(symbols):
+                e.take(symbol, 1, g, "clip")
+                g += np.matmul(s, r, out=met)
+                np.tanh(g, out=g)
+                g[:3] += 1
+                c *= g[1]
+                g[0] *= g[3]
+                c += g[0]
+                c *= 0.5
+                s = g[2] * np.tanh(c, out=new)
+                np.matmul(o, s.T, out=scores[k])
+            return s
+
+        s, c, at, k = np.zeros((1, h), e.dtype), np.zeros((1, h), e.dtype), np.zeros(m, np.intp), 0
+        while k < t:
+            key = at * (N_SYMBOLS + 1) + x[:, k]
+            met = np.zeros(len(s) * (N_SYMBOLS + 1), bool)
+            met[key] = True
+            used = np.flatnonzero(met)
+            if len(used) > 0.7 * m:
+                break
+            place = np.empty(len(met), np.int32)
+            place[used] = np.arange(len(used))
+            at = place[key].astype(np.intp)
+            before, symbol = np.divmod(used, N_SYMBOLS + 1)
+            c, scores = c[before], np.empty((1, N_TAGS, len(used)), e.dtype)
+            s = steps(symbol[None], s[before], c, scores)
+            out[k] += scores[0][:, at]
+            k += 1
+        if k < t:
+            for a in range(0, m, READ):
+                part = at[a : a + READ]
+                scores = np.empty((t - k, N_TAGS, len(part)), e.dtype)
+                steps(np.ascontiguousarray(x[a : a + READ, k:].T).astype(np.intp), s[part], c[part], scores)
+                out[k:, :, a : a + READ] += scores
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(m, T, tags) scores of symbol windows."""
+        """(T, tags, m) scores of symbol windows (m, T)."""
         p, h = self.p, self.h
-        x = np.ascontiguousarray(x.T).astype(np.intp)
-        e = self._states(x, p["e0"], p["r0"]) @ p["o"][:h]
-        e += (self._states(x[::-1], p["e1"], p["r1"]) @ p["o"][h:])[::-1]
-        return (e + p["b"]).transpose(1, 0, 2)
+        out = np.empty((x.shape[1], N_TAGS, len(x)), p["e0"].dtype)
+        out[:] = p["b"][:, None]
+        self._add_scores(x, p["e0"], p["r0"], p["o"][:h], out)
+        self._add_scores(x[:, ::-1], p["e1"], p["r1"], p["o"][h:], out[::-1])
+        return out
 
     def margins(self) -> np.ndarray:
         """For each tag but outside, the most that a path can gain by that tag at a character instead of outside: by the
@@ -261,19 +295,34 @@ CARD_GAPS = [".", "/", "_", "  "]
 PHONE_STARTS = ["00", "(+{})", "+{} / "]
 
 
-#: Texts that may be a disguised span: no example of a text without one.
-_AT = r"(?:\x20?[\[({<]\x20?[aA][tT]\x20?[\])}>]\x20?|\x20[aA][tT]\x20|\x20@\x20|@)"
+#: Texts that may be a disguised span: no example of a text without one. An address is found from its at on.
+_BRACKETED_AT = r"\x20?[aA][tT]\x20?[\])}>]\x20?"
+_AT = rf"[\x20@\[({{<](?:(?<=\x20)(?:[\[({{<]{_BRACKETED_AT}|[aA][tT]\x20|@\x20)|(?<=[\[({{<]){_BRACKETED_AT}|(?<=@))"
 _DOT = r"(?:\x20?[\[({<]\x20?(?:[dD][oO][tT]|\.)\x20?[\])}>]\x20?|\x20[dD][oO][tT]\x20|\x20\.\x20|\.)"
+AT_DOMAIN = re.compile(rf"{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 DOUBTFUL = [
-    re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
-    re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}"),
-    re.compile(r"[0-9]{4}(?:(?:\x20\x20|[./_])[0-9]{1,4}){2,4}"),
-    re.compile(r"(?:(?<![0-9])00[0-9]|\(\+[0-9]{1,3}\)|\+[0-9]{1,3}\x20/\x20)[\x20().0-9-]{6,}[0-9]"),
+    re.compile(rf"[0-9][0-9]*(?:{_DOT}[0-9]+){{3}}"),
+    re.compile(r"[0-9][0-9]{3}(?:(?:\x20\x20|[./_])[0-9]{1,4}){2,4}"),
+    re.compile(r"[0(+](?:(?<=0)(?<![0-9]0)0[0-9]|(?<=\()\+[0-9]{1,3}\)|(?<=\+)[0-9]{1,3}\x20/\x20)[\x20().0-9-]{6,}[0-9]"),
 ]
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of a local part, an at and a domain, both perhaps written out, in linear time."""
+    done = at = 0
+    while m := AT_DOMAIN.search(text, at):
+        a = m.start()
+        while a > done and text[a - 1] in LOCAL:
+            a -= 1
+        if a < m.start():
+            yield a, m.end()
+            done = at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def doubtful(text: str) -> list[tuple[int, int]]:
-    return [m.span() for p in DOUBTFUL for m in p.finditer(text)]
+    return [*_addresses(text), *(m.span() for p in DOUBTFUL for m in p.finditer(text))]
 
 
 def disguise(kind: int, span: str, rng: np.random.Generator) -> str:
@@ -394,7 +443,8 @@ def sample_windows(docs: DataFrame, config: Config = Config()) -> list[tuple[str
             yield pd.DataFrame(rows, columns=["piece", "spans", "sort"])
 
     bounded_batches(docs.sparkSession)
-    found = docs.select("text").mapInPandas(run, "piece string, spans string, sort int").withColumn("h", F.xxhash64("piece"))
+    # written once: counts and windows below read it, not the texts
+    found = write_table(docs.select("text").mapInPandas(run, "piece string, spans string, sort int"), "pii-windows").withColumn("h", F.xxhash64("piece"))
     most = (config.windows, config.windows, config.plain)
     top = lambda k: F.slice(F.sort_array(F.collect_set(F.when(F.col("sort") == k, F.struct("h", "piece", "spans")))), 1, most[k])
     # hash cut first, so that what meets is bounded; the share is chosen from a count
@@ -421,8 +471,8 @@ def _viterbi(e: np.ndarray, t: np.ndarray, start: np.ndarray | float = 0, end: n
 class _Decoder:
     """Spans of one text from the scores of its windows, which come in order, some at a time."""
 
-    def __init__(self, model: Tagger, length: int, base: list[tuple[int, int, int]], sure: float):
-        self.t, self.margins, self.length, self.base, self.sure = model.p["t"], model.margins(), length, base, sure
+    def __init__(self, model: Tagger, length: int, base: list[tuple[int, int, int]], sure: float, margins: np.ndarray):
+        self.t, self.margins, self.length, self.base, self.sure = model.p["t"], margins, length, base, sure
         self.tail: np.ndarray | None = None  # weighted second half of the last window
         self.at, self.open = 0, np.empty((0, N_TAGS), np.float32)  # first character that is not decoded, scores from there on
         self.out: list[tuple[int, int, int]] = []
@@ -465,10 +515,10 @@ class _Decoder:
                 continue
             a, b = int(run[0]), int(run[-1]) + 1
             start = self.t[0] if a else 0
-            self._spans(self.at + a, e[a:b], _viterbi(e[a:b], self.t, start, self.t[:, 0] if b < len(e) else 0))
+            self.spans(self.at + a, e[a:b], _viterbi(e[a:b], self.t, start, self.t[:, 0] if b < len(e) else 0))
         self.at, self.open = self.at + keep, e[keep:].copy()
 
-    def _spans(self, at: int, e: np.ndarray, path: np.ndarray) -> None:
+    def spans(self, at: int, e: np.ndarray, path: np.ndarray) -> None:
         if not path.any():
             return
         p = np.exp(e - e.max(1, keepdims=True))
@@ -481,28 +531,98 @@ class _Decoder:
                 self.out.append((at + int(s), int(kind[s]) - 1, at + end))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows, and the number among them of each."""
+    v = np.ascontiguousarray(x).view(np.uint64)
+    factors = np.random.default_rng(0).integers(1, 2**63, v.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    _, first, same = np.unique(((v ^ (v >> np.uint64(31))) * factors).sum(1), return_index=True, return_inverse=True)
+    # equal hashes of unlike windows: all stay
+    return (x[first], same) if len(first) < len(x) and (v[first][same] == v).all() else (x, np.arange(len(x)))
+
+
+def _decode_whole(decoders: list[_Decoder], counts: np.ndarray, e: np.ndarray, same: np.ndarray) -> None:
+    """What `_Decoder.add` does, for texts whose windows are all here (counts of them, one text after the other), at once: e are
+    the scores (WINDOW, tags, distinct windows), same is the place there of each window."""
+    model_t, margins, sizes = decoders[0].t, decoders[0].margins, np.array([d.length for d in decoders])
+    # a cell is a stride of characters: each window's first half, and the last window's second half
+    ends = np.cumsum(counts + 1)
+    starts = ends - counts - 1
+    cells = int(ends[-1])
+    this, that = np.zeros(cells, np.intp), np.zeros(cells, np.intp)
+    inner = np.ones(cells, bool)
+    inner[ends - 1] = False
+    this[inner] = same
+    inner[:] = True
+    inner[starts] = False
+    that[inner] = same
+    share = (np.arange(1, STRIDE + 1) / (WINDOW - STRIDE + 1)).astype(e.dtype)[:, None] * np.ones(cells, e.dtype)
+    share[:, starts], share[:, ends - 1] = 1, 0
+    into, on, into_0, on_0 = margins
+    certain = np.empty((cells, STRIDE), bool)
+    for j in range(STRIDE):
+        score = e[j].take(this, 1)
+        score *= share[j]
+        other = e[STRIDE + j].take(that, 1)
+        other *= 1 - share[j]
+        score += other
+        ok = np.ones(cells, bool)
+        for k, margin in enumerate(into + on + 1e-3):
+            ok &= score[0] - score[k + 1] > margin
+        certain[:, j] = ok
+    certain = certain.reshape(-1)
+    of = np.repeat(np.arange(len(decoders)), (counts + 1) * STRIDE)
+    unsure = np.flatnonzero(~certain)
+    unsure = unsure[unsure - starts[of[unsure]] * STRIDE < sizes[of[unsure]]]
+    at, text = unsure - starts[of[unsure]] * STRIDE, of[unsure]
+    cell, j = np.divmod(unsure, STRIDE)
+    part = share[j, cell][:, None]
+    scores = e[j, :, this[cell]] * part + e[STRIDE + j, :, that[cell]] * (1 - part)
+    for _ in range(4):  # beside a certain character the gain is known
+        left = (at > 0) & certain[unsure - (at > 0)]
+        right = (at < sizes[text] - 1) & certain[unsure + (at < sizes[text] - 1)]
+        gain = np.where(left[:, None], into_0, into) + np.where(right[:, None], on_0, on)
+        ok = (scores[:, :1] - scores[:, 1:] > gain + 1e-3).all(1)
+        certain[unsure] = ok
+        unsure, at, text, scores = unsure[~ok], at[~ok], text[~ok], scores[~ok]
+    cuts = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(text) > 0)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(unsure)], strict=True):
+        if a == b:
+            continue
+        decoder = decoders[text[a]]
+        start, end = model_t[0] if at[a] else 0, model_t[:, 0] if at[b - 1] < decoder.length - 1 else 0
+        decoder.spans(int(at[a]), scores[a:b], _viterbi(scores[a:b], model_t, start, end))
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], sure: float) -> list[list[tuple[int, int, int]]]:
     """Spans that the model adds to the base spans of each text. All windows are read, in blocks that may hold those of several texts."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     queue: list[tuple[_Decoder, np.ndarray, bool]] = []
 
     def read() -> None:
-        e = model.emissions(np.concatenate([x for _, x, _ in queue]))
-        at = 0
+        x, same = _distinct(np.concatenate([x for _, x, _ in queue]))
+        e = model.emissions(x)
+        at, whole = 0, []
         for decoder, x, last in queue:
-            decoder.add(e[at : at + len(x)], last)
+            if last and decoder.tail is None:
+                whole.append((decoder, np.arange(at, at + len(x))))
+            else:
+                for a in range(0, len(x), READ):
+                    some = same[at + a : at + min(a + READ, len(x))]
+                    decoder.add(e[:, :, some].transpose(2, 0, 1), last and a + READ >= len(x))
             at += len(x)
+        if whole:
+            _decode_whole([d for d, _ in whole], np.array([len(w) for _, w in whole]), e, same[np.concatenate([w for _, w in whole])])
         queue.clear()
 
-    room = BLOCK
+    room, margins = BLOCK, model.margins()
     for i, text in enumerate(texts):
         if not text:
             continue
-        n = len(window_starts(text))
+        n = max(0, -(-(len(text) - WINDOW) // STRIDE)) + 1
         x = np.full((n + 1) * STRIDE, N_SYMBOLS, np.uint8)
         x[: len(text)] = symbols(text)
         windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE]
-        decoder, k = _Decoder(model, len(text), base[i], sure), 0
+        decoder, k = _Decoder(model, len(text), base[i], sure, margins), 0
         out[i] = decoder.out
         while k < n:
             m = min(room, n - k)
