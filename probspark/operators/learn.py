@@ -149,7 +149,8 @@ def em_statistics(df: DataFrame, root: Node, names: dict[int, str]) -> DataFrame
                 b = Arrays({v: p[c].to_numpy(dtype=float, na_value=np.nan) for v, c in cols.items()}, len(p))
                 for k, v in _em_sums(b, r).items():
                     total[k] = total.get(k, 0.0) + v
-        yield pd.DataFrame({"name": list(total), "value": list(total.values())})
+        if total:  # Arrow has no type for the columns of a partition without rows
+            yield pd.DataFrame({"name": list(total), "value": list(total.values())})
 
     return df.select(*names.values()).mapInPandas(part, "name string, value double").groupBy("name").agg(F.sum("value").alias("value"))
 

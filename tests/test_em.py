@@ -85,3 +85,15 @@ def test_wrong_options(spark):
     for bad in ({"iterations": 0}, {"step": 0.0}, {"share": 1.0}):
         with pytest.raises(ValueError):
             learn.expectation_maximisation(df, root, {j: f"x{j}" for j in range(10)}, **bad)
+
+
+def test_partitions_without_rows(spark):
+    """Three rows in eight partitions: those without any give no sums, and the steps are those of one partition."""
+    df = spark.createDataFrame([(1, 0), (0, 0), (1, 1)], "a int, b int")
+    found = []
+    for n in (8, 1):
+        root = number(Sum([0.5, 0.5], [Product([Bernoulli(0, 0.3), Bernoulli(1, 0.6)]), Product([Bernoulli(0, 0.8), Bernoulli(1, 0.1)])]))
+        h = learn.expectation_maximisation(df.repartition(n), root, {0: "a", 1: "b"}, iterations=3)
+        found.append([*h, *root.weights])
+    assert found[0] == pytest.approx(found[1])
+    assert learn.expectation_maximisation(df.where("a > 1"), root, {0: "a", 1: "b"}, iterations=2) == []
