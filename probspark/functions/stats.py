@@ -247,10 +247,16 @@ def mean_quantiles(df: DataFrame, col: str, q: int) -> DataFrame:
 
 def cumulative_by(counts: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """key, value, n to key, value, n, upto (running sum of each key by value), total of the key. As `cumulative`, with cuts
-    for each key; keys are columns of a table, so their cuts and totals are few (keys * buckets) and broadcast."""
+    for each key; keys are columns of a table, so their cuts and totals are few (keys * buckets) and broadcast. The cuts are
+    stored before use: a sketch depends on the order in which its parts meet, and rows and totals must see the same cuts."""
     cuts = counts.groupBy(key).agg(F.approx_percentile("value", [k / buckets for k in range(1, buckets)], F.lit(20 * buckets)).alias("cuts"), F.sum("n").alias("total"))
     cuts = cuts.withColumn("cuts", F.array_distinct("cuts"))
-    rows = counts.join(F.broadcast(cuts), key).withColumn("bucket", F.size(F.filter("cuts", lambda b: b <= F.col("value")))).drop("cuts")
+    # a value is held against every 16th cut, then against the cuts between two of those
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size("cuts") / 16).cast("int")), lambda k: F.slice("cuts", k * 16 + 1, F.lit(16)))
+    cuts = stored(cuts.select(key, "total", F.filter("cuts", lambda _, i: i % 16 == 15).alias("heads"), groups.alias("groups")), "cuts")
+    upto = lambda c: F.size(F.filter(c, lambda b: b <= F.col("value")))
+    rows = counts.join(F.broadcast(cuts), key).withColumn("group", upto("heads"))
+    rows = rows.withColumn("bucket", F.col("group") * 16 + upto(F.col("groups")[F.col("group")])).drop("heads", "groups", "group")
     totals = rows.groupBy(key, "bucket").agg(F.sum("n").alias("t"))
     before = totals.select(key, "bucket", (F.sum("t").over(Window.partitionBy(key).orderBy("bucket")) - F.col("t")).alias("before"))
     w = Window.partitionBy(key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)

@@ -276,3 +276,14 @@ def test_statistics_in_numbers(spark):
     assert stats.frechet(np.zeros(2), np.eye(2), np.full(2, 4.0), 9 * np.eye(2)) == pytest.approx(32 + 2 + 18 - 12)
     parts = hash_split(spark.range(1000), "id")
     assert sum(p.count() for p in parts) == 1000
+
+
+def test_running_sums_under_cuts_that_vary(spark, monkeypatch):
+    """A sketch's cuts differ each time they are worked out; sums and ranks of one plan must see the same ones."""
+    import random
+
+    drawn = F.udf(lambda found: sorted(random.sample(found, 50)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(stats.F, "approx_percentile", lambda col, *_: drawn(F.collect_list(col)))
+    counts = spark.range(400).select((F.col("id") % 2).alias("key"), F.col("id").cast("double").alias("value"), F.lit(2).alias("n"))
+    for r in stats.cumulative_by(counts, "key").collect():
+        assert r["upto"] == 2 * (r["value"] // 2 + 1) and r["total"] == 400
