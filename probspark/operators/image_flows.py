@@ -18,7 +18,7 @@ import numpy as np
 from ..functions.transforms import squeeze_order
 from ..plans import tape as t
 from ..plans.tape import Var
-from .tensors import BatchNorm, Chain, Flow, Model, batch_moments, both, joined, part
+from .tensors import BatchNorm, Chain, Flow, Model, Taken, batch_moments, both, joined, part
 
 
 class Convolution:
@@ -37,9 +37,7 @@ class Convolution:
         n, c, h, wd = x.shape
         flat = x.moved(1, 3)
         if self.size > 1:
-            r = self.size // 2
-            flat = t.pad(flat, ((0, 0), (r, r), (r, r), (0, 0)))
-            flat = t.concat([flat[:, i : i + h, j : j + wd] for i in range(self.size) for j in range(self.size)], 3)
+            flat = t.patches(flat, self.size)
         out = flat.reshape(n * h * wd, -1) @ w
         if "b" in p:
             out = out + p["b"]
@@ -59,9 +57,14 @@ class Norm:
     def __call__(self, p: dict, x: Var) -> Var:
         n, c, h, w = x.shape
         z = x.reshape(n, c, h * w)
+        gain, shift = (t.as_var(p[k]).reshape(1, -1, 1) for k in "wb")
+        if self.record is not None:
+            u, mean, var = t.standardised(z, self.eps)
+            self.record = {"mean": mean, "var": var}
+            return (u * gain + shift).reshape(n, c, h, w)
         mean, var = batch_moments(self, p, z)
-        scale = t.as_var(p["w"]).reshape(1, -1, 1) * (var + self.eps) ** -0.5
-        return ((z - mean) * scale + t.as_var(p["b"]).reshape(1, -1, 1)).reshape(n, c, h, w)
+        gain = gain * (var + self.eps) ** -0.5
+        return (z * gain + (shift - mean * gain)).reshape(n, c, h, w)
 
 
 class _Parts:
@@ -154,7 +157,11 @@ NETWORKS: dict[str, Callable] = {
 class Coupling2d:
     """Some cells pass, the others are shifted (and scaled, if affine) by a network of those: cells of one colour of a
     checkerboard, or the second half of the channels (the first, if reverse). network: called with (parameters, image), of
-    as many channels as pass; gives shifts, then as many scales."""
+    as many channels as pass; gives shifts, then as many scales. While moments are settled, `given` stands in for a settled
+    coupling, and `taken` gets what one makes of its input."""
+
+    given: Callable[[Var], Var] | None = None
+    taken: dict | None = None
 
     def __init__(self, c: int, h: int, w: int, network, channels: bool = False, reverse: bool = False, affine: bool = True):
         if channels and c % 2:
@@ -174,7 +181,7 @@ class Coupling2d:
         return (first, second) if self.reverse else (second, first)
 
     def _st(self, p, passing: Var) -> tuple[Var | None, Var]:
-        z = self.parts["net"](part(p, "net"), passing)
+        z = t.recomputed(self.parts["net"], part(p, "net"), passing)
         free = 1.0 if self.channels else 1 - self.mask
         if not self.affine:
             return None, z * free
@@ -193,7 +200,13 @@ class Coupling2d:
         return out.reshape(x.shape[0], -1), ld
 
     def back(self, p, x):
-        return self._moved(p, x, lambda v, s, shift: v - shift if s is None else (v - shift) * t.exp(-s))
+        if self.given is not None:
+            return self.given(x), Var(np.zeros(x.shape[0]))
+        u, ld = self._moved(p, x, lambda v, s, shift: v - shift if s is None else (v - shift) * t.exp(-s))
+        if self.taken is not None:
+            self.taken["x"] = u.v
+            raise Taken
+        return u, ld
 
     @both
     def forward(self, p, u):

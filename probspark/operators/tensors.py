@@ -27,6 +27,8 @@ from ..sources.tables import shared_folder, stored
 
 LOG2PI = math.log(2 * math.pi)
 
+#: Rows that are scored together: what a network makes of them stays in the processor's cache.
+ROWS = 128
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -85,8 +87,15 @@ class Model:
         """Layers that normalise by the moments of a training batch, by the prefix of their parameters."""
         return {}
 
+    def couplings(self) -> dict[str, object]:
+        """Layers with batch layers inside them, by the prefix of their parameters."""
+        return {}
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.log_prob({k: Var(v) for k, v in self.params.items()}, x).v
+        """Log likelihoods (rows, classes), block by block."""
+        p = {k: Var(v) for k, v in self.params.items()}
+        with t.values_only():
+            return np.concatenate([self.log_prob(p, x[k : k + ROWS]).v for k in range(0, max(1, len(x)), ROWS)])
 
     def loss(self, p: dict[str, Var], x: np.ndarray, y: np.ndarray | None) -> Var:
         """Negative log likelihood, or cross entropy of the classes' posteriors; summed over rows."""
@@ -105,12 +114,12 @@ class Model:
         self.drop = drop
         try:
             out = self.loss(p, x, y)
+            seen = {f"{k}.{m}": v * len(x) for k, layer in layers.items() for m, v in layer.record.items()}
+            t.backward(out)  # parts of it may run the layers again
         finally:
             self.drop = None
-            seen = {f"{k}.{m}": v * len(x) for k, layer in layers.items() for m, v in layer.record.items()}
             for layer in layers.values():
                 layer.record = None
-        t.backward(out)
         return float(out.v), {k: np.zeros_like(v.v) if v.g is None else v.g for k, v in p.items()} | seen
 
 
@@ -529,6 +538,15 @@ def batch_layers(parts: dict) -> dict[str, object]:
     return out
 
 
+def with_batch_layers(parts: dict) -> dict[str, object]:
+    """Couplings whose networks have batch layers, among parts and their parts, by prefix."""
+    out = {}
+    for k, x in parts.items():
+        own = getattr(x, "parts", {})
+        out |= {str(k): x} if hasattr(x, "given") and batch_layers(own) else {f"{k}.{name}": y for name, y in with_batch_layers(own).items()}
+    return out
+
+
 def both(forward):
     """forward(p, u) on the tape, which also takes and then gives plain arrays."""
 
@@ -584,6 +602,9 @@ class Flow(Model):
     def batch_layers(self):
         return batch_layers(dict(enumerate(self.layers)))
 
+    def couplings(self):
+        return with_batch_layers(dict(enumerate(self.layers)))
+
     def preprocess(self, x: np.ndarray | Var) -> tuple[Var, Var]:
         """Data to what the first layer takes, with the log determinant."""
         return self.before.back({}, t.as_var(x))
@@ -733,10 +754,16 @@ class Autoregressive:
         return x
 
 
+class Taken(Exception):
+    """A layer has what it was asked for: what follows it need not run."""
+
+
 def batch_moments(layer, p: dict, x: Var) -> tuple[Var, Var]:
     """Mean and variance of x (rows, channels, cells) by channel: the batch's own while the layer records, else those kept."""
     if layer.taken is not None:
-        layer.taken["x"] = x.v
+        layer.taken["x"] = np.concatenate([layer.taken["x"], x.v]) if "x" in layer.taken else x.v
+        if "stop" in layer.taken:
+            raise Taken
     if layer.record is None:
         return t.as_var(p["mean"]).reshape(1, -1, 1), t.as_var(p["var"]).reshape(1, -1, 1)
     share = 1 / (x.shape[0] * x.shape[2])
@@ -829,16 +856,11 @@ def maf(n: int, layers: int = 3, hidden: Sequence[int] = (32,), sequential: bool
 
 
 def _conv(p: dict, name: str, x: Var) -> Var:
-    """3 x 3 convolution with zero padding as nine shifted products; x (rows, channels, h, w)."""
+    """3 x 3 convolution with zero padding; x (rows, channels, h, w)."""
     w = t.as_var(p[name])
     n, c, h, wd = x.shape
-    padded = t.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1))).moved(1, 3)
-    out = None
-    for i in range(3):
-        for j in range(3):
-            part = padded[:, i : i + h, j : j + wd] @ w[i, j]
-            out = part if out is None else out + part
-    return (out + p[name + "b"]).moved(3, 1)
+    out = t.patches(x.moved(1, 3), 3).reshape(n * h * wd, 9 * c) @ w.reshape(9 * c, -1) + p[name + "b"]
+    return out.reshape(n, h, wd, -1).moved(3, 1)
 
 
 class ImageCoupling:
@@ -862,14 +884,16 @@ class ImageCoupling:
             size = size + grow if net == "densenet" else filters
         self.params |= {"out": conv(size, 2 * c), "outb": np.zeros(2 * c)}
 
-    def _st(self, p, x: Var):
-        c, h, w = self.shape
-        img = x.reshape(x.shape[0], c, h, w)
-        z = t.relu(_conv(p, "in", img * self.mask))
+    def _network(self, p, img: Var) -> Var:
+        z = t.relu(_conv(p, "in", img))
         for k in range(self.blocks):
             step = _conv(p, f"s{k}", t.relu(_conv(p, f"r{k}", z)))
             z = t.concat([z, t.relu(step)], 1) if self.net == "densenet" else t.relu(z + step)
-        z = _conv(p, "out", z)
+        return _conv(p, "out", z)
+
+    def _st(self, p, x: Var):
+        c, h, w = self.shape
+        z = t.recomputed(self._network, p, x.reshape(x.shape[0], c, h, w) * self.mask)
         free = 1 - self.mask
         s = t.as_var(p["gain"]) * t.tanh(z[:, c:]) * free
         return s.reshape(x.shape[0], -1), (z[:, :c] * free).reshape(x.shape[0], -1)
@@ -1122,7 +1146,8 @@ def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str
                 flat = np.concatenate([g[name].ravel() for name in sorted(g)]) if g else np.empty(0)
                 total = flat if total is None else total + flat
             else:
-                one = float(m.loss({a: Var(b) for a, b in m.params.items()}, x, y).v)
+                with t.values_only():
+                    one = float(m.loss({a: Var(b) for a, b in m.params.items()}, x, y).v)
             loss, n = loss + one, n + len(q)
         values = np.concatenate(([loss, n], np.empty(0) if total is None else total))
         if n:
@@ -1147,36 +1172,66 @@ def _gradient_sums(df: DataFrame, model: Model, cols: Sequence[str], label: str
     return float(flat[0]), int(flat[1]), out
 
 
+def _resumed(m: Model, done: Sequence[str]):
+    """Runs the model on blocks of rows up to where a layer has what it was asked for. Settled couplings aren't run again:
+    rows then hold, in `__state`, what the last of them made, and the others pass on what they get."""
+    p, couplings, state = {k: Var(v) for k, v in m.params.items()}, m.couplings(), [None]
+    for name in done:
+        couplings[name].given = (lambda x: Var(state[0])) if name == done[-1] else (lambda x: x)
+
+    def run(layer, x: np.ndarray) -> np.ndarray:
+        state[0], layer.taken = x, {"stop": True}
+        try:
+            with t.values_only():
+                m.log_prob(p, np.zeros((len(x), m.n)) if done else x)
+        except Taken:
+            pass
+        return layer.taken["x"]
+
+    return run
+
+
 def settle_moments(df: DataFrame, model: Model, cols: Sequence[str]) -> None:
     """Moments of all batch layers set to those of the whole table, layer after layer: each pass sums what comes into one
-    layer, with the layers before it settled. One job for each layer."""
+    layer, with the layers before it settled. One job for each layer. What a coupling with such layers inside makes of the
+    rows is a checkpoint of its own, so no pass runs more than one coupling's network."""
+    couplings, done, inside = list(model.couplings()), [], None
+    rows, own, folder = df.select(*cols), list(cols), shared_folder(df.sparkSession)
     for name, layer in model.batch_layers().items():
+        now = next((c for c in couplings if name.startswith(f"{c}.")), None)
+        if inside is not None and now != inside:
+            shared = Shared(df, model)
+
+            def along(batches, name=inside, shared=shared, own=own, done=tuple(done)):
+                m = shared.value
+                run, found = _resumed(m, done), m.couplings()[name]
+                for q in _blocks(batches, ROWS):
+                    yield pd.DataFrame({"__state": list(run(found, _matrix(q, own)))})
+
+            made = rows.mapInPandas(along, "__state array<double>")
+            rows = made.localCheckpoint() if folder is None else made.checkpoint()
+            done, own = [*done, inside], ["__state"]
+        inside = now
         shared = Shared(df, model)
         c = len(model.params[f"{name}.mean"])
 
-        def part(batches, name=name, shared=shared, c=c):
+        def part(batches, name=name, shared=shared, c=c, own=own, done=tuple(done)):
             m, sums, n = shared.value, np.zeros((2, c)), 0
             centre = m.params[f"{name}.mean"]
-            for q in _blocks(batches, 512):
-                taken: dict = {}
-                found = m.batch_layers()[name]
-                found.taken = taken
-                try:
-                    m.log_prob({k: Var(v) for k, v in m.params.items()}, _matrix(q, cols))
-                finally:
-                    found.taken = None
-                z = taken["x"] - centre[None, :, None]
+            run, found = _resumed(m, done), m.batch_layers()[name]
+            for q in _blocks(batches, ROWS):
+                z = run(found, _matrix(q, own)) - centre[None, :, None]
                 sums += np.stack([z.sum((0, 2)), (z * z).sum((0, 2))])
                 n += z.shape[0] * z.shape[2]
             if n:
                 yield pd.DataFrame({"channel": np.arange(c), "n": n, "a": sums[0], "b": sums[1]})
 
-        made = df.select(*cols).mapInPandas(part, "channel int, n long, a double, b double")
-        rows = made.groupBy("channel").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas().sort_values("channel")
-        if len(rows):
-            mean = (rows["a"] / rows["n"]).to_numpy()
+        made = rows.mapInPandas(part, "channel int, n long, a double, b double")
+        sums = made.groupBy("channel").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas().sort_values("channel")
+        if len(sums):
+            mean = (sums["a"] / sums["n"]).to_numpy()
             old = model.params[f"{name}.mean"]
-            model.params[f"{name}.mean"], model.params[f"{name}.var"] = old + mean, (rows["b"] / rows["n"]).to_numpy() - mean**2
+            model.params[f"{name}.mean"], model.params[f"{name}.var"] = old + mean, (sums["b"] / sums["n"]).to_numpy() - mean**2
 
 
 def train(

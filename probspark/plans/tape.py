@@ -5,8 +5,23 @@ Only what the tensor models need: arithmetic with broadcasting, matrix products,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
 import numpy as np
 
+_KEPT = [True]
+
+
+@contextmanager
+def values_only():
+    """No steps are kept within: values go as soon as nothing needs them, and there are no gradients."""
+    before, _KEPT[0] = _KEPT[0], False
+    try:
+        yield
+    finally:
+        _KEPT[0] = before
+
 
 def _fit(g: np.ndarray, shape: tuple) -> np.ndarray:
     """Sum a gradient over the axes that broadcasting added."""
@@ -24,7 +39,7 @@ class Var:
     __array_priority__ = 100
 
     def __init__(self, v, parents=()):
-        self.v, self.parents, self.g = np.asarray(v, float), parents, None
+        self.v, self.parents, self.g = np.asarray(v, float), parents if _KEPT[0] else (), None
 
     @property
     def shape(self):
@@ -63,9 +78,14 @@ class Var:
         return Var(self.v @ o.v, [(self, lambda g: _fit(g @ t(o.v), self.shape)), (o, lambda g: _fit(t(self.v) @ g, o.shape))])
 
     def __getitem__(self, at):
+        plain = all(isinstance(k, int | slice) for k in (at if isinstance(at, tuple) else (at,)))
+
         def back(g):
             out = np.zeros_like(self.v)
-            np.add.at(out, at, g)
+            if plain:  # no place comes twice
+                out[at] = g
+            else:
+                np.add.at(out, at, g)
             return out
 
         return Var(self.v[at], [(self, back)])
@@ -89,35 +109,36 @@ def as_var(x) -> Var:
     return x if isinstance(x, Var) else Var(x)
 
 
-def _unary(x: Var, v: np.ndarray, slope: np.ndarray) -> Var:
-    return Var(v, [(x, lambda g: g * slope)])
+def _unary(x: Var, v: np.ndarray, slope: Callable[[], np.ndarray]) -> Var:
+    """slope: worked out when it is needed, not held."""
+    return Var(v, [(x, lambda g: g * slope())])
 
 
 def exp(x):
     v = np.exp(x.v)
-    return _unary(x, v, v)
+    return _unary(x, v, lambda: v)
 
 
 def log(x):
-    return _unary(x, np.log(x.v), 1 / x.v)
+    return _unary(x, np.log(x.v), lambda: 1 / x.v)
 
 
 def tanh(x):
     v = np.tanh(x.v)
-    return _unary(x, v, 1 - v * v)
+    return _unary(x, v, lambda: 1 - v * v)
 
 
 def relu(x):
-    return _unary(x, np.maximum(x.v, 0), (x.v > 0) * 1.0)
+    return _unary(x, np.maximum(x.v, 0), lambda: x.v > 0)
 
 
 def sigmoid(x):
     v = 1 / (1 + np.exp(-np.clip(x.v, -500, 500)))
-    return _unary(x, v, v * (1 - v))
+    return _unary(x, v, lambda: v * (1 - v))
 
 
 def softplus(x):
-    return _unary(x, np.logaddexp(0, x.v), 1 / (1 + np.exp(-np.clip(x.v, -500, 500))))
+    return _unary(x, np.logaddexp(0, x.v), lambda: 1 / (1 + np.exp(-np.clip(x.v, -500, 500))))
 
 
 def lse(x: Var, axis: int) -> Var:
@@ -169,7 +190,7 @@ def floor(x: Var) -> Var:
 
 
 def clip(x: Var, low: float, high: float) -> Var:
-    return _unary(x, np.clip(x.v, low, high), ((x.v >= low) & (x.v <= high)) * 1.0)
+    return _unary(x, np.clip(x.v, low, high), lambda: (x.v >= low) & (x.v <= high))
 
 
 def pad(x: Var, widths, value: float = 0.0) -> Var:
@@ -177,8 +198,62 @@ def pad(x: Var, widths, value: float = 0.0) -> Var:
     return Var(np.pad(x.v, widths, constant_values=value), [(x, lambda g: g[inner])])
 
 
+def patches(x: Var, size: int) -> Var:
+    """(n, h, w, c) to (n, h, w, size * size * c): the square of odd size around each cell, row by row, zeros outside."""
+    n, h, w, c = x.shape
+    r = size // 2
+    padded = np.pad(x.v, ((0, 0), (r, r), (r, r), (0, 0)))
+    at = [(k, slice(k // size, k // size + h), slice(k % size, k % size + w)) for k in range(size * size)]
+    out = np.empty((n, h, w, size * size, c))
+    for k, i, j in at:
+        out[:, :, :, k] = padded[:, i, j]
+
+    def back(g):
+        total, g = np.zeros((n, h + 2 * r, w + 2 * r, c)), g.reshape(n, h, w, size * size, c)
+        for k, i, j in at:
+            total[:, i, j] += g[:, :, :, k]
+        return total[:, r : r + h, r : r + w]
+
+    return Var(out.reshape(n, h, w, -1), [(x, back)])
+
+
+def standardised(x: Var, eps: float) -> tuple[Var, np.ndarray, np.ndarray]:
+    """(rows, channels, cells) less each channel's mean, by the root of its variance and eps; mean and variance."""
+    share = 1 / (x.shape[0] * x.shape[2])
+    mean = x.v.sum((0, 2), keepdims=True) * share
+    u = x.v - mean
+    var = np.einsum("rck,rck->c", u, u)[None, :, None] * share
+    low = (var + eps) ** -0.5
+    u *= low
+
+    def back(g):
+        out = g - g.sum((0, 2), keepdims=True) * share
+        out -= u * (np.einsum("rck,rck->c", g, u)[None, :, None] * share)
+        out *= low
+        return out
+
+    return Var(u, [(x, back)]), mean.ravel(), var.ravel()
+
+
+def recomputed(f: Callable, p: dict, x: Var) -> Var:
+    """f(p, x), keeping its inputs and result only: the steps between are made again for the gradients, so one such part
+    at a time is held."""
+    fresh = lambda: ({k: Var(as_var(v).v) for k, v in p.items()}, Var(x.v))
+    with values_only():
+        v = f(*fresh()).v
+    found: dict = {}
+
+    def slopes(g):
+        q, y = fresh()
+        backward(f(q, y), g)
+        found.update({k: np.zeros_like(a.v) if a.g is None else a.g for k, a in q.items()})
+        return np.zeros_like(y.v) if y.g is None else y.g
+
+    return Var(v, [(x, slopes), *[(a, lambda g, k=k: found.pop(k)) for k, a in p.items() if isinstance(a, Var)]])
+
+
 def backward(out: Var, seed: np.ndarray | float = 1.0) -> None:
-    """Sets g on everything that out depends on."""
+    """Sets g on the leaves that out depends on; the g of steps between goes once it was passed on."""
     order, seen = [], set()
     stack = [(out, False)]
     while stack:
@@ -193,4 +268,6 @@ def backward(out: Var, seed: np.ndarray | float = 1.0) -> None:
     for x in reversed(order):
         for p, f in x.parents if x.g is not None else ():
             step = f(x.g)
-            p.g = step.copy() if p.g is None else p.g + step
+            p.g = step if p.g is None else p.g + step  # never changed in place: views of one another may stand here
+        if x.parents:
+            x.g = None
